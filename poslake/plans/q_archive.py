@@ -1,0 +1 @@
+"""Queries (filled in below)."""
