@@ -23,9 +23,15 @@ def ratio_sql(num: str, den: str) -> str:
 
 
 def strict_inbound_ctes(where: str = INITIAL_SCAN, source: str = "fx_inbound",
-                        name: str = "si") -> str:
+                        name: str = "si", weights: bool = True) -> str:
     """CTEs ``{name}0`` (map projection) and ``{name}`` (+ weights)."""
     sel = ",\n  ".join(ColumnMap.default().select_list(quote=quote_sql))
+    if not weights:
+        return f"""{name}0 AS (
+SELECT {sel}
+FROM {source} WHERE {where}
+),
+{name} AS (SELECT * FROM {name}0)"""
     part = ", ".join(PORTFOLIO_KEY)
     nav = "nav_poller_calculated"
     return f"""{name}0 AS (
@@ -153,3 +159,131 @@ staged AS (
 UNION ALL
 {rollup_select(si, exclude_ticketed_fx)}
 )"""
+
+
+# ---------------------------------------------------------------------------
+# Upsert (U7–U11) in SQL: collapse per key, full outer merge, weights.
+
+def _key_exprs(key_cols, coalesced, alias):
+    return [f"COALESCE({alias}.{c}, '')" if c in coalesced else f"{alias}.{c}" for c in key_cols]
+
+
+def eligible_sql(key_cols, coalesced, partial, alias="x"):
+    conds = [f"{alias}.{c} IS NOT NULL" for c in key_cols if c not in coalesced]
+    if partial:
+        conds.append(f"{alias}.enforce_uniqueness = true")
+    return "COALESCE(" + " AND ".join(conds) + ", false)"
+
+
+def collapse_ctes(src: str, name: str, key_cols, coalesced, partial, set_cols) -> str:
+    """``{name}`` = one row per key: first row by load_order, SET columns from
+    the last row.  ``{name}_rest`` = rows that cannot conflict."""
+    k = ", ".join(_key_exprs(key_cols, coalesced, "x"))
+    cols = POSITIONS_COLUMNS
+    el = eligible_sql(key_cols, coalesced, partial)
+    on = " AND ".join(f"{a} = {b}" for a, b in zip(_key_exprs(key_cols, coalesced, "f"),
+                                                   _key_exprs(key_cols, coalesced, "l")))
+    pick = ", ".join(f"l.{c} AS {c}" if c in set_cols else f"f.{c} AS {c}" for c in cols)
+    return f"""{name}_e AS (
+SELECT x.*, row_number() OVER (PARTITION BY {k} ORDER BY x.load_order) AS r_first,
+  row_number() OVER (PARTITION BY {k} ORDER BY x.load_order DESC) AS r_last
+FROM {src} x WHERE {el}
+),
+{name} AS (
+SELECT {pick} FROM {name}_e f JOIN {name}_e l ON {on} AND f.r_first = 1 AND l.r_last = 1
+),
+{name}_rest AS (
+SELECT {', '.join(cols)} FROM {src} x WHERE NOT {el}
+)"""
+
+
+def merge_ctes(existing: str, incoming: str, name: str, key_cols, coalesced, partial,
+               set_cols) -> str:
+    """``{name}`` = existing merged with incoming on the key (SET columns taken
+    from the incoming row on a match)."""
+    coll = collapse_ctes(incoming, f"{name}_in", key_cols, coalesced, partial, set_cols)
+    el = eligible_sql(key_cols, coalesced, partial)
+    on = " AND ".join(f"{a} = {b}" for a, b in zip(_key_exprs(key_cols, coalesced, "e"),
+                                                   _key_exprs(key_cols, coalesced, "c")))
+    sel = []
+    for c in POSITIONS_COLUMNS:
+        if c in set_cols:
+            sel.append(f"CASE WHEN e._p IS NULL THEN c.{c} WHEN c._p IS NULL THEN e.{c} "
+                       f"ELSE c.{c} END AS {c}")
+        else:
+            sel.append(f"CASE WHEN e._p IS NULL THEN c.{c} ELSE e.{c} END AS {c}")
+    cols = ", ".join(POSITIONS_COLUMNS)
+    return f"""{coll},
+{name}_ex AS (SELECT x.*, true AS _p FROM {existing} x WHERE {el}),
+{name}_ci AS (SELECT x.*, true AS _p FROM {name}_in x),
+{name}_j AS (
+SELECT {', '.join(sel)},
+  CASE WHEN e._p IS NULL THEN 'inserted' WHEN c._p IS NULL THEN 'kept' ELSE 'updated' END AS _action
+FROM {name}_ex e FULL OUTER JOIN {name}_ci c ON {on}
+),
+{name} AS (
+SELECT {cols} FROM {name}_j
+UNION ALL SELECT {cols} FROM {existing} x WHERE NOT {el}
+UNION ALL SELECT {cols} FROM {name}_in_rest
+)"""
+
+
+def empty_positions_cte(name: str = "empty_positions") -> str:
+    return f"{name} AS (SELECT {conform('', set())} WHERE false)"
+
+
+def stage_single_ctes(si: str = "sx", have: set[str] | None = None) -> str:
+    """Intraday staging (every row its own batch): ``sx_staged``, ``sx_fx``."""
+    from ..operators.netting import NOT_ROLLED
+    have = si_columns() if have is None else have
+    repl = {}
+    for c in SUM_COLUMNS + MAX_ZERO_COLUMNS:
+        repl[c] = f"CAST(COALESCE({c}, 0) AS DECIMAL(30,9))"
+    for c in BOOL_AND_COLUMNS + BOOL_OR_COLUMNS:
+        repl[c] = f"COALESCE({c}, false)"
+    repl["short_flag"] = "false"
+    for c in NOT_ROLLED:
+        repl[c] = "CAST(NULL AS STRING)"
+    conformed = conform("", have)
+    one_sel = ", ".join(f"{repl[c]} AS {c}" if c in repl else c for c in POSITIONS_COLUMNS)
+    return f"""{si}c AS (SELECT {conformed} FROM {si}),
+{si}_staged AS (
+SELECT * FROM {si}c WHERE fx_flag = false
+UNION ALL
+SELECT {one_sel} FROM {si}c
+WHERE fx_flag = true AND (deal_ticket_num IS NULL OR deal_ticket_num = 0)
+),
+{si}_fx AS (
+SELECT * FROM {si}c WHERE fx_flag = true AND deal_ticket_num IS NOT NULL AND deal_ticket_num <> 0
+)"""
+
+
+def recalc_weights_cte(table: str, touched: str, name: str) -> str:
+    keys = ["account_id", "as_of_date", "load_bb_entity_name"]
+    on = " AND ".join(f"t.{k} = n.{k}" for k in keys)
+    part = ", ".join(keys)
+    sel = []
+    for c in POSITIONS_COLUMNS:
+        if c == "nav_poller_calculated":
+            sel.append(f"CASE WHEN n._hit THEN n._nav ELSE t.{c} END AS {c}")
+        elif c == "market_value_current_pct":
+            sel.append(f"CASE WHEN n._hit THEN {ratio_sql('t.market_value_current', 'n._nav')} "
+                       f"ELSE t.{c} END AS {c}")
+        elif c == "market_value_initial_paint_pct":
+            sel.append(f"CASE WHEN n._hit THEN "
+                       f"{ratio_sql('t.market_value_initial_paint', 'n._nav')} ELSE t.{c} END AS {c}")
+        elif c == "exposure_pct":
+            sel.append(f"CASE WHEN n._hit THEN {ratio_sql('t.exposure_amount', 'n._nav')} "
+                       f"ELSE t.{c} END AS {c}")
+        else:
+            sel.append(f"t.{c}")
+    return f"""{name}_nav AS (
+SELECT {part}, CAST(sum(market_value_current) AS DECIMAL(30,9)) AS _nav, true AS _hit
+FROM {table} x
+WHERE EXISTS (SELECT 1 FROM {touched} u WHERE u.account_id = x.account_id
+              AND u.as_of_date = x.as_of_date AND u.load_bb_entity_name = x.load_bb_entity_name)
+GROUP BY {part}
+),
+{name} AS (
+SELECT {', '.join(sel)} FROM {table} t LEFT JOIN {name}_nav n ON {on}
+)"""

@@ -18,6 +18,7 @@ BASE_CONF = {
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 
@@ -60,3 +61,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def checkpoint_root(spark: SparkSession) -> str:
     """Directory (URI) under which jobs may write lineage-cutting tables."""
     return ensure_checkpoint_dir(spark)
+
+
+def cut(df):
+    """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
+
+    Used where a result is read several times (the typed scan feeds five
+    branches) or where plans would otherwise nest (merge after merge).  The
+    files live under ``spark.checkpoint.dir`` so a lost executor does not
+    lose them."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
