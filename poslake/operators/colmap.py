@@ -242,9 +242,10 @@ def _split_set(clause: str) -> tuple[str, str]:
 # ---------------------------------------------------------------------------
 # DataFrame operators over the map itself.
 
-def map_projection(inbound: DataFrame, cmap: ColumnMap) -> DataFrame:
-    """Metadata-driven projection of raw inbound rows."""
-    return inbound.selectExpr(*cmap.select_list())
+def map_projection(inbound: DataFrame, cmap: ColumnMap, keep=()) -> DataFrame:
+    """Metadata-driven projection of raw inbound rows (``keep``: raw
+    columns carried along unchanged)."""
+    return inbound.selectExpr(*[quote_spark(c) for c in keep], *cmap.select_list())
 
 
 def load_columns_df(colmap: DataFrame) -> DataFrame:
