@@ -94,9 +94,9 @@ DEFAULT_MAP_ROWS = [
     (24, "shortflag", "short_flag", "json", True, True, "coalesce(source_column = 'Y', false)",
      _TAKE_NEW, "boolean"),
     (25, "security", "fx_flag", "computed", True, True, _FX_COND, None, "boolean"),
-    (26, "fut_month_yr", "fut_flag", "computed", True, True,
+    (26, "fut_month_yr", "fut_flag", "json", True, True,
      "coalesce(trim(source_column), '') <> ''", _TAKE_NEW, "boolean"),
-    (27, "sw_market_val", "swap_flag", "computed", True, True,
+    (27, "sw_market_val", "swap_flag", "json", True, True,
      "coalesce(trim(source_column), '') <> ''", _TAKE_NEW, "boolean"),
     (28, "security", "enforce_uniqueness", "computed", True, True, f"NOT ({_FX_COND})", None,
      "boolean"),
@@ -113,6 +113,8 @@ DEFAULT_MAP_ROWS = [
     (33, "is_intraday", "load_status", "loader", True, True,
      "CASE WHEN source_column = 'true' THEN 'UPDATE' ELSE 'NEW' END", _TAKE_NEW, "string"),
     (34, "ivol", "ivol", "json", False, False, None, None, "string"),
+    # Loaded (the flags read it) but not projected on its own.
+    (35, "base_crncy", "base_crncy", "json", False, False, None, None, "string"),
 ]
 
 
@@ -298,8 +300,9 @@ def map_update(colmap: DataFrame, map_id: int, **values) -> DataFrame:
 
 def validate_expr(spark: SparkSession, inbound_schema, source_column: str | None,
                   target_column: str | None, transform_expr: str | None,
-                  update_set_expr: str | None) -> dict:
-    """syntax/analysis check of a map row's expressions on an empty frame.
+                  update_set_expr: str | None, target_schema=None) -> dict:
+    """syntax/analysis check of a map row's expressions on an empty frame
+    (transforms over the inbound schema, SET clauses over the target table).
 
     Returns ``{"ok": True}`` or ``{"ok": False, "kind": ..., "error": ...}``
     where kind is ``transform`` or ``update_set`` and the error class tells a
@@ -313,7 +316,8 @@ def validate_expr(spark: SparkSession, inbound_schema, source_column: str | None
     if update_set_expr and update_set_expr.strip():
         clause = substitute(update_set_expr, "target_column", target_column or "")
         lhs, rhs = _split_set(clause)
-        probe = empty.alias("EXCLUDED")
+        from ..schemas import POSITIONS_SCHEMA
+        probe = spark.createDataFrame([], target_schema or POSITIONS_SCHEMA).alias("EXCLUDED")
         res = _try(lambda: probe.selectExpr(f"{rhs} AS _probe").schema) if rhs else \
             {"error_class": "PARSE", "error": "update_set_expr has no right-hand side"}
         if res:

@@ -180,3 +180,12 @@ def q_inbound_load(spark, sf_dir):
     phased = _phased(spark, sf_dir)
     released = msg.initial_batch(phased).unionByName(phased.where(F.col("phase") == "intraday"))
     return load_inbound(released).rows
+
+
+# ---- framing (M1) -------------------------------------------------------------
+@register("reassemble", with_fixtures("fx_stream") + """
+SELECT msg_request_id, CAST(stream_order * 2 AS BIGINT) AS start_seq,
+  CAST(0 AS BIGINT) AS start_offset, json_stream AS json FROM fx_stream""")
+def q_reassemble(spark, sf_dir):
+    from ..operators.framing import reassemble
+    return reassemble(load(spark, sf_dir, "fx_chunks"))
