@@ -93,10 +93,14 @@ def conform_positions(df: DataFrame) -> DataFrame:
 def best_rows(rows: DataFrame, keys=BEST_ROW_KEY, order: str = "load_order") -> DataFrame:
     """The row with the highest ``order`` per key (row_number() = 1).
 
-    Expressed as ``max_by(struct, order)`` so the map side pre-aggregates:
-    a key holding a third of all rows is reduced before the shuffle."""
-    payload = [c for c in rows.columns if c not in keys]
-    best = (rows.groupBy(*keys)
-            .agg(F.max_by(F.struct(*payload), F.col(order)).alias("_best")))
-    return best.select(*keys, *[F.col(f"_best.{c}").alias(c) for c in payload]) \
-        .where(F.col(order).isNotNull()).select(*rows.columns)
+    A fixed-width ``max(order)`` aggregate (partial, map-side) finds the
+    winner; a null-safe semi join on (key, order) keeps it.  ``order`` is part
+    of the join key, so even a key holding a third of all rows hashes across
+    many partitions instead of landing in one task."""
+    keys = list(keys)
+    top = rows.groupBy(*keys).agg(F.max(order).alias("_top"))
+    top = top.select(*[F.col(k).alias(f"_t_{k}") for k in keys], "_top")
+    cond = F.col(order) == F.col("_top")
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_t_{k}"))
+    return rows.join(top, cond, "left_semi")
