@@ -7,16 +7,19 @@ from pyspark.sql import functions as F
 from ..operators import netting
 from ..operators.normalise import best_rows, conform_positions, strict_inbound
 from ..schemas import BEST_ROW_KEY
+from ..session import cut
 from .catalog import load, register, with_fixtures
 from .sqltext import (best_cte, conform, fx_select, netting_ctes, nonfx_best_select,
                       rollup_select, si_columns, staged_ctes, strict_inbound_ctes)
 
 
 def initial_si(spark, sf_dir):
-    """strict_inbound over every unprocessed initial row (all scopes)."""
+    """strict_inbound over every unprocessed initial row (all scopes).
+
+    Materialised once: the netting branches read it up to five times."""
     inbound = load(spark, sf_dir, "fx_inbound")
     scan = inbound.where((F.col("is_processed") == "false") & (F.col("is_intraday") == "false"))
-    return strict_inbound(scan)
+    return cut(strict_inbound(scan))
 
 
 _PRE = with_fixtures("fx_inbound") + ", " + strict_inbound_ctes()
