@@ -52,3 +52,21 @@ def test_copy_tables(spark, scratch):
     assert copy_tables(spark, [(f"{scratch}/src", f"{scratch}/dst")]) == 1
     assert copy_tables(spark, [(f"{scratch}/src", f"{scratch}/dst")], truncate=False) == 1
     assert spark.read.parquet(f"{scratch}/dst").count() == 2
+
+
+def test_upsert_job_is_logged_and_closed_on_failure(spark, scratch, sf_dir):
+    import pytest
+
+    from poslake.fixtures import fixture
+    from poslake.operators.colmap import ColumnMap, ColumnMapError
+    from poslake.plans.upsert_job import run_logged
+    log = RunLog(spark, f"{scratch}/runlog")
+    inbound = fixture(spark, sf_dir, "fx_inbound")
+    empty = spark.createDataFrame([], POSITIONS_SCHEMA)
+    out = run_logged(log, inbound, empty, False)
+    assert out.positions.count() > 0
+    with pytest.raises(ColumnMapError):
+        run_logged(log, inbound, empty, False, cmap=ColumnMap([]))
+    states = {r.job_status_description.split(":")[0] for r in log.jobs().collect()}
+    assert states == {"completed", "failed"}
+    assert log.details().where("status_text LIKE 'nonfx_inserted:%'").count() == 1
