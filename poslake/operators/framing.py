@@ -5,11 +5,12 @@ count; a partial object waits for the next chunk.  Fixed here (quirk Q10):
 the unfinished tail is kept exactly (not located by text search), and a
 stray ``}`` at depth 0 is ignored instead of driving the depth negative.
 
-A session's stream is ordered, so its chunks are framed in order by one
-scanner.  The batch job hash-partitions chunks by session and sorts within
-partitions; ``mapInPandas`` then streams through them carrying only the
-open object's text, never the session.  The streaming job keeps the same
-scanner state per session in ``applyInPandasWithState``.
+``reassemble_parallel`` (the batch job) frames all segments of all sessions
+in parallel through a prefix scan of per-segment summaries (below), so a
+session holding a third of all chunks is not one task.  ``reassemble`` is
+the plain ordered scan (one scanner per session, memory bounded by one open
+object) kept as the reference.  The streaming job keeps the scanner state
+per session in ``applyInPandasWithState``.
 """
 
 from __future__ import annotations
@@ -117,3 +118,212 @@ def reassemble(chunks: DataFrame, key=("msg_request_id",), order: str = "chunk_s
     ordered = chunks.select(*key, order, text).repartition(*key) \
         .sortWithinPartitions(*key, order)
     return ordered.mapInPandas(frame, schema)
+
+
+# ---------------------------------------------------------------------------
+# Parallel framing: a prefix scan over fixed-width segments of each session.
+#
+# The lexer (normal / in string / after backslash) does not depend on depth,
+# and clamped depth changes compose as d ↦ max(d + b, a).  So each segment
+# is summarised once per possible entry lexer state — exit state, (b, a), and
+# the candidate top-level object starts with the deepest entry depth at which
+# each would still start an object — without knowing its real entry.  Those
+# small summaries are composed per session to get every segment's exact entry
+# (lexer state, depth, open object); then all segments are framed in
+# parallel and only objects that cross a segment border are regrouped.
+
+SEGMENT_WIDTH = 4096  # chunk_seq units per segment: a segment holds ≤ this many chunks
+
+
+def _summarise(seqs, texts, s0: int):
+    """(exit lexer state, b, a, frontier[(threshold, seq, offset)]) for entry state s0."""
+    state, b, a = s0, 0, 0
+    frontier: list[tuple[int, int, int]] = []
+    for seq, text in zip(seqs, texts):
+        for m in _SPECIAL.finditer(text or ""):
+            ch = m.group()
+            if state == 2:
+                state = 1
+            elif state == 1:
+                if ch == "\\":
+                    state = 2
+                elif ch == '"':
+                    state = 0
+            elif ch == '"':
+                state = 1
+            elif ch == "{":
+                if a == 0:  # depth before is 0 iff entry depth ≤ -b
+                    t = -b
+                    while frontier and frontier[-1][0] <= t:
+                        frontier.pop()
+                    frontier.append((t, int(seq), m.start()))
+                b, a = b + 1, a + 1
+            elif ch == "}":
+                b, a = b - 1, max(a - 1, 0)
+    return state, b, a, frontier
+
+
+SUMMARY_SCHEMA = T.StructType([
+    T.StructField("seg", T.LongType()),
+    *[f for s in range(3) for f in (
+        T.StructField(f"x{s}", T.IntegerType()), T.StructField(f"b{s}", T.LongType()),
+        T.StructField(f"a{s}", T.LongType()),
+        T.StructField(f"f{s}", T.ArrayType(T.ArrayType(T.LongType()))))]])
+ENTRY_FIELDS = [T.StructField("seg", T.LongType()), T.StructField("e_state", T.IntegerType()),
+                T.StructField("e_depth", T.LongType()), T.StructField("e_start_seq", T.LongType()),
+                T.StructField("e_start_off", T.LongType())]
+PIECE_FIELDS = [T.StructField("start_seq", T.LongType()), T.StructField("start_offset", T.LongType()),
+                T.StructField("piece_seq", T.LongType()), T.StructField("piece_off", T.LongType()),
+                T.StructField("opens", T.BooleanType()), T.StructField("closes", T.BooleanType()),
+                T.StructField("text", T.StringType())]
+
+
+def _frame_segment(seqs, texts, state: int, depth: int, start):
+    """Scan one segment from a known entry; yield pieces of objects."""
+    cur = start if depth > 0 else None
+    for seq, text in zip(seqs, texts):
+        text = text or ""
+        begin = 0 if depth > 0 else None
+        opened_here = False
+        for m in _SPECIAL.finditer(text):
+            i, ch = m.start(), m.group()
+            if state == 2:
+                state = 1
+                continue
+            if state == 1:
+                if ch == "\\":
+                    state = 2
+                elif ch == '"':
+                    state = 0
+                continue
+            if ch == '"':
+                state = 1
+            elif ch == "{":
+                if depth == 0:
+                    cur, begin, opened_here = (int(seq), i), i, True
+                depth += 1
+            elif ch == "}" and depth > 0:
+                depth -= 1
+                if depth == 0:
+                    yield (*cur, int(seq), begin, opened_here, True, text[begin:i + 1])
+                    cur, begin, opened_here = None, None, False
+        if depth > 0 and begin is not None:
+            yield (*cur, int(seq), begin, opened_here, False, text[begin:])
+
+
+def _runs(batches, cols):
+    """Yield (group key, {col: list}) for runs of equal group key across sorted
+    Arrow batches (the group's rows are contiguous after the sort)."""
+    cur, acc = None, None
+    for pdf in batches:
+        lists = {c: pdf[c].tolist() for c in pdf.columns}
+        gkeys = list(zip(*[lists[c] for c in cols]))
+        n = len(gkeys)
+        i = 0
+        while i < n:
+            j = i
+            while j < n and gkeys[j] == gkeys[i]:
+                j += 1
+            if gkeys[i] != cur:
+                if acc is not None:
+                    yield cur, acc
+                cur, acc = gkeys[i], {c: [] for c in lists}
+            for c in lists:
+                acc[c].extend(lists[c][i:j])
+            i = j
+    if acc is not None:
+        yield cur, acc
+
+
+def reassemble_parallel(chunks: DataFrame, key=("msg_request_id",), order: str = "chunk_seq",
+                        text: str = "chunk", width: int = SEGMENT_WIDTH) -> DataFrame:
+    """Batch M1 as a parallel prefix scan (same output as ``reassemble``).
+
+    Every Python step runs in ``mapInPandas`` over partitions hashed by
+    (session, segment) and sorted within, so one call handles many segments
+    and no group is larger than one segment (or one session's summaries)."""
+    from pyspark.sql import functions as F
+
+    key = list(key)
+    seg = F.floor(F.col(order) / F.lit(width)).cast("long").alias("seg")
+    segmented = chunks.select(*key, seg, F.col(order).cast("long").alias(order),
+                              F.col(text).alias(text))
+    key_fields = [chunks.schema[k] for k in key]
+    gk = [*key, "seg"]
+
+    # 1. Per-segment summaries for each possible entry lexer state.
+    sum_schema = T.StructType(key_fields + list(SUMMARY_SCHEMA.fields))
+
+    def summarise(batches):
+        out = []
+        for g, acc in _runs(batches, gk):
+            row = list(g)
+            for s in range(3):
+                x, b, a, fr = _summarise(acc[order], acc[text], s)
+                row += [x, b, a, [list(t) for t in fr]]
+            out.append(row)
+            if len(out) >= 4096:
+                yield pd.DataFrame(out, columns=sum_schema.names)
+                out = []
+        if out:
+            yield pd.DataFrame(out, columns=sum_schema.names)
+
+    by_segment = segmented.repartition(*gk).sortWithinPartitions(*gk, order)
+    summaries = by_segment.mapInPandas(summarise, sum_schema)
+
+    # 2. Compose summaries per session, in segment order (one row per segment).
+    entry_schema = T.StructType(key_fields + ENTRY_FIELDS)
+
+    def compose(batches):
+        out = []
+        for _g, acc in _runs(batches, key):
+            state, depth, start = 0, 0, None
+            for i, sg in enumerate(acc["seg"]):
+                out.append([*[acc[k][i] for k in key], int(sg), state, depth,
+                            None if start is None else start[0],
+                            None if start is None else start[1]])
+                x, b, a = acc[f"x{state}"][i], acc[f"b{state}"][i], acc[f"a{state}"][i]
+                fr = acc[f"f{state}"][i]
+                local = None
+                for t, sq, off in reversed(list(fr) if fr is not None else []):
+                    if t >= depth:
+                        local = (int(sq), int(off))
+                        break
+                new_depth = max(depth + int(b), int(a))
+                start = (local or start) if new_depth > 0 else None
+                state, depth = int(x), new_depth
+        if out:
+            yield pd.DataFrame(out, columns=entry_schema.names)
+
+    entries = (summaries.repartition(*key).sortWithinPartitions(*key, "seg")
+               .mapInPandas(compose, entry_schema))
+
+    # 3. Frame every segment from its exact entry, in parallel.
+    piece_schema = T.StructType(key_fields + PIECE_FIELDS)
+
+    def frame(batches):
+        out = []
+        for g, acc in _runs(batches, gk):
+            es = acc["e_start_seq"][0]
+            start = None if es is None or pd.isna(es) else (int(es), int(acc["e_start_off"][0]))
+            for p in _frame_segment(acc[order], acc[text], int(acc["e_state"][0]),
+                                    int(acc["e_depth"][0]), start):
+                out.append([*g[:len(key)], *p])
+        if out:
+            yield pd.DataFrame(out, columns=piece_schema.names)
+
+    pieces = (segmented.join(entries, gk, "inner").repartition(*gk)
+              .sortWithinPartitions(*gk, order).mapInPandas(frame, piece_schema))
+
+    # 4. Objects inside one piece pass through; the rest are regrouped by id.
+    whole = pieces.where(F.col("opens") & F.col("closes"))
+    parts = pieces.where(~(F.col("opens") & F.col("closes")))
+    glued = (parts.groupBy(*key, "start_seq", "start_offset")
+             .agg(F.sort_array(F.collect_list(F.struct("piece_seq", "piece_off", "text")))
+                  .alias("_p"), F.bool_or("closes").alias("_closed"),
+                  F.bool_or("opens").alias("_opened"))
+             .where(F.col("_closed") & F.col("_opened"))
+             .select(*key, "start_seq", "start_offset",
+                     F.array_join(F.transform("_p", lambda p: p["text"]), "").alias("json")))
+    return whole.select(*key, "start_seq", "start_offset", F.col("text").alias("json")) \
+        .unionByName(glued)

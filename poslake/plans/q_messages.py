@@ -187,5 +187,5 @@ def q_inbound_load(spark, sf_dir):
 SELECT msg_request_id, CAST(stream_order * 2 AS BIGINT) AS start_seq,
   CAST(0 AS BIGINT) AS start_offset, json_stream AS json FROM fx_stream""")
 def q_reassemble(spark, sf_dir):
-    from ..operators.framing import reassemble
-    return reassemble(load(spark, sf_dir, "fx_chunks"))
+    from ..operators.framing import reassemble_parallel
+    return reassemble_parallel(load(spark, sf_dir, "fx_chunks"))

@@ -60,3 +60,35 @@ def test_batch_reassemble_keeps_sessions_apart(spark):
     df = spark.createDataFrame(rows, "msg_request_id string, chunk_seq long, chunk string")
     got = sorted(tuple(r) for r in reassemble(df).collect())
     assert got == [("s1", 0, 0, '{"a":1}'), ("s1", 1, 2, '{"c":3}'), ("s2", 0, 0, '{"b":2}')]
+
+
+def test_parallel_framing_equals_sequential_across_segments(spark):
+    import random
+
+    from poslake.operators.framing import reassemble_parallel
+    rnd = random.Random(7)
+    alphabet = 'ab{}"\\: ,'
+    rows, want = [], []
+    for sess in range(40):
+        texts = []
+        for _ in range(rnd.randint(0, 6)):
+            obj = {f"K{i}": "".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 9)))
+                   for i in range(rnd.randint(0, 3))}
+            if rnd.random() < 0.3:
+                obj["N"] = {"deep": [obj.copy(), {"x": "}{"}]}
+            texts.append(json.dumps(obj))
+            if rnd.random() < 0.3:
+                texts.append("{}")
+        stream = "".join(texts) + ('{"open":"tail' if rnd.random() < 0.3 else "")
+        cuts = sorted({rnd.randint(0, len(stream)) for _ in range(rnd.randint(0, 25))})
+        pieces = [stream[a:b] for a, b in zip([0] + cuts, cuts + [len(stream)])]
+        seq = 0
+        f = Framer()
+        for p in pieces:
+            seq += rnd.randint(1, 3)
+            rows.append((f"s{sess}", seq, p))
+            want.extend((f"s{sess}", s, o, j) for s, o, j in f.feed(seq, p))
+    df = spark.createDataFrame(rows, "msg_request_id string, chunk_seq long, chunk string")
+    got = sorted(tuple(r) for r in reassemble_parallel(df, width=3).collect())
+    assert got == sorted(want)
+    assert sorted(tuple(r) for r in reassemble(df).collect()) == sorted(want)
