@@ -49,16 +49,41 @@ def field_sets(opts: CompareOptions, columns: list[str]) -> dict[int, list[str]]
     return phases
 
 
+def positions_in_key(df: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
+    """1-based position of each row among the rows sharing its key, in the
+    order (fields ascending, NULLs first).
+
+    Skew-safe: a global sort on (key, fields) spreads a hot key over many
+    range partitions; ``monotonically_increasing_id`` numbers rows within
+    each partition; a per-(key, partition) aggregate (one row per key and
+    partition) plus a running sum over that small table gives each
+    partition's offset, joined back on (key, partition)."""
+    from ..session import cut
+    order = [F.col(c).asc_nulls_first() for c in keys + fields]
+    ided = cut(df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()))
+    ided = ided.withColumn("_pid", F.shiftrightunsigned("_id", 33))
+    parts = (ided.groupBy(*keys, "_pid")
+             .agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n")))
+    w = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    parts = parts.select(*[F.col(k).alias(f"_p_{k}") for k in keys],
+                         F.col("_pid").alias("_p_pid"), "_first", "_before")
+    cond = F.col("_pid") == F.col("_p_pid")
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_p_{k}"))
+    j = ided.join(parts, cond, "inner")
+    pos = (F.col("_id") - F.col("_first") + F.col("_before") + 1).cast("int")
+    return j.select(*df.columns, pos.alias("_pos"))
+
+
 def align(expected: DataFrame, actual: DataFrame, keys: list[str]) -> DataFrame:
     """Key-aligned pairs; ``status`` is both / expected_only / actual_only.
 
     Rows sharing a key are paired by position (all fields ascending, NULLs
     first), so duplicates are matched deterministically."""
     fields = [c for c in expected.columns if c not in keys]
-    order = [F.col(c).asc_nulls_first() for c in fields]
-    w = Window.partitionBy(*keys).orderBy(*order)
-    e = expected.withColumn("_pos", F.row_number().over(w))
-    a = actual.select(*expected.columns).withColumn("_pos", F.row_number().over(w))
+    e = positions_in_key(expected, keys, fields)
+    a = positions_in_key(actual.select(*expected.columns), keys, fields)
     e = e.select(*[F.col(c).alias(f"e_{c}") for c in e.columns], F.lit(True).alias("_e"))
     a = a.select(*[F.col(c).alias(f"a_{c}") for c in a.columns], F.lit(True).alias("_a"))
     cond = F.col("e__pos") == F.col("a__pos")

@@ -53,3 +53,16 @@ def test_csv_policy(spark, scratch):
     assert r2.success is True and r2.paths == {}
     r3 = run_compare(e, a, o, save_policy="Never", output_dir=scratch + "/out3")
     assert r3.paths == {}
+
+
+def test_positions_in_a_hot_key_span_partitions(spark):
+    from poslake.operators.compare import positions_in_key
+    rows = [(1 if i % 3 else 2, i % 7, f"v{i:04d}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "k int, a int, b string").repartition(16)
+    got = positions_in_key(df, ["k"], ["a", "b"]).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.k, []).append(((r.a, r.b), r._pos))
+    for k, lst in by.items():
+        lst.sort()
+        assert [p for _, p in lst] == list(range(1, len(lst) + 1)), k

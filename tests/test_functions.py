@@ -63,3 +63,27 @@ def test_no_python_udf_in_scalar_rules(spark):
     plan = df.select(is_numeric("v", 5, 2), ticket_clean("v"),
                      zero_position_excluded(F.col("v")))._jdf.queryExecution()
     assert "PythonUDF" not in plan.optimizedPlan().toString()
+
+
+def test_request_id_header_or_deterministic_fallback(spark):
+    import datetime as dt
+
+    from poslake.operators.messages import request_id
+    rows = [("groups", "G1", dt.date(2024, 1, 1), "hdr-1"), ("groups", "G1", dt.date(2024, 1, 1), " "),
+            ("groups", "G1", dt.date(2024, 1, 1), None), ("groups", "G2", dt.date(2024, 1, 1), None)]
+    df = spark.createDataFrame(rows, "load_bb_entity_type string, load_bb_entity_name string, "
+                                     "as_of_date date, hdr string")
+    got = [r[0] for r in df.select(request_id("hdr")).collect()]
+    assert got[0] == "hdr-1"
+    assert got[1] == got[2] and len(got[1]) == 64  # blank header → same key-derived id
+    assert got[3] != got[2]
+
+
+def test_effective_as_of(spark):
+    import datetime as dt
+
+    from poslake.operators.messages import effective_as_of
+    r = spark.range(1).select(effective_as_of("2024-01-02").alias("a"),
+                              effective_as_of("  ").alias("b"),
+                              F.current_date().alias("today")).first()
+    assert r.a == dt.date(2024, 1, 2) and r.b == r.today
