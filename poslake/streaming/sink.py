@@ -3,9 +3,11 @@
 Per micro-batch: (1) initial rows of sessions not yet released are parked in
 ``pending``; (2) released initial rows (parked ones of sessions whose
 ``initial_end`` arrived, plus this batch's) and intraday rows are loaded into
-``inbound``; (3) the initial upsert runs, then the intraday one; (4) inbound
-and positions are written as version ``batch_id + 1``.  A repeated batch id
-finds its version committed and does nothing, so a retry cannot apply twice.
+``inbound``; (3) the initial upsert runs, then the intraday one, over the
+days the batch touches only; (4) those days of positions and inbound are
+written as version ``batch_id + 1``.  Days are independent (every key holds
+the date), so a retried batch skips the days it already committed and redoes
+the rest from the same inputs: it cannot apply twice.
 """
 
 from __future__ import annotations
@@ -20,8 +22,9 @@ from ..operators.colmap import ColumnMap
 from ..operators.messages import zero_filter
 from ..plans.upsert_job import run_upsert
 from ..schemas import SESSION_KEY
+from ..session import cut
 from ..sources.inbound import load_inbound
-from ..sources.tables import VersionedTable
+from ..sources.tables import DailyVersionedTable
 
 
 @dataclass
@@ -32,9 +35,8 @@ class StreamTables:
 
     def __post_init__(self):
         r = self.root.rstrip("/")
-        self.positions = VersionedTable(self.spark, f"{r}/positions")
-        self.inbound = VersionedTable(self.spark, f"{r}/inbound", self.inbound_schema,
-                                      ("as_of_date", "load_bb_entity_name"))
+        self.positions = DailyVersionedTable(self.spark, f"{r}/positions")
+        self.inbound = DailyVersionedTable(self.spark, f"{r}/inbound", self.inbound_schema)
         self.pending = f"{r}/pending"
 
 
@@ -50,8 +52,6 @@ def make_sink(tables: StreamTables, cmap: ColumnMap | None = None, policy: str =
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         version = batch_id + 1
-        if version in tables.positions.versions():
-            return  # already applied (retried batch)
         batch = batch.cache()
         released_now = batch.where(F.col("phase") == "initial_end").select(*SESSION_KEY)
         initial = zero_filter(batch.where(F.col("phase") == "initial"))
@@ -62,13 +62,16 @@ def make_sink(tables: StreamTables, cmap: ColumnMap | None = None, policy: str =
         parked = spark.read.parquet(tables.pending).select(*msg_cols)
         to_load = (parked.join(released_now, SESSION_KEY, "left_semi")
                    .unionByName(batch.where(F.col("phase") == "intraday").select(*msg_cols)))
-        loaded = load_inbound(to_load, cmap).rows
-        inbound = tables.inbound.read().unionByName(loaded)
-        positions = tables.positions.read()
-        first = run_upsert(inbound, positions, False, cmap, policy)
-        second = run_upsert(first.inbound, first.positions, True, cmap, policy)
-        tables.inbound.write(second.inbound, version)
-        tables.positions.write(second.positions, version)
+        loaded = cut(load_inbound(to_load, cmap).rows)
+        # The days this batch touches (a handful of dates, not data).
+        days = [r.as_of_date for r in loaded.select("as_of_date").distinct().collect()]
+        if days:
+            inbound = tables.inbound.read(days).unionByName(loaded)
+            positions = tables.positions.read(days)
+            first = run_upsert(inbound, positions, False, cmap, policy)
+            second = run_upsert(first.inbound, first.positions, True, cmap, policy)
+            tables.positions.write(second.positions, days, tag=version)
+            tables.inbound.write(second.inbound, days, tag=version)
         batch.unpersist()
 
     return sink

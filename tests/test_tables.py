@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from poslake.schemas import POSITIONS_SCHEMA
 from poslake.sources.tables import RunLog, VersionedTable, copy_tables, read_positions
 
@@ -70,3 +72,17 @@ def test_upsert_job_is_logged_and_closed_on_failure(spark, scratch, sf_dir):
     states = {r.job_status_description.split(":")[0] for r in log.jobs().collect()}
     assert states == {"completed", "failed"}
     assert log.details().where("status_text LIKE 'nonfx_inserted:%'").count() == 1
+
+
+def test_daily_versions_touch_only_written_days(spark, scratch):
+    from poslake.sources.tables import DailyVersionedTable
+    t = DailyVersionedTable(spark, f"{scratch}/daily")
+    one = _one(spark)
+    other = one.withColumn("as_of_date", F.lit("2024-01-02").cast("date"))
+    t.write(one.unionByName(other), ["2024-01-01", "2024-01-02"], tag=1)
+    t.write(one.unionByName(one.withColumn("load_bb_entity_name", F.lit("H"))),
+            ["2024-01-01"], tag=2)
+    assert t.days() == ["2024-01-01", "2024-01-02"]
+    assert t.read(["2024-01-01"]).count() == 2 and t.read(["2024-01-02"]).count() == 1
+    t.write(one, ["2024-01-01"], tag=2)  # retried batch: day already committed
+    assert t.read().count() == 3
