@@ -122,6 +122,11 @@ class DailyVersionedTable:
             return self.spark.createDataFrame([], self.schema)
         return out.select(*self.schema.names)
 
+    def reset(self) -> None:
+        """Every day gets a new empty version (history stays readable)."""
+        for d in self.days():
+            self._day(d).reset()
+
     def write(self, df: DataFrame, days, tag: int | None = None) -> None:
         """Write the given days of ``df`` as each day's next version (or as
         version ``tag`` — skipped when that version is already committed)."""

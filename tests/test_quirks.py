@@ -1,0 +1,120 @@
+"""One test per behaviour decided in SURVEY §2.6 (kept or fixed)."""
+
+import datetime as dt
+from decimal import Decimal
+
+from pyspark.sql import functions as F
+
+from poslake.fixtures import fixture
+from poslake.operators import netting
+from poslake.operators.upsert import key_violations
+from poslake.plans.upsert_job import run_upsert, scan_phase
+from poslake.schemas import POSITIONS_SCHEMA
+from poslake.sources import archive
+from poslake.sources.inbound import load_inbound
+
+D = dt.date(2024, 1, 1)
+
+
+def _rows(spark, rows):
+    base = {c: None for c in POSITIONS_SCHEMA.names}
+    base.update(as_of_date=D, load_bb_entity_name="G", load_process="p",
+                load_bb_entity_type="groups", msg_request_id="r", fx_flag=False,
+                short_flag=False, enforce_uniqueness=True)
+    out = []
+    for r in rows:
+        d = dict(base)
+        d.update(r)
+        out.append(tuple(d[c] for c in POSITIONS_SCHEMA.names))
+    return spark.createDataFrame(out, POSITIONS_SCHEMA)
+
+
+def test_q2_single_rows_of_a_netted_security_are_rolled_up(spark):
+    si = _rows(spark, [
+        dict(account_id="A", id_bb_unique="X", cusip="c", load_order=1, short_flag=True,
+             market_value_current=Decimal("-1")),
+        dict(account_id="A", id_bb_unique="X", cusip="c", load_order=2,
+             market_value_current=Decimal("3")),
+        dict(account_id="B", id_bb_unique="X", cusip="c", load_order=3,
+             market_value_current=Decimal("5"))])
+    rolled = {r.account_id: r for r in netting.short_rollup(si).collect()}
+    assert rolled["A"].short_flag is True and rolled["A"].market_value_current == 2
+    assert rolled["B"].short_flag is False and rolled["B"].market_value_current == 5
+    assert netting.nonfx_best(si).count() == 0
+
+
+def test_q4_rollup_sums_duplicates(spark):
+    si = _rows(spark, [dict(account_id="A", id_bb_unique="X", cusip="c", load_order=i,
+                            short_flag=(i == 1), quantity_current=Decimal("2"))
+                       for i in (1, 2, 3)])
+    assert netting.short_rollup(si).first().quantity_current == Decimal("6")
+
+
+def test_q5_intraday_never_nets_and_later_row_replaces(spark, sf_dir):
+    inbound = fixture(spark, sf_dir, "fx_inbound")
+    first = run_upsert(inbound, spark.createDataFrame([], POSITIONS_SCHEMA), False)
+    second = run_upsert(first.inbound, first.positions, True)
+    staged = second.staged_nonfx
+    # Intraday staging is row-by-row: one staged row per intraday row that is
+    # not a ticketed FX row (ticket-less FX rows are groups of one).
+    from poslake.functions.classify import fx_flag
+    from poslake.functions.fields import ticket_clean
+    scan = scan_phase(first.inbound, True)
+    ticketed_fx = F.coalesce(fx_flag() & ticket_clean("deal_ticket_num").isNotNull(),
+                             F.lit(False))
+    assert staged.count() == scan.where(~ticketed_fx).count()
+    # No rollup: every staged row keeps its own load_order (nothing merged).
+    assert staged.select("account_id", "load_order").distinct().count() == staged.count()
+
+
+def test_q6_scan_is_by_phase(spark, sf_dir):
+    inbound = fixture(spark, sf_dir, "fx_inbound")
+    phases = {r.is_intraday for r in scan_phase(inbound, False).select("is_intraday").collect()}
+    assert phases == {"false"}
+    out = run_upsert(inbound, spark.createDataFrame([], POSITIONS_SCHEMA), False)
+    left = out.inbound.where((F.col("is_intraday") == "true") & (F.col("is_processed") == "true"))
+    assert left.count() == 0  # intraday rows are not marked by the initial run
+
+
+def test_q8_counts_per_branch(spark, sf_dir):
+    inbound = fixture(spark, sf_dir, "fx_inbound")
+    out = run_upsert(inbound, spark.createDataFrame([], POSITIONS_SCHEMA), False)
+    counts = {r.kind: r.n for r in out.counts.collect()}
+    assert set(counts) == {"nonfx_inserted", "nonfx_updated", "fx_inserted", "fx_updated",
+                           "marked_processed"}
+    assert counts["nonfx_inserted"] + counts["fx_inserted"] == out.positions.count()
+
+
+def test_q12_initial_rows_ignore_request_id(spark):
+    rows = [(D, "groups", "G", "req-a", 1, "initial", "{}"),
+            (D, "groups", "G", "req-b", 2, "initial", "{}"),
+            (D, "groups", "G", "req-b", 3, None, '{"A":1}'),
+            (D, "groups", "G", "req-a", 4, "", '{"A":2}')]
+    df = spark.createDataFrame(rows, "as_of_date date, load_bb_entity_type string, "
+                                     "load_bb_entity_name string, msg_request_id string, "
+                                     "stream_order long, load_bb_action string, json_stream string")
+    assert archive.initial_rows(df).count() == 2
+    cur = archive.session_cursor(df).first()
+    assert (cur.last_order, cur.msg_request_id) == (2, "req-b")
+    assert [r.stream_order for r in archive.updates_since(df, archive.session_cursor(df))
+            .collect()] == [3]
+
+
+def test_q13_malformed_json_is_quarantined(spark):
+    rows = [(D, "accounts", "U1", "r", 1, '{"ACCOUNT":"U1"}', "initial"),
+            (D, "accounts", "U1", "r", 2, '{"ACCOUNT":', "initial")]
+    df = spark.createDataFrame(rows, "as_of_date date, load_bb_entity_type string, "
+                                     "load_bb_entity_name string, msg_request_id string, "
+                                     "stream_order long, json_stream string, phase string")
+    out = load_inbound(df)
+    assert out.rows.count() == 1 and out.quarantine.count() == 1
+
+
+def test_q14_fx_key_clash_is_reported(spark):
+    table = _rows(spark, [
+        dict(account_id="A", figi="F1", cusip="c1", deal_ticket_num=7, currency="USD",
+             load_order=1),
+        dict(account_id="A", figi="F2", cusip="c2", deal_ticket_num=7, currency="USD",
+             load_order=2)])
+    v = {r.constraint_name for r in key_violations(table).collect()}
+    assert v == {"fx_upsert_key"}
