@@ -53,14 +53,28 @@ def positions_in_key(df: DataFrame, keys: list[str], fields: list[str]) -> DataF
     """1-based position of each row among the rows sharing its key, in the
     order (fields ascending, NULLs first).
 
-    Skew-safe: a global sort on (key, fields) spreads a hot key over many
-    range partitions; ``monotonically_increasing_id`` numbers rows within
-    each partition; a per-(key, partition) aggregate (one row per key and
-    partition) plus a running sum over that small table gives each
-    partition's offset, joined back on (key, partition)."""
+    Keys seen once get position 1 directly: a key-count aggregate finds the
+    repeated keys, and semi/anti joins against that (usually small) set split
+    the rows.  Only rows of repeated keys are positioned, skew-safely: a
+    global sort on (key, fields) spreads a hot key over many range
+    partitions; ``monotonically_increasing_id`` numbers rows within each
+    partition; a per-(key, partition) aggregate plus a running sum over that
+    small table gives each partition's offset, joined back on (key, partition)."""
     from ..session import cut
+    src = df  # a table scan in practice: re-reading it is cheaper than copying it
+    repeated = (src.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+                .where(F.col("_n") > 1).select(*keys))
+    ren = repeated.select(*[F.col(k).alias(f"_r_{k}") for k in keys])
+    on = None
+    for k in keys:
+        c = F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+        on = c if on is None else on & c
+    single = src.join(ren, on, "left_anti").withColumn("_pos", F.lit(1))
+    multi = src.join(ren, on, "left_semi")
+    if multi.isEmpty():
+        return single
     order = [F.col(c).asc_nulls_first() for c in keys + fields]
-    ided = cut(df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()))
+    ided = cut(multi.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()))
     ided = ided.withColumn("_pid", F.shiftrightunsigned("_id", 33))
     parts = (ided.groupBy(*keys, "_pid")
              .agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n")))
@@ -73,7 +87,7 @@ def positions_in_key(df: DataFrame, keys: list[str], fields: list[str]) -> DataF
         cond = cond & F.col(k).eqNullSafe(F.col(f"_p_{k}"))
     j = ided.join(parts, cond, "inner")
     pos = (F.col("_id") - F.col("_first") + F.col("_before") + 1).cast("int")
-    return j.select(*df.columns, pos.alias("_pos"))
+    return single.unionByName(j.select(*df.columns, pos.alias("_pos")))
 
 
 def align(expected: DataFrame, actual: DataFrame, keys: list[str]) -> DataFrame:

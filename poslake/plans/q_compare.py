@@ -18,7 +18,9 @@ STRINGS = set(FIELDS) - NUMERIC - {"short_flag"}
 
 
 def _inputs(spark, sf_dir):
-    return load(spark, sf_dir, "fx_target"), load(spark, sf_dir, "fx_positions")
+    """Both sides materialised once, as the two stored tables they stand for."""
+    from ..session import cut
+    return cut(load(spark, sf_dir, "fx_target")), cut(load(spark, sf_dir, "fx_positions"))
 
 
 # ---- oracle -----------------------------------------------------------------
