@@ -71,7 +71,7 @@ DEFAULT_MAP_ROWS = [
     (9, "load_bb_entity_type", "load_bb_entity_type", "loader", True, True, None, None, "string"),
     (10, "msg_request_id", "msg_request_id", "loader", True, True, None, None, "string"),
     (11, "load_process", "load_process", "loader", True, True, None, None, "string"),
-    (12, "load_order", "load_order", "internal", True, True, None, None, "int"),
+    (12, "load_order", "load_order", "internal", True, True, None, None, "bigint"),
     (13, "load_order", "inbound_row_id", "internal", True, True,
      "CAST(source_column AS BIGINT)", None, "bigint"),
     (14, "security", "bb_security_identifier_desc", "json", True, True, None, _TAKE_NEW, "string"),

@@ -168,7 +168,7 @@ def _load_sql() -> str:
         else:
             expr = f"json_extract_string(json_stream, '$.{src.upper()}')"
         cols.append(f"{expr} AS {src}")
-    cols += ["'false' AS is_processed", "CAST(stream_order AS INT) AS load_order"]
+    cols += ["'false' AS is_processed", "CAST(stream_order AS BIGINT) AS load_order"]
     return (_PHASE_CTES + f""",
 msgs AS (SELECT * FROM zx WHERE (phase = 'initial' AND any_hb = 1 AND NOT excluded)
                              OR phase = 'intraday')

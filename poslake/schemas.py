@@ -43,7 +43,7 @@ POSITIONS_FIELDS: list[tuple[str, T.DataType]] = [
     ("load_bb_entity_type", T.StringType()),
     ("load_bb_uuid", T.IntegerType()),
     ("load_date", T.TimestampNTZType()),
-    ("load_order", T.IntegerType()),
+    ("load_order", T.LongType()),  # the message's own order: beyond 2^31 at scale
     ("load_process", T.StringType()),
     ("load_status", T.StringType()),
     ("loader_derived_asset_class", T.StringType()),

@@ -68,7 +68,7 @@ def load_inbound(messages: DataFrame, cmap: ColumnMap | None = None,
     if "is_processed" not in names:
         extra.append(F.lit("false").alias("is_processed"))
     if "load_order" not in names:
-        extra.append(F.col("stream_order").cast("int").alias("load_order"))
+        extra.append(F.col("stream_order").cast("bigint").alias("load_order"))
     good = m.where(F.col("_msg").isNotNull()).select(*cols, *extra)
     bad = m.where(F.col("_msg").isNull()).drop("_msg")
     return InboundLoad(good, bad)

@@ -57,9 +57,15 @@ def make_sink(tables: StreamTables, cmap: ColumnMap | None = None, policy: str =
         initial = zero_filter(batch.where(F.col("phase") == "initial"))
         msg_cols = [*SESSION_KEY, "stream_order", "json_stream", "phase"]
         # Park this batch's initial rows (keyed by batch so a retry overwrites).
+        # Partitioned by date and entity so that releasing a session prunes to
+        # its own directories (dynamic partition pruning on the semi join).
         (initial.select(*msg_cols).write.mode("overwrite")
+         .partitionBy("as_of_date", "load_bb_entity_name")
          .parquet(f"{tables.pending}/batch={batch_id}"))
-        parked = spark.read.parquet(tables.pending).select(*msg_cols)
+        # Explicit schema: partition values (dates, entity names) keep their types.
+        pending_schema = T.StructType(list(initial.select(*msg_cols).schema.fields)
+                                      + [T.StructField("batch", T.LongType())])
+        parked = spark.read.schema(pending_schema).parquet(tables.pending).select(*msg_cols)
         to_load = (parked.join(released_now, SESSION_KEY, "left_semi")
                    .unionByName(batch.where(F.col("phase") == "intraday").select(*msg_cols)))
         loaded = cut(load_inbound(to_load, cmap).rows)
