@@ -69,7 +69,7 @@ def positions_in_key(df: DataFrame, keys: list[str], fields: list[str]) -> DataF
     for k in keys:
         c = F.col(k).eqNullSafe(F.col(f"_r_{k}"))
         on = c if on is None else on & c
-    single = src.join(ren, on, "left_anti").withColumn("_pos", F.lit(1))
+    single = src.join(ren, on, "left_anti").withColumn("_pos", F.lit(1).cast("bigint"))
     multi = src.join(ren, on, "left_semi")
     if multi.isEmpty():
         return single
@@ -86,7 +86,7 @@ def positions_in_key(df: DataFrame, keys: list[str], fields: list[str]) -> DataF
     for k in keys:
         cond = cond & F.col(k).eqNullSafe(F.col(f"_p_{k}"))
     j = ided.join(parts, cond, "inner")
-    pos = (F.col("_id") - F.col("_first") + F.col("_before") + 1).cast("int")
+    pos = (F.col("_id") - F.col("_first") + F.col("_before") + 1).cast("bigint")
     return single.unionByName(j.select(*df.columns, pos.alias("_pos")))
 
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schemas import BEST_ROW_KEY, PORTFOLIO_KEY, POSITIONS_COLUMNS, sql_type
+from ..schemas import BEST_ROW_KEY, PORTFOLIO_KEY, POSITIONS_COLUMNS, POSITIONS_TYPES
 from .colmap import ColumnMap
 
 WEIGHT_COLUMNS = ("nav_poller_calculated", "market_value_current_pct",
@@ -85,8 +85,8 @@ def strict_inbound(inbound: DataFrame, cmap: ColumnMap | None = None,
 def conform_positions(df: DataFrame) -> DataFrame:
     """Project onto the 46 positions columns; missing ones take their default (NULL)."""
     have = set(df.columns)
-    return df.select(*[F.col(c).cast(sql_type(c)) if c in have
-                       else F.lit(None).cast(sql_type(c)).alias(c)
+    return df.select(*[F.col(c).cast(POSITIONS_TYPES[c]) if c in have
+                       else F.lit(None).cast(POSITIONS_TYPES[c]).alias(c)
                        for c in POSITIONS_COLUMNS])
 
 

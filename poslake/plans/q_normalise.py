@@ -106,8 +106,8 @@ def q_is_numeric(spark, sf_dir):
   trim("account") AS account_id, "as_of_date" AS as_of_date, upper("crncy") AS currency,
   CAST(NULLIF(trim("deal_ticket_num"), '0') AS BIGINT) AS deal_ticket_num,
   CAST("local_market_value" AS DECIMAL(30,9)) AS market_value_current,
-  row_number() OVER (PARTITION BY account, as_of_date, id_bb_unique ORDER BY load_order DESC)
-    AS row_number
+  CAST(row_number() OVER (PARTITION BY account, as_of_date, id_bb_unique ORDER BY load_order DESC)
+    AS INTEGER) AS row_number
 FROM fx_inbound""")
 def q_map_projection(spark, sf_dir):
     """N4 with the fixture's own map (rows read from the map table)."""

@@ -35,6 +35,24 @@ def digest(cols, rows):
     return hashlib.sha256("\n".join(lines).encode()).hexdigest()[:16], lines
 
 
+def duckdb_type(dt) -> str:
+    """The DuckDB name of a Spark result type (for schema comparison)."""
+    from pyspark.sql import types as T
+    names = {T.StringType: "VARCHAR", T.LongType: "BIGINT", T.IntegerType: "INTEGER",
+             T.BooleanType: "BOOLEAN", T.DateType: "DATE", T.TimestampNTZType: "TIMESTAMP",
+             T.TimestampType: "TIMESTAMP WITH TIME ZONE", T.DoubleType: "DOUBLE"}
+    if isinstance(dt, T.DecimalType):
+        return f"DECIMAL({dt.precision},{dt.scale})"
+    return names.get(type(dt), dt.simpleString())
+
+
+def schema_mismatches(df, con, sql: str) -> dict:
+    """Columns whose Spark type differs from the oracle's DuckDB type."""
+    oracle = {r[0]: r[1] for r in con.execute(f"DESCRIBE {sql}").fetchall()}
+    return {f.name: (duckdb_type(f.dataType), oracle.get(f.name)) for f in df.schema.fields
+            if duckdb_type(f.dataType) != oracle.get(f.name)}
+
+
 def duckdb_connection(sf_dir: str):
     import duckdb
 
@@ -50,6 +68,9 @@ def compare_with_oracle(spark, sf_dir: str, fn, sql: str, con=None):
     """Run a query and its oracle; return (ok, detail)."""
     con = con or duckdb_connection(sf_dir)
     df = fn(spark, sf_dir)
+    bad_types = schema_mismatches(df, con, sql)
+    if bad_types:
+        return False, f"types differ: {bad_types}"
     cols, rows = df.columns, [tuple(r) for r in df.collect()]
     res = con.execute(sql)
     ocols, orows = [d[0] for d in res.description], res.fetchall()
