@@ -32,11 +32,18 @@ def _entity_filter(df, as_of_date=None, entity_type=None, entity_name=None):
     return df
 
 
+def in_stream_order(df: DataFrame) -> DataFrame:
+    """Order rows within each entity by stream_order (no global sort: each
+    entity's rows are co-located, then sorted inside their partition)."""
+    return df.repartition(*ENTITY).sortWithinPartitions(*ENTITY, "stream_order")
+
+
 def initial_rows(archive: DataFrame, as_of_date=None, entity_type=None,
-                 entity_name=None) -> DataFrame:
+                 entity_name=None, ordered: bool = False) -> DataFrame:
     """Initial-snapshot rows (not filtered by request id — quirk Q12)."""
     df = _entity_filter(archive, as_of_date, entity_type, entity_name)
-    return df.where(F.col("load_bb_action") == "initial")
+    out = df.where(F.col("load_bb_action") == "initial")
+    return in_stream_order(out) if ordered else out
 
 
 def session_cursor(archive: DataFrame, as_of_date=None, entity_type=None,
