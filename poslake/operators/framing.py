@@ -275,15 +275,21 @@ def reassemble_parallel(chunks: DataFrame, key=("msg_request_id",), order: str =
     entry_schema = T.StructType(key_fields + ENTRY_FIELDS)
 
     def compose(batches):
-        out = []
-        for _g, acc in _runs(batches, key):
-            state, depth, start = 0, 0, None
-            for i, sg in enumerate(acc["seg"]):
-                out.append([*[acc[k][i] for k in key], int(sg), state, depth,
+        # Streams through the sorted summaries, carrying the running entry
+        # across rows and batches: a session's summaries are never held at once.
+        cur, state, depth, start = None, 0, 0, None
+        for pdf in batches:
+            cols = {c: pdf[c].tolist() for c in pdf.columns}
+            out = []
+            for i in range(len(pdf)):
+                k = tuple(cols[c][i] for c in key)
+                if k != cur:
+                    cur, state, depth, start = k, 0, 0, None
+                out.append([*k, int(cols["seg"][i]), state, depth,
                             None if start is None else start[0],
                             None if start is None else start[1]])
-                x, b, a = acc[f"x{state}"][i], acc[f"b{state}"][i], acc[f"a{state}"][i]
-                fr = acc[f"f{state}"][i]
+                x, b, a = cols[f"x{state}"][i], cols[f"b{state}"][i], cols[f"a{state}"][i]
+                fr = cols[f"f{state}"][i]
                 local = None
                 for t, sq, off in reversed(list(fr) if fr is not None else []):
                     if t >= depth:
@@ -292,8 +298,8 @@ def reassemble_parallel(chunks: DataFrame, key=("msg_request_id",), order: str =
                 new_depth = max(depth + int(b), int(a))
                 start = (local or start) if new_depth > 0 else None
                 state, depth = int(x), new_depth
-        if out:
-            yield pd.DataFrame(out, columns=entry_schema.names)
+            if out:
+                yield pd.DataFrame(out, columns=entry_schema.names)
 
     entries = (summaries.repartition(*key).sortWithinPartitions(*key, "seg")
                .mapInPandas(compose, entry_schema))
