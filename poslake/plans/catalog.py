@@ -54,5 +54,4 @@ def oracle_sql() -> dict[str, str]:
 
 def _import_all():
     # Importing the modules fills REGISTRY.
-    from . import (q_archive, q_compare, q_inbound, q_messages, q_netting,  # noqa: F401
-                   q_normalise, q_upsert)
+    from . import q_compare, q_messages, q_netting, q_normalise, q_upsert  # noqa: F401

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from decimal import Decimal
-
-from pyspark.sql import functions as F
-
 from ..operators import compare as cmp
 from .catalog import load, register, with_fixtures
 
@@ -134,5 +130,3 @@ def q_positions_asof(spark, sf_dir):
     from ..sources.tables import positions_asof
     return positions_asof(load(spark, sf_dir, "fx_positions"), "2024-01-02", "GRP1")
 
-
-_unused = (F, Decimal)
