@@ -87,3 +87,24 @@ def test_effective_as_of(spark):
                               effective_as_of("  ").alias("b"),
                               F.current_date().alias("today")).first()
     assert r.a == dt.date(2024, 1, 2) and r.b == r.today
+
+
+def test_target_status_order_and_zero_fill(spark):
+    from poslake.operators.sessions import target_names, target_status
+    metrics = spark.createDataFrame(
+        [("groups", "beta", 2, 3, 4, None), ("accounts", "Zed", 0, 1, 1, None)],
+        "load_bb_entity_type string, load_bb_entity_name string, heartbeats long, "
+        "intraday_objects long, initial_objects long, last_message_at timestamp_ntz")
+    targets = spark.createDataFrame(
+        [("groups", "Alpha"), ("groups", "beta"), ("accounts", "aa"), ("accounts", "AA")],
+        "entity_type string, entity_name string")
+    rows = [(r.started, r.entity_type, r.entity_name, r.heartbeats)
+            for r in target_status(metrics, targets).collect()]
+    assert rows[:2] == [(True, "accounts", "Zed", 0), (True, "groups", "beta", 2)]
+    rest = rows[2:]
+    assert {r[2] for r in rest} == {"AA", "aa", "Alpha"} and all(not r[0] for r in rest)
+    # Then type, then name ignoring case ("AA"/"aa" tie; their order is free).
+    assert [(r[1], r[2].lower()) for r in rest] == sorted((r[1], r[2].lower()) for r in rest)
+    assert [r.entity_name for r in target_names(targets, "ACCOUNTS").collect()] == ["AA"]
+    assert [r.entity_name for r in target_names(targets, "groups").collect()] == [
+        "Alpha", "beta"]
