@@ -2,8 +2,8 @@
 
 Tables are Parquet directories partitioned by ``as_of_date`` and entity.  A
 job never overwrites what its own plan reads: each write goes to a new
-version directory ``v{n}`` and becomes current when Spark commits it (the
-``_SUCCESS`` marker); readers pick the highest committed version.  A version
+version directory ``version={n}`` and becomes current when Spark commits it
+(the ``_SUCCESS`` marker); readers pick the highest committed version.  A version
 keyed by a batch id is skipped if it already exists, so a repeated
 micro-batch (``foreachBatch`` retry) is a no-op.
 """
@@ -48,9 +48,9 @@ class VersionedTable:
         out = []
         for st in fs.listStatus(p):
             name = st.getPath().getName()
-            if name.startswith("v") and name[1:].isdigit():
+            if name.startswith("version=") and name[8:].isdigit():
                 if fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-                    out.append(int(name[1:]))
+                    out.append(int(name[8:]))
         return sorted(out)
 
     def current_version(self) -> int | None:
@@ -58,7 +58,7 @@ class VersionedTable:
         return v[-1] if v else None
 
     def path(self, version: int) -> str:
-        return f"{self.root.rstrip('/')}/v{version}"
+        return f"{self.root.rstrip('/')}/version={version}"
 
     def read(self, version: int | None = None) -> DataFrame:
         v = self.current_version() if version is None else version
@@ -86,9 +86,11 @@ class DailyVersionedTable:
     """A table whose days are versioned independently.
 
     Every key of the positions and inbound tables includes ``as_of_date``, so
-    a day is a self-contained table: ``root/as_of_date=D/v{n}`` (partitioned
-    by entity inside).  A job rewrites only the days it touches; other days
-    are not read or copied.  A version written with a batch tag is skipped if
+    a day is a self-contained table: ``root/as_of_date=D/version=N``
+    (partitioned by entity inside).  A job rewrites only the days it touches;
+    other days are not read or copied.  Reads take each day's latest version
+    as one Parquet relation (``basePath`` = root), so ``as_of_date`` is a
+    partition column and date filters prune directories.  A version written with a batch tag is skipped if
     it already exists, so a retried micro-batch applies once."""
 
     spark: SparkSession
@@ -111,16 +113,18 @@ class DailyVersionedTable:
     def read(self, days=None) -> DataFrame:
         """Latest committed version of each requested day (all days if None)."""
         wanted = [str(d) for d in (self.days() if days is None else days)]
-        out = None
+        paths = []
         for d in wanted:
             day = self._day(d)
-            if day.current_version() is None:
-                continue
-            df = day.read().withColumn("as_of_date", F.lit(d).cast("date"))
-            out = df if out is None else out.unionByName(df)
-        if out is None:
+            v = day.current_version()
+            if v is not None:
+                paths.append(day.path(v))
+        if not paths:
             return self.spark.createDataFrame([], self.schema)
-        return out.select(*self.schema.names)
+        full = T.StructType(list(self.schema.fields)
+                            + [T.StructField("version", T.LongType())])
+        return (self.spark.read.schema(full).option("basePath", self.root)
+                .parquet(*paths).select(*self.schema.names))
 
     def reset(self) -> None:
         """Every day gets a new empty version (history stays readable)."""

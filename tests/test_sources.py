@@ -45,3 +45,17 @@ def test_positions_read_prunes_to_one_directory(spark, sf_dir, scratch):
     assert "ReadSchema: struct<account_id:string,figi:string>" in plan
     assert df.count() == pos.where((F.col("as_of_date") == "2024-01-02")
                                    & (F.col("load_bb_entity_name") == "GRP1")).count()
+
+
+def test_daily_table_read_is_one_pruned_relation(spark, sf_dir, scratch):
+    from poslake.operators.normalise import conform_positions
+    from poslake.sources.tables import DailyVersionedTable
+    pos = conform_positions(fixture(spark, sf_dir, "fx_positions"))
+    t = DailyVersionedTable(spark, f"{scratch}/daily")
+    t.write(pos, ["2024-01-01", "2024-01-02"], tag=1)
+    df = t.read().where(F.col("as_of_date") == F.lit("2024-01-02").cast("date")) \
+        .select("account_id")
+    plan = _plan(df)
+    assert plan.count("FileScan parquet") == 1
+    assert "PartitionFilters: [" in plan and "2024-01-02" in plan.split("PartitionFilters")[1]
+    assert df.count() == pos.where(F.col("as_of_date") == "2024-01-02").count()
