@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.fields import json_field, parse_message
 from ..operators.colmap import ColumnMap
 
-LOAD_PROCESS = "playground-client"
+LOAD_PROCESS = "stream-client"
 
 
 @dataclass
