@@ -48,23 +48,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Checkpoint folder shared by the cluster.
 
     The cluster names it in ``spark.checkpoint.dir``; we only pick our own
-    when it is unset (local tests)."""
+    when it is unset and the master is local (tests)."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="poslake-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
 
 
-def checkpoint_root(spark: SparkSession) -> str:
-    """Directory (URI) under which jobs may write lineage-cutting tables."""
-    return ensure_checkpoint_dir(spark)
-
-
 def cut(df):
     """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
 

@@ -2,7 +2,7 @@
 
 import pytest
 
-from __spark_entry__ import oracle_sql, queries
+from poslake.plans.catalog import oracle_sql, queries
 from poslake.testing import compare_with_oracle, duckdb_connection
 
 QUERIES = queries()

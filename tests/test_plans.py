@@ -2,7 +2,7 @@
 
 import pytest
 
-from __spark_entry__ import queries
+from poslake.plans.catalog import queries
 
 QUERIES = queries()
 FORBIDDEN = ("BroadcastNestedLoopJoin", "CartesianProduct", "BatchEvalPython")
