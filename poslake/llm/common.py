@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import cut
+from . import textnp
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -37,3 +41,18 @@ def text_or_empty(name: str) -> Column:
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only; ``lower`` would also change letters outside ASCII."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def map_texts(df: DataFrame, keep: list[str], text: str, kind: np.ndarray, fields: list[T.StructField],
+              measure: Callable[[textnp.Block], list[np.ndarray]]) -> DataFrame:
+    """``keep`` columns of every row, and the arrays that ``measure`` returns for each block of texts."""
+    schema = T.StructType([*(df.schema[c] for c in keep), *fields])
+    names = schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in textnp.blocks(batch.column(len(keep)), kind):
+                kept = [batch.column(i).slice(block.first, block.n) for i in range(len(keep))]
+                yield pa.RecordBatch.from_arrays(kept + [pa.array(x) for x in measure(block)], names)
+
+    return df.select(*[col(c) for c in keep], text_or_empty(text).alias("__text")).mapInArrow(run, schema)

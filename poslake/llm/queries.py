@@ -6,23 +6,31 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import linededup, shards
+from . import linededup, packing, repetition, shards
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_table(_table(spark, sf_dir, "documents"))
 
 
+def op4_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.repetition(_table(spark, sf_dir, "documents"), ["doc_id"])
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_table(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_line_dedup, op10_sharding)}
+    return {f.__name__: f for f in (op1_packing, op3_line_dedup, op4_repetition, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -73,6 +73,19 @@ class Block:
     ends: np.ndarray
     bounds: np.ndarray
     hashes: np.ndarray
+    sums: np.ndarray
+
+    @property
+    def owner(self) -> np.ndarray:
+        """The text of each word."""
+        return np.repeat(np.arange(self.n), np.diff(self.bounds))
+
+    def span_hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return _span_hashes(self.sums, starts, ends)
+
+    def per_text(self, flags: np.ndarray) -> np.ndarray:
+        """How many of the flagged bytes each text has."""
+        return np.diff(np.concatenate(([0], np.cumsum(flags, dtype=np.int64)))[self.offsets])
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -114,8 +127,13 @@ def _words(first: int, data: np.ndarray, offsets: np.ndarray, kind: np.ndarray)
     ends = np.flatnonzero(inside & (~after | edge[1:])) + 1
     sums = np.zeros(len(data) + 1, U64)
     np.cumsum(_byte_values()[data] * _powers(_BASE, len(data)), out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * _powers(_BASE_INV, len(data) + 1)[starts] + (ends - starts).astype(U64))
-    return Block(first, len(offsets) - 1, data, offsets, starts, ends, np.searchsorted(starts, offsets), hashes)
+    return Block(first, len(offsets) - 1, data, offsets, starts, ends, np.searchsorted(starts, offsets),
+                 _span_hashes(sums, starts, ends), sums)
+
+
+def _span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    shift = _powers(_BASE_INV, len(sums))[starts]
+    return mix((sums[ends] - sums[starts]) * shift + (ends - starts).astype(U64))
 
 
 def ngrams(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -136,3 +154,14 @@ def hash_words(words: list[str]) -> np.ndarray:
         total = (_byte_values()[raw] * _powers(_BASE, len(raw))).sum(dtype=U64)
         out[i:i + 1] = mix(np.array([total], U64) + U64(len(raw)))
     return out
+
+
+def repeats(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Flags of the keys that occur twice or more, and of those equal to an earlier one."""
+    order = np.argsort(keys, kind="stable")
+    same = keys[order][1:] == keys[order][:-1]
+    twice, later = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
+    later[order[1:][same]] = True
+    twice[order[1:][same]] = True
+    twice[order[:-1][same]] = True
+    return twice, later
