@@ -43,7 +43,7 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def map_texts(df: DataFrame, keep: list[str], text: str, kind: np.ndarray, fields: list[T.StructField],
+def map_texts(df: DataFrame, keep: list[str], text: str, kind: textnp.Words, fields: list[T.StructField],
               measure: Callable[[textnp.Block], list[np.ndarray]]) -> DataFrame:
     """``keep`` columns of every row, and the arrays that ``measure`` returns for each block of texts."""
     schema = T.StructType([*(df.schema[c] for c in keep), *fields])

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import linededup, packing, repetition, shards
+from . import linededup, packing, partenum, repetition, shards
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,12 +25,16 @@ def op4_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition(_table(spark, sf_dir, "documents"), ["doc_id"])
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_table(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op3_line_dedup, op4_repetition, op10_sharding)}
+    return {f.__name__: f for f in (op1_packing, op3_line_dedup, op4_repetition, op9_near_duplicates, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -99,4 +99,4 @@ def repetition(docs: DataFrame, keep: list[str], text: str = "text") -> DataFram
         found = measure(block)
         return [found[c] for c in counts + shares] + list(judge(found))
 
-    return map_texts(docs, keep, text, textnp.SPACED, fields, run)
+    return map_texts(docs, keep, text, textnp.Words.SPACED, fields, run)

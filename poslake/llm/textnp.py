@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from enum import Enum
 from functools import cache
 
 import numpy as np
@@ -20,13 +21,21 @@ U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 
-#: Word classes by byte: no white space (space, tab to carriage return), or letters and digits.
-SPACED = np.ones(256, bool)
-SPACED[[0x20, *range(0x09, 0x0E)]] = False
-ALNUM = np.zeros(256, bool)
-ALNUM[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[0x41:0x5B] += 0x20
+_SPACED = np.ones(256, bool)
+_SPACED[[0x20, *range(0x09, 0x0E)]] = False
+_ALNUM = np.zeros(256, bool)
+_ALNUM[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 0x20
+
+
+class Words(Enum):
+    """What a word is: bytes other than white space (space, tab to carriage return), with A-Z as they are or
+    lower-cased; or digits, lower-cased letters and all that is not ASCII."""
+
+    SPACED = "spaced"
+    SPACED_LOWER = "spaced, lower case"
+    ALNUM = "alphanumeric"
 
 
 @cache
@@ -61,7 +70,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Block:
     """Texts ``first`` to ``first + n - 1`` of a batch.
 
-    ``data`` holds their bytes (lower-cased for ``ALNUM`` words), text i at ``offsets[i]`` to
+    ``data`` holds their bytes (A-Z lower-cased if the kind says so), text i at ``offsets[i]`` to
     ``offsets[i + 1]``; its words are ``bounds[i]`` to ``bounds[i + 1]`` of ``starts``, ``ends`` and
     ``hashes``."""
 
@@ -99,8 +108,8 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
-def blocks(column: pa.Array, kind: np.ndarray) -> Iterator[Block]:
-    """The words of a column's texts, block by block; ``kind`` is ``SPACED`` or ``ALNUM``."""
+def blocks(column: pa.Array, kind: Words) -> Iterator[Block]:
+    """The words of a column's texts, block by block."""
     if not len(column):
         return
     data, offsets = text_bytes(column)
@@ -113,10 +122,10 @@ def blocks(column: pa.Array, kind: np.ndarray) -> Iterator[Block]:
         lo = hi
 
 
-def _words(first: int, data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> Block:
-    if kind is ALNUM:
-        data = LOWER[data]
-    inside = kind[data]
+def _words(first: int, data: np.ndarray, offsets: np.ndarray, kind: Words) -> Block:
+    if kind is not Words.SPACED:
+        data = _LOWER[data]
+    inside = (_ALNUM if kind is Words.ALNUM else _SPACED)[data]
     edge = np.zeros(len(data) + 1, bool)  # a text begins here
     edge[offsets] = True
     before = np.zeros(len(data), bool)
