@@ -56,3 +56,22 @@ def map_texts(df: DataFrame, keep: list[str], text: str, kind: textnp.Words, fie
                 yield pa.RecordBatch.from_arrays(kept + [pa.array(x) for x in measure(block)], names)
 
     return df.select(*[col(c) for c in keep], text_or_empty(text).alias("__text")).mapInArrow(run, schema)
+
+
+def bitmap(hashes: DataFrame, column: str, bits: int) -> np.ndarray:
+    """A table of ``bits`` flags (a power of two, 2**15 at least), as packed bytes: which low bits of a hash
+    column occur.  Its size is fixed, so it may go to every task; a false hit costs work, never results."""
+    slot = F.pmod(col(column), F.lit(bits)) + 1
+    parts = (hashes.select(F.bitmap_bucket_number(slot).alias("part"), F.bitmap_bit_position(slot).alias("at"))
+             .groupBy("part").agg(F.bitmap_construct_agg("at").alias("bits")).collect())
+    packed = np.zeros(bits // 8, np.uint8)
+    for row in parts:
+        found = np.frombuffer(bytes(row["bits"]), np.uint8)
+        packed[(row["part"] - 1) * len(found):row["part"] * len(found)] = found
+    return packed
+
+
+def in_bitmap(packed: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which (unsigned) hashes a packed table may hold."""
+    at = hashes & np.uint64(8 * len(packed) - 1)
+    return (packed[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textnp
-from .common import map_texts, materialise, require, text_or_empty
+from .common import bitmap, map_texts, materialise, require, text_or_empty
 from .components import components
 
 WORDS = 5
@@ -175,13 +175,7 @@ def signature_rows(docs: DataFrame, text: str, join: Join, frequency: np.ndarray
 
 def class_sets(docs: DataFrame, text: str, join: Join, wanted: DataFrame) -> DataFrame:
     """(class, shingles) of at least the ``wanted`` classes: a table of fixed size says which texts to look at."""
-    slot = F.pmod(F.col("class"), F.lit(WANTED_BITS)) + 1
-    parts = (wanted.select(F.bitmap_bucket_number(slot).alias("part"), F.bitmap_bit_position(slot).alias("at"))
-             .groupBy("part").agg(F.bitmap_construct_agg("at").alias("bits")).collect())
-    packed = np.zeros(WANTED_BITS // 8, np.uint8)
-    for row in parts:  # WANTED_BITS bits in all
-        bits = np.frombuffer(bytes(row["bits"]), np.uint8)
-        packed[(row["part"] - 1) * len(bits):row["part"] * len(bits)] = bits
+    packed = bitmap(wanted, "class", WANTED_BITS)
 
     def emit(cls: int, shingles: np.ndarray) -> list[pa.Array] | None:
         at = cls & (WANTED_BITS - 1)

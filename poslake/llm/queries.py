@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import linededup, packing, partenum, repetition, shards
+from . import decontam, linededup, packing, partenum, repetition, shards
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op4_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition(_table(spark, sf_dir, "documents"), ["doc_id"])
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partenum.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -34,7 +38,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op3_line_dedup, op4_repetition, op9_near_duplicates, op10_sharding)}
+    return {f.__name__: f for f in (op1_packing, op3_line_dedup, op4_repetition, op8_decontamination, op9_near_duplicates, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:

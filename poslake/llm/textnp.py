@@ -92,6 +92,12 @@ class Block:
     def span_hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return _span_hashes(self.sums, starts, ends)
 
+    def sequence_hashes(self) -> np.ndarray:
+        """A hash of each text's whole word sequence."""
+        sums = np.zeros(len(self.hashes) + 1, U64)
+        np.cumsum(self.hashes * _powers(_BASE, len(self.hashes)), out=sums[1:])
+        return _span_hashes(sums, self.bounds[:-1], self.bounds[1:])
+
     def per_text(self, flags: np.ndarray) -> np.ndarray:
         """How many of the flagged bytes each text has."""
         return np.diff(np.concatenate(([0], np.cumsum(flags, dtype=np.int64)))[self.offsets])
@@ -141,7 +147,7 @@ def _words(first: int, data: np.ndarray, offsets: np.ndarray, kind: Words) -> Bl
 
 
 def _span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    shift = _powers(_BASE_INV, len(sums))[starts]
+    shift = _powers(_BASE_INV, len(sums) + 1)[starts]
     return mix((sums[ends] - sums[starts]) * shift + (ends - starts).astype(U64))
 
 
@@ -155,16 +161,6 @@ def ngrams(hashes: np.ndarray, n: int) -> np.ndarray:
     return mix(out + U64(n))
 
 
-def hash_words(words: list[str]) -> np.ndarray:
-    """Hashes of single words, equal to those that ``blocks`` gives them (already lower-cased)."""
-    out = np.zeros(len(words), U64)
-    for i, word in enumerate(words):
-        raw = np.frombuffer(word.encode(), np.uint8)
-        total = (_byte_values()[raw] * _powers(_BASE, len(raw))).sum(dtype=U64)
-        out[i:i + 1] = mix(np.array([total], U64) + U64(len(raw)))
-    return out
-
-
 def repeats(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Flags of the keys that occur twice or more, and of those equal to an earlier one."""
     order = np.argsort(keys, kind="stable")
