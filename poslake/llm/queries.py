@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, licenses, linededup, packing, partenum, repetition, shards
+from . import decontam, gam, licenses, linededup, packing, partenum, repetition, shards
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gam.quality_table(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -42,7 +46,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op3_line_dedup, op4_repetition, op6_license_scan, op8_decontamination, op9_near_duplicates, op10_sharding)}
+    return {f.__name__: f for f in (op1_packing, op3_line_dedup, op4_repetition, op6_license_scan, op7_quality, op8_decontamination, op9_near_duplicates, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:

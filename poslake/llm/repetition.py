@@ -28,7 +28,7 @@ _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 
 
-def _covered(block: textnp.Block, owner: np.ndarray, n: int) -> np.ndarray:
+def covered_words(block: textnp.Block, owner: np.ndarray, n: int) -> np.ndarray:
     """Flags of the words inside n-word windows that their text holds twice or more."""
     grams = textnp.ngrams(block.hashes, n)
     valid = np.flatnonzero(owner[:len(grams)] == owner[n - 1:]) if len(grams) else np.zeros(0, np.int64)
@@ -38,7 +38,7 @@ def _covered(block: textnp.Block, owner: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(step)[:len(owner)] > 0
 
 
-def _lines(block: textnp.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def worded_lines(block: textnp.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, start, end, equal to an earlier line of the text) of each line with a word."""
     feeds = np.flatnonzero(block.data == 0x0A)
     begins = block.offsets[:-1]
@@ -62,7 +62,7 @@ def measure(block: textnp.Block) -> dict[str, np.ndarray]:
     code_points = np.concatenate(([0], np.cumsum((block.data & 0xC0) != 0x80, dtype=np.int64)))
     chars = code_points[block.ends] - code_points[block.starts]
     total = np.bincount(owner, chars, block.n).astype(np.int64)
-    text, starts, stops, again = _lines(block)
+    text, starts, stops, again = worded_lines(block)
     first, last = np.searchsorted(block.starts, starts[again]), np.searchsorted(block.starts, stops[again])
     by_word = np.concatenate(([0], np.cumsum(chars)))
     out = {"n_words": n_words, "word_chars": total, "n_symbols": block.per_text(_SYMBOL[block.data]),
@@ -70,7 +70,7 @@ def measure(block: textnp.Block) -> dict[str, np.ndarray]:
     share = np.maximum(total, 1)
     out["cover_lines"] = np.bincount(text[again], by_word[last] - by_word[first], block.n) / share
     for n in sorted({BASE_WINDOW, *NGRAM_LIMITS}):
-        inside = _covered(block, owner, n)
+        inside = covered_words(block, owner, n)
         if n == BASE_WINDOW:
             out["n_repeat_words"] = np.bincount(owner, inside, block.n).astype(np.int64)
         if n in NGRAM_LIMITS:
