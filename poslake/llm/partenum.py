@@ -41,7 +41,7 @@ from .components import components
 
 WORDS = 5
 PERCENT = 75
-SLOTS = 1 << 14
+SLOTS = 1 << 17
 #: Bits of the table that tells which classes' sets are needed (a false hit costs a set, no more).
 WANTED_BITS = 1 << 23
 SALTS = 64
@@ -188,8 +188,10 @@ def class_sets(docs: DataFrame, text: str, join: Join, wanted: DataFrame) -> Dat
     return found.join(wanted.select("class").distinct(), "class", "left_semi").dropDuplicates(["class"])
 
 
-def verify(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
-    """The pairs (a, b) of classes whose sets reach the threshold."""
+def verify(docs: DataFrame, text: str, pairs: DataFrame, join: Join) -> DataFrame:
+    """The pairs (a, b) of classes whose sets reach the threshold.  Sets are taken from the texts anew for each
+    round, for its own classes only, and meet their pairs without being stored."""
+    sets = class_sets(docs, text, join, pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))))
     left = sets.select(F.col("class").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("class").alias("b"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
@@ -197,14 +199,28 @@ def verify(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
             .filter(100 * both >= join.percent * (F.size("x") + F.size("y") - both)).select("a", "b"))
 
 
+def _sizes_fit(pairs: DataFrame, sizes: DataFrame, join: Join) -> DataFrame:
+    """The pairs (a, b) whose sizes allow the threshold."""
+    met = (pairs.join(sizes.select(F.col("class").alias("a"), F.col("n_shingles").alias("na")), "a")
+           .join(sizes.select(F.col("class").alias("b"), F.col("n_shingles").alias("nb")), "b"))
+    return met.filter(100 * F.least("na", "nb") >= join.percent * F.greatest("na", "nb"))
+
+
+def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (a, b) that lie in different components so far."""
+    ra, rb = (roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in ("a", "b"))
+    met = pairs.join(ra, "a", "left").join(rb, "b", "left")
+    return met.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+
+
 def _relabel(members: DataFrame, roots: DataFrame) -> DataFrame:
     """Adds ``root``, the component so far, to rows with a ``class``."""
     return members.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn(
         "root", F.coalesce("root", "class"))
 
 
-def links(docs: DataFrame, text: str, join: Join, n_docs: int) -> DataFrame:
-    """Verified links (a, b) between classes that connect every component."""
+def links(docs: DataFrame, text: str, join: Join, sizes: DataFrame, n_docs: int) -> DataFrame:
+    """Verified links (a, b) between classes that connect every component; ``sizes`` has (class, n_shingles)."""
     frequency = shingle_frequency(docs, text, join)
     hot = int(np.median(frequency)) + max(1000, n_docs // 100)
     rows = signature_rows(docs, text, join, frequency, hot)
@@ -214,27 +230,22 @@ def links(docs: DataFrame, text: str, join: Join, n_docs: int) -> DataFrame:
     salted = members.filter("salt > 0 and class = leader")
     tops = salted.select("sign", "class", F.first("class").over(Window.partitionBy("sign").orderBy("class")).alias("leader"))
     stars = members.select("leader", "class").unionByName(tops.select("leader", "class")).filter("leader <> class")
-    stars = materialise(stars.groupBy("leader", "class").agg(F.count(F.lit(1)).alias("n")))
-    wanted = stars.select("class").unionByName(stars.select(F.col("leader").alias("class")))
-    sets = materialise(class_sets(docs, text, join, wanted))
+    stars = stars.groupBy(F.col("leader").alias("a"), F.col("class").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    stars = materialise(_sizes_fit(stars, sizes, join).select("a", "b", "n"))
 
-    first = stars.groupBy(F.col("class").alias("b")).agg(F.max_by("leader", F.struct("n", "leader")).alias("a"))
-    found = materialise(verify(first.select("a", "b"), sets, join))
+    first = stars.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b")
+    found = materialise(verify(docs, text, first, join))
     roots = materialise(components(found))
 
-    rest = _relabel(stars.select("class", "leader"), roots).withColumnRenamed("root", "root_b")
-    rest = _relabel(rest.select(F.col("class").alias("b"), F.col("leader").alias("class"), "root_b"), roots).filter("root <> root_b")
-    rest = rest.select(F.col("class").alias("a"), "b").join(first, ["a", "b"], "left_anti")
-    more = materialise(verify(rest, sets, join))
-    found = found.unionByName(more)
+    rest = _across(stars.select("a", "b"), roots).join(first, ["a", "b"], "left_anti")
+    found = found.unionByName(materialise(verify(docs, text, materialise(rest), join)))
     roots = materialise(components(found))
 
-    across = unresolved_pairs(members, roots, sets, join).join(
-        stars.select(F.col("leader").alias("a"), F.col("class").alias("b")), ["a", "b"], "left_anti")
-    return found.unionByName(materialise(verify(across, sets, join)))
+    across = unresolved_pairs(members, roots, sizes, join).join(stars.select("a", "b"), ["a", "b"], "left_anti")
+    return found.unionByName(materialise(verify(docs, text, materialise(across), join)))
 
 
-def unresolved_pairs(members: DataFrame, roots: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
+def unresolved_pairs(members: DataFrame, roots: DataFrame, sizes: DataFrame, join: Join) -> DataFrame:
     """Pairs (a, b), a < b, that share a signature but lie in different components, sizes permitting.
 
     Signatures with the same classes are one group, and groups within one component drop out first."""
@@ -243,8 +254,7 @@ def unresolved_pairs(members: DataFrame, roots: DataFrame, sets: DataFrame, join
     groups = (placed.groupBy("sign").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n"),
                                          F.min("class").alias("c"), F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("h"))
               .filter("lo <> hi").groupBy("n", "c", "h").agg(F.min("sign").alias("sign")).select("sign"))
-    size = sets.select("class", F.size("shingles").cast("long").alias("size"))
-    open_rows = materialise(placed.join(groups, "sign", "left_semi").join(size, "class"))
+    open_rows = materialise(placed.join(groups, "sign", "left_semi").join(sizes.withColumnRenamed("n_shingles", "size"), "class"))
     x = open_rows.select("sign", F.col("class").alias("a"), F.col("root").alias("ra"), F.col("size").alias("sa"))
     y = open_rows.select("sign", F.col("class").alias("b"), F.col("root").alias("rb"), F.col("size").alias("sb"))
     near = (100 * F.least("sa", "sb") >= join.percent * F.greatest("sa", "sb"))
@@ -255,7 +265,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """(id, n_shingles, class, component_id) for every row."""
     require(docs, [doc_id, text])
     rows = materialise(document_sets(docs, doc_id, text, join).withColumnRenamed(doc_id, "__id"))
-    roots = components(links(docs, text, join, rows.count()))
+    sizes = rows.filter("class <> 0").select("class", "n_shingles").distinct()
+    roots = components(links(docs, text, join, sizes, rows.count()))
     placed = rows.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     least = placed.filter("class <> 0").groupBy("root").agg(F.min("__id").alias("component_id"))
     linked = placed.filter("class <> 0").join(least, "root")

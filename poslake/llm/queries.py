@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, gam, licenses, linededup, packing, partenum, repetition, shards
+from . import decontam, gam, licenses, linededup, packing, partenum, repetition, shards, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(_table(spark, sf_dir, "pages"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_table(_table(spark, sf_dir, "documents"))
 
@@ -46,7 +50,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op3_line_dedup, op4_repetition, op6_license_scan, op7_quality, op8_decontamination, op9_near_duplicates, op10_sharding)}
+    return {f.__name__: f for f in (op1_packing, op2_url_filter, op3_line_dedup, op4_repetition, op6_license_scan, op7_quality, op8_decontamination, op9_near_duplicates, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
