@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, gam, licenses, linededup, packing, partenum, repetition, shards, urlfilter
+from . import chat, decontam, gam, licenses, linededup, packing, partenum, repetition, shards, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op4_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition(_table(spark, sf_dir, "documents"), ["doc_id"])
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.chat_table(_table(spark, sf_dir, "conversations"))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_url_filter, op3_line_dedup, op4_repetition, op6_license_scan, op7_quality, op8_decontamination, op9_near_duplicates, op10_sharding)}
+    return {f.__name__: f for f in (op1_packing, op2_url_filter, op3_line_dedup, op4_repetition, op5_chat, op6_license_scan, op7_quality, op8_decontamination, op9_near_duplicates, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
