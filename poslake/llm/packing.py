@@ -215,7 +215,7 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 rows: list[tuple[int, int, int, int, int]] = []
-                for i, raw in enumerate(encode(part.column(1).to_pylist())):
+                for i, raw in enumerate(map(encode, part.column(1).to_pylist())):
                     raw += end
                     n = len(raw) // 4
                     at, first = 0, n % capacity or capacity
