@@ -116,10 +116,12 @@ def _differs(c: str, dtype, opts: CompareOptions) -> Column:
     e, a = F.col(f"e_{c}"), F.col(f"a_{c}")
     tolerant = opts.tolerant_fields is None or c in opts.tolerant_fields
     if isinstance(dtype, NUMERIC) and tolerant:
-        tol = F.lit(opts.numeric_tolerance).cast("decimal(38,18)")
+        # Subtract in the field's own type: a wider cast would overflow large amounts.
+        tol = F.lit(Decimal(str(opts.numeric_tolerance)) if isinstance(dtype, T.DecimalType)
+                    else float(opts.numeric_tolerance))
         both_null = e.isNull() & a.isNull()
         one_null = e.isNull() != a.isNull()
-        far = F.abs(e.cast("decimal(38,18)") - a.cast("decimal(38,18)")) > tol
+        far = F.abs(e - a) > tol
         return ~both_null & (one_null | F.coalesce(far, F.lit(False)))
     if isinstance(dtype, T.StringType) and opts.string_case_insensitive:
         return ~F.lower(e).eqNullSafe(F.lower(a))

@@ -18,7 +18,10 @@ ORDER = "stream_order"
 PAYLOAD = "json_stream"
 ZERO_FIELD = "POSITION_WITHOUT_PENDING"
 
-PHASES = ("initial", "initial_end", "intraday", "heartbeat")
+# Number shapes the feed may use for zero: sign on either side, brackets,
+# thousands separators, decimals and an exponent, around zeros only.
+ZERO_TEXT = r"^\s*\(?\s*[-+]?\s*[0,]*\.?0*([eE][-+]?[0-9]+)?\s*[-+]?\s*\)?\s*$"
+HAS_ZERO_DIGIT = r"^[^eE]*0"
 
 
 def is_heartbeat(payload: Column | str = PAYLOAD) -> Column:
@@ -47,16 +50,16 @@ def session_phase(log: DataFrame, key=SESSION_KEY) -> DataFrame:
 
 
 def zero_position_excluded(payload: Column | str = PAYLOAD) -> Column:
-    """M5 rule (true = drop): POSITION_WITHOUT_PENDING missing, null, blank or
-    numerically zero.  Non-numeric text and malformed JSON are kept."""
+    """M5 rule (true = drop): an empty payload, or POSITION_WITHOUT_PENDING
+    missing, null, blank or a zero of any shape and size (the text is tested, so
+    nothing is rounded).  Non-numeric text and malformed JSON are kept."""
+    p = F.col(payload) if isinstance(payload, str) else payload
     m = parse_message(payload)
     v = F.try_element_at(m, F.lit(ZERO_FIELD))
-    t = F.trim(v)
-    num = F.regexp_replace(t, ",", "").try_cast("decimal(38,9)")
-    return (F.when(m.isNull(), F.lit(False))
-            .when(v.isNull(), F.lit(True))
-            .when(t == "", F.lit(True))
-            .otherwise(F.coalesce(num == 0, F.lit(False))))
+    return (F.when(~F.coalesce(p.rlike(r"\S"), F.lit(False)), F.lit(True))
+            .when(m.isNull(), F.lit(False))
+            .when(v.isNull() | ~v.rlike(r"\S"), F.lit(True))
+            .otherwise(v.rlike(ZERO_TEXT) & v.rlike(HAS_ZERO_DIGIT)))
 
 
 def zero_filter(phased: DataFrame) -> DataFrame:

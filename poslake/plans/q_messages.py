@@ -23,12 +23,16 @@ p AS (SELECT *, COALESCE(sum(is_hb) OVER (PARTITION BY {SK} ORDER BY stream_orde
 ph AS (SELECT *, CASE WHEN prior_hb = 0 AND is_hb = 1 THEN 'initial_end'
                       WHEN prior_hb = 0 THEN 'initial'
                       WHEN is_hb = 1 THEN 'heartbeat' ELSE 'intraday' END AS phase FROM p),
-zx AS (SELECT *, CASE WHEN NOT json_valid(json_stream) THEN false
-    WHEN json_extract_string(json_stream, '$.POSITION_WITHOUT_PENDING') IS NULL THEN true
-    WHEN trim(json_extract_string(json_stream, '$.POSITION_WITHOUT_PENDING')) = '' THEN true
-    ELSE COALESCE(TRY_CAST(replace(trim(json_extract_string(json_stream,
-         '$.POSITION_WITHOUT_PENDING')), ',', '') AS DECIMAL(38,9)) = 0, false) END AS excluded
-    FROM ph)"""
+pv AS (SELECT *, CASE WHEN json_valid(json_stream) THEN
+    json_extract_string(json_stream, '$.POSITION_WITHOUT_PENDING') END AS amount FROM ph),
+zx AS (SELECT * EXCLUDE (amount), CASE
+    WHEN NOT regexp_matches(COALESCE(json_stream, ''), '\\S') THEN true
+    WHEN NOT json_valid(json_stream) THEN false
+    WHEN amount IS NULL OR NOT regexp_matches(amount, '\\S') THEN true
+    -- zero: nothing but zeros once signs, brackets, separators and exponent are gone
+    ELSE regexp_full_match(regexp_replace(amount, '[eE][-+]?[0-9]+|[-+(),\\s]', '', 'g'),
+                           '0+[.]?0*|[.]0+') END AS excluded
+    FROM pv)"""
 
 
 def _phased(spark, sf_dir):
@@ -138,13 +142,16 @@ def q_updates_since(spark, sf_dir):
     return archive.updates_since(a, archive.session_cursor(a))
 
 
-@register("session_replay", _STREAM + f", cur AS ({_CURSOR_SQL}), ups AS ({_UPDATES_SQL})\n"
+@register("session_replay", _STREAM + f", cur AS ({_CURSOR_SQL}), "
+          f"ups AS ({_UPDATES_SQL} AND regexp_matches(c.msg_request_id, '\\S')),\n"
+          f"snaps AS (SELECT {_ENT}, count(*) FILTER (load_bb_action = 'initial') AS n "
+          f"FROM fx_stream GROUP BY {_ENT})\n"
           f"""SELECT {_ENT}, 0 AS phase, CAST(stream_order AS BIGINT) AS seq, json_stream
 FROM fx_stream WHERE load_bb_action = 'initial'
 UNION ALL
 SELECT c.as_of_date, c.load_bb_entity_type, c.load_bb_entity_name, 1 AS phase,
   CAST(g.i AS BIGINT) AS seq, '{{}}' AS json_stream
-FROM cur c, LATERAL (SELECT unnest(range(1, CASE WHEN c.msg_request_id IS NULL THEN 1 ELSE 5 END
+FROM snaps c, LATERAL (SELECT unnest(range(1, CASE WHEN c.n = 0 THEN 1 ELSE 5 END
                                            + 1)) AS i) g
 UNION ALL
 SELECT {_ENT}, 2 AS phase, CAST(stream_order AS BIGINT) AS seq, json_stream FROM ups""")

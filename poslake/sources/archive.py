@@ -72,18 +72,21 @@ def updates_since(archive: DataFrame, cursor: DataFrame) -> DataFrame:
 def session_replay(archive: DataFrame, as_of_date=None, entity_type=None,
                    entity_name=None) -> DataFrame:
     """What the server sends per entity — initial rows, then end markers
-    (5 after a snapshot, 1 if there was none), then updates of the snapshot's
-    request id.  ``(phase, seq)`` orders a session's output."""
+    (5 after a snapshot of any rows, 1 if there was none), then updates of the
+    snapshot's request id (none if it is NULL or blank).  ``(phase, seq)``
+    orders a session's output."""
     df = _entity_filter(archive, as_of_date, entity_type, entity_name)
     cur = session_cursor(df)
+    counts = df.groupBy(*ENTITY).agg(
+        F.count_if(F.col("load_bb_action") == "initial").alias("n_initial"))
     init = initial_rows(df).select(*ENTITY, F.lit(0).alias("phase"),
                                    F.col("stream_order").cast("bigint").alias("seq"),
                                    F.col("json_stream"))
-    n_markers = F.when(F.col("msg_request_id").isNotNull(), F.lit(END_MARKERS)).otherwise(1)
-    markers = cur.select(*ENTITY, F.lit(1).alias("phase"),
+    n_markers = F.when(F.col("n_initial") > 0, F.lit(END_MARKERS)).otherwise(1)
+    markers = counts.select(*ENTITY, F.lit(1).alias("phase"),
                          F.explode(F.sequence(F.lit(1).cast("bigint"), n_markers.cast("bigint"))).alias("seq"),
                          F.lit(MARKER).alias("json_stream"))
-    ups = updates_since(df, cur.where(F.col("msg_request_id").isNotNull())).select(
+    ups = updates_since(df, cur.where(F.col("msg_request_id").rlike("\\S"))).select(
         *ENTITY, F.lit(2).alias("phase"), F.col("stream_order").cast("bigint").alias("seq"),
         F.col("json_stream"))
     return init.unionByName(markers).unionByName(ups)

@@ -3,14 +3,16 @@
 Tables are Parquet directories partitioned by ``as_of_date`` and entity.  A
 job never overwrites what its own plan reads: each write goes to a new
 version directory ``version={n}`` and becomes current when Spark commits it
-(the ``_SUCCESS`` marker); readers pick the highest committed version.  A version
-keyed by a batch id is skipped if it already exists, so a repeated
-micro-batch (``foreachBatch`` retry) is a no-op.
+(the ``_SUCCESS`` marker); readers pick the highest committed version.  A
+write with a tag goes to ``version={n}_{tag}`` and is skipped if a version with
+that tag is committed, so a repeated micro-batch (tag: query id and batch id) is a
+no-op, while other writers' versions and resets never stand in its way.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
+import re
 import uuid
 from dataclasses import dataclass
 
@@ -21,6 +23,8 @@ from pyspark.sql import types as T
 from ..schemas import POSITIONS_SCHEMA, RUNLOG_DETAIL_SCHEMA, RUNLOG_SCHEMA
 
 PARTITIONS = ["as_of_date", "load_bb_entity_name"]
+SOURCES = {"current": "positions", "history": "history"}
+_VERSION = re.compile(r"version=(\d+)(?:_(.+))?")
 
 
 def _fs(spark: SparkSession, path: str):
@@ -29,11 +33,6 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
 
 
-def _exists(spark, path: str) -> bool:
-    fs, p, _ = _fs(spark, path)
-    return fs.exists(p)
-
-
 @dataclass
 class VersionedTable:
     spark: SparkSession
@@ -41,24 +40,31 @@ class VersionedTable:
     schema: T.StructType = POSITIONS_SCHEMA
     partition_by: tuple[str, ...] = tuple(PARTITIONS)
 
-    def versions(self) -> list[int]:
+    def committed(self) -> dict[int, str]:
+        """Committed versions and their tags (empty if none)."""
         fs, p, jvm = _fs(self.spark, self.root)
         if not fs.exists(p):
-            return []
-        out = []
+            return {}
+        out = {}
         for st in fs.listStatus(p):
-            name = st.getPath().getName()
-            if name.startswith("version=") and name[8:].isdigit():
-                if fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-                    out.append(int(name[8:]))
-        return sorted(out)
+            m = _VERSION.fullmatch(st.getPath().getName())
+            if m and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
+                out[int(m[1])] = m[2] or ""
+        return dict(sorted(out.items()))
+
+    def versions(self) -> list[int]:
+        return list(self.committed())
 
     def current_version(self) -> int | None:
         v = self.versions()
         return v[-1] if v else None
 
     def path(self, version: int) -> str:
-        return f"{self.root.rstrip('/')}/version={version}"
+        tag = self.committed().get(version, "")
+        return self._path(version, tag)
+
+    def _path(self, version: int, tag: str) -> str:
+        return f"{self.root.rstrip('/')}/version={version}" + (f"_{tag}" if tag else "")
 
     def read(self, version: int | None = None) -> DataFrame:
         v = self.current_version() if version is None else version
@@ -66,14 +72,19 @@ class VersionedTable:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(self.path(v))
 
-    def write(self, df: DataFrame, version: int | None = None) -> int:
-        """Write a new version (or the given one, if not written yet)."""
-        v = (self.current_version() or 0) + 1 if version is None else version
-        if version is not None and version in self.versions():
-            return v  # already committed: a retried batch
+    def write(self, df: DataFrame, tag: str = "") -> int:
+        """Write the next version, unless one with this tag is committed (a retry).
+
+        ``rebalance`` gathers an entity's rows and, unlike a repartition, lets
+        AQE split a large entity over several files."""
+        have = self.committed()
+        for v, t in have.items():
+            if tag and t == tag:
+                return v
+        v = max(have, default=0) + 1
         (df.select(*[F.col(f.name).cast(f.dataType) for f in self.schema.fields])
-         .repartition(*self.partition_by)
-         .write.mode("overwrite").partitionBy(*self.partition_by).parquet(self.path(v)))
+         .hint("rebalance", *self.partition_by)
+         .write.mode("overwrite").partitionBy(*self.partition_by).parquet(self._path(v, tag)))
         return v
 
     def reset(self) -> int:
@@ -90,8 +101,9 @@ class DailyVersionedTable:
     (partitioned by entity inside).  A job rewrites only the days it touches;
     other days are not read or copied.  Reads take each day's latest version
     as one Parquet relation (``basePath`` = root), so ``as_of_date`` is a
-    partition column and date filters prune directories.  A version written with a batch tag is skipped if
-    it already exists, so a retried micro-batch applies once."""
+    partition column and date filters prune directories.  A day whose version
+    with a batch's tag is committed is skipped, so a retried micro-batch
+    applies once."""
 
     spark: SparkSession
     root: str
@@ -122,7 +134,7 @@ class DailyVersionedTable:
         if not paths:
             return self.spark.createDataFrame([], self.schema)
         full = T.StructType(list(self.schema.fields)
-                            + [T.StructField("version", T.LongType())])
+                            + [T.StructField("version", T.StringType())])
         return (self.spark.read.schema(full).option("basePath", self.root)
                 .parquet(*paths).select(*self.schema.names))
 
@@ -131,13 +143,13 @@ class DailyVersionedTable:
         for d in self.days():
             self._day(d).reset()
 
-    def write(self, df: DataFrame, days, tag: int | None = None) -> None:
-        """Write the given days of ``df`` as each day's next version (or as
-        version ``tag`` — skipped when that version is already committed)."""
+    def write(self, df: DataFrame, days, tag: str = "") -> None:
+        """Write the given days of ``df`` as each day's next version (days that
+        have a committed version with this tag are skipped)."""
         for d in sorted({str(x) for x in days}):
             day = self._day(d)
             part = df.where(F.col("as_of_date") == F.lit(d).cast("date")).drop("as_of_date")
-            day.write(part, version=None if tag is None else tag)
+            day.write(part, tag)
 
 
 def positions_asof(positions: DataFrame, as_of_date, entity_name: str) -> DataFrame:
@@ -149,12 +161,26 @@ def positions_asof(positions: DataFrame, as_of_date, entity_name: str) -> DataFr
 
 def read_positions(spark: SparkSession, root: str, source: str, as_of_date,
                    entity_name: str) -> DataFrame:
-    """S7 with the source switch: ``current`` or ``history`` (any case)."""
+    """S7 with the source switch: ``current`` (the table that the stream and the
+    upsert jobs write) or ``history`` (see ``keep_history``), in any case.
+
+    A root without that table is an error, not an empty result."""
     s = (source or "").strip().lower()
-    if s not in ("current", "history"):
-        raise ValueError("expectedSource must be 'current' or 'history'.")
-    table = VersionedTable(spark, f"{root.rstrip('/')}/{s}")
-    return positions_asof(table.read(), as_of_date, entity_name)
+    if s not in SOURCES:
+        raise ValueError(f"unknown positions source {source!r}: use current or history")
+    path = f"{root.rstrip('/')}/{SOURCES[s]}"
+    fs, p, _ = _fs(spark, path)
+    if not fs.exists(p):
+        raise FileNotFoundError(f"no {s} positions under {root}")
+    table = DailyVersionedTable(spark, path)
+    return positions_asof(table.read([as_of_date]), as_of_date, entity_name)
+
+
+def keep_history(spark: SparkSession, root: str, days) -> None:
+    """Copies the current positions of ``days`` into the history table."""
+    base = root.rstrip("/")
+    current = DailyVersionedTable(spark, f"{base}/{SOURCES['current']}").read(days)
+    DailyVersionedTable(spark, f"{base}/{SOURCES['history']}").write(current, days)
 
 
 SAVE_POLICIES = ("always", "onfailure", "never")

@@ -3,8 +3,10 @@
 ``classify_stream`` tags each message with its phase.  State per session is
 (max order seen, released, first heartbeat): initial rows are *not* held in
 state — they flow out tagged ``initial`` and the sink parks them until the
-session's ``initial_end`` marker releases them.  Rows at or below the
-highest order already seen are dropped (late rows are never delivered).
+session's ``initial_end`` marker releases them.  A row's phase follows from its
+order and the first heartbeat's, as in the batch form, so initial rows may come
+in any order of files.  Updates at or below the highest order already seen are
+never applied; they flow out as ``late`` so that the sink can count them.
 """
 
 from __future__ import annotations
@@ -42,26 +44,26 @@ def classify_stream(messages: DataFrame, key=SESSION_KEY, order: str = "stream_o
             max_order, released, first_hb = state.get
         else:
             max_order, released, first_hb = -1, False, None
-        pdf = pd.concat(list(pdfs), ignore_index=True)
-        pdf = pdf[pdf[order] > max_order].sort_values(order, kind="stable")
+        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(order, kind="stable")
         if pdf.empty:
             return
         hb = _hb(pdf[payload]).to_numpy()
         orders = pdf[order].to_numpy()
         phase = []
         for is_hb, o in zip(hb, orders):
-            if not released:
-                if is_hb:
-                    released, first_hb = True, int(o)
-                    phase.append("initial_end")
-                else:
-                    phase.append("initial")
+            if not released and is_hb:
+                released, first_hb = True, int(o)
+                phase.append("initial_end")
+            elif not released or (not is_hb and o < first_hb):
+                phase.append("initial")
+            elif is_hb:
+                phase.append("heartbeat")
             else:
-                phase.append("heartbeat" if is_hb else "intraday")
+                phase.append("late" if o <= max_order else "intraday")
         out = pdf[cols].copy()
         out["phase"] = phase
         out["released"] = released
-        state.update((int(orders.max()), bool(released), first_hb))
+        state.update((max(max_order, int(orders.max())), bool(released), first_hb))
         yield out
 
     return messages.groupBy(*key).applyInPandasWithState(

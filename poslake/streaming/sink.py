@@ -1,18 +1,27 @@
-"""foreachBatch sink: messages → inbound → upsert, versioned by batch id.
+"""foreachBatch sink: messages → inbound → upsert, keyed by query and batch id.
 
 Per micro-batch: (1) initial rows of sessions not yet released are parked in
-``pending``; (2) released initial rows (parked ones of sessions whose
-``initial_end`` arrived, plus this batch's) and intraday rows are loaded into
-``inbound``; (3) the initial upsert runs, then the intraday one, over the
-days the batch touches only; (4) those days of positions and inbound are
-written as version ``batch_id + 1``.  Days are independent (every key holds
-the date), so a retried batch skips the days it already committed and redoes
-the rest from the same inputs: it cannot apply twice.
+``pending``; (2) the initial rows of released sessions (parked earlier, or in
+this batch) and intraday rows are loaded; (3) the initial upsert runs, then the
+intraday one, over the loaded rows and the days they touch; (4) those days of
+positions are written, and the loaded rows are appended to ``inbound`` with
+their processed flags.  Messages that cannot be parsed and updates that came too
+late go to ``quarantine``, so loaded + quarantined + parked = received (zero
+positions, markers and heartbeats aside).  Every run is logged and closed after
+its writes.
+
+Everything a batch writes carries the tag (query id, batch id): positions skip a
+day whose version with that tag is committed, and the batch's own folders of
+``inbound``, ``pending`` and ``quarantine`` are overwritten, so a retried batch
+cannot apply twice.  One streaming query owns the tables; another one (a new
+checkpoint) is refused, because it would replay what has been applied.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +33,10 @@ from ..plans.upsert_job import run_upsert
 from ..schemas import SESSION_KEY
 from ..session import cut
 from ..sources.inbound import load_inbound
-from ..sources.tables import DailyVersionedTable
+from ..sources.tables import DailyVersionedTable, RunLog, _fs
+
+MESSAGE_COLUMNS = [*SESSION_KEY, "stream_order", "json_stream", "phase"]
+PARKED_BY = ["batch", "as_of_date", "load_bb_entity_name"]
 
 
 @dataclass
@@ -34,10 +46,49 @@ class StreamTables:
     inbound_schema: T.StructType
 
     def __post_init__(self):
-        r = self.root.rstrip("/")
-        self.positions = DailyVersionedTable(self.spark, f"{r}/positions")
-        self.inbound = DailyVersionedTable(self.spark, f"{r}/inbound", self.inbound_schema)
-        self.pending = f"{r}/pending"
+        self.base = self.root.rstrip("/")
+        self.positions = DailyVersionedTable(self.spark, f"{self.base}/positions")
+        self.log = RunLog(self.spark, f"{self.base}/runlog")
+        self.pending = f"{self.base}/pending"
+
+    def _read(self, name: str, schema: T.StructType) -> DataFrame:
+        path = f"{self.base}/{name}"
+        fs, p, _ = _fs(self.spark, path)
+        if not fs.exists(p):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(path)
+
+    def inbound(self) -> DataFrame:
+        """All loaded rows, batch after batch (append-only)."""
+        return self._read("inbound", self.inbound_schema)
+
+    def quarantine(self) -> DataFrame:
+        """Messages that no job loaded, with the reason."""
+        return self._read("quarantine", _message_schema("reason"))
+
+    def parked(self) -> DataFrame:
+        """Initial rows that wait for their session's end marker."""
+        return self._read("pending", _message_schema("batch"))
+
+    def claim(self, query_id: str) -> None:
+        """Makes ``query_id`` the owner of the tables; raises if another query owns them."""
+        fs, p, jvm = _fs(self.spark, f"{self.base}/_owner")
+        if fs.exists(p):
+            stream = fs.open(p)
+            owner = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            stream.close()
+            if owner != query_id:
+                raise RuntimeError(f"{self.root} belongs to streaming query {owner}; start with its checkpoint, "
+                                   f"or use another folder (this query is {query_id})")
+            return
+        stream = fs.create(p, False)
+        stream.write(bytearray(query_id, "utf-8"))
+        stream.close()
+
+
+def _message_schema(extra: str) -> T.StructType:
+    types = {"as_of_date": T.DateType(), "stream_order": T.LongType()}
+    return T.StructType([T.StructField(c, types.get(c, T.StringType())) for c in [*MESSAGE_COLUMNS, extra]])
 
 
 def inbound_schema(spark: SparkSession, cmap: ColumnMap | None = None) -> T.StructType:
@@ -47,51 +98,80 @@ def inbound_schema(spark: SparkSession, cmap: ColumnMap | None = None) -> T.Stru
     return load_inbound(probe, cmap).rows.schema
 
 
-def make_sink(tables: StreamTables, cmap: ColumnMap | None = None, policy: str = "last"):
+def _query_id(spark: SparkSession) -> str:
+    return spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "manual"
+
+
+def _drop_released(tables: StreamTables, released: DataFrame) -> None:
+    """Deletes parked folders of which every session is released."""
+    places = (tables.parked().select(*SESSION_KEY, "batch").distinct()
+              .join(released.withColumn("_out", F.lit(True)), SESSION_KEY, "left")
+              .groupBy(*PARKED_BY).agg(F.bool_and(F.col("_out").isNotNull()).alias("done"))
+              .where("done").select(*PARKED_BY))
+    for r in places.collect():  # folders, not rows
+        fs, day, _ = _fs(tables.spark, f"{tables.pending}/batch={r.batch}/as_of_date={r.as_of_date}")
+        for st in fs.listStatus(day):  # names are escaped in paths
+            if unquote(st.getPath().getName()) == f"load_bb_entity_name={r.load_bb_entity_name}":
+                fs.delete(st.getPath(), True)
+
+
+def make_sink(tables: StreamTables, cmap: ColumnMap | None = None, policy: str | None = None,
+              query_id: str | None = None) -> Callable[[DataFrame, int], None]:
+    """The foreachBatch function.  ``policy`` is for keys that repeat among initial rows."""
     spark = tables.spark
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        version = batch_id + 1
+        owner = query_id or _query_id(spark)
+        tables.claim(owner)
+        tag = f"{owner}-{batch_id}"
         batch = batch.cache()
-        released_now = batch.where(F.col("phase") == "initial_end").select(*SESSION_KEY)
+        msg = lambda df: df.select(*MESSAGE_COLUMNS)
+        ended = batch.where(F.col("phase") == "initial_end").select(*SESSION_KEY).distinct()
         initial = zero_filter(batch.where(F.col("phase") == "initial"))
-        msg_cols = [*SESSION_KEY, "stream_order", "json_stream", "phase"]
-        # Park this batch's initial rows (keyed by batch so a retry overwrites).
-        # Partitioned by date and entity so that releasing a session prunes to
-        # its own directories (dynamic partition pruning on the semi join).
-        (initial.select(*msg_cols).write.mode("overwrite")
-         .partitionBy("as_of_date", "load_bb_entity_name")
-         .parquet(f"{tables.pending}/batch={batch_id}"))
-        # Explicit schema: partition values (dates, entity names) keep their types.
-        pending_schema = T.StructType(list(initial.select(*msg_cols).schema.fields)
-                                      + [T.StructField("batch", T.LongType())])
-        parked = spark.read.schema(pending_schema).parquet(tables.pending).select(*msg_cols)
-        to_load = (parked.join(released_now, SESSION_KEY, "left_semi")
-                   .unionByName(batch.where(F.col("phase") == "intraday").select(*msg_cols)))
-        loaded = cut(load_inbound(to_load, cmap).rows)
+        # Rows of a session that is released in this batch or was before need no parking.
+        direct, waiting = initial.where("released"), initial.where("NOT released")
+        (msg(waiting).write.mode("overwrite").partitionBy("as_of_date", "load_bb_entity_name")
+         .parquet(f"{tables.pending}/batch={tag}"))
+        released = tables.parked().join(ended, SESSION_KEY, "left_semi")
+        to_load = (msg(released).unionByName(msg(direct))
+                   .unionByName(msg(batch.where(F.col("phase") == "intraday"))))
+        loaded = load_inbound(to_load, cmap)
+        rows = cut(loaded.rows)
+        late = msg(batch.where(F.col("phase") == "late")).withColumn("reason", F.lit("late"))
+        (msg(loaded.quarantine).withColumn("reason", F.lit("malformed")).unionByName(late)
+         .write.mode("overwrite").parquet(f"{tables.base}/quarantine/batch={tag}"))
         # The days this batch touches (a handful of dates, not data).
-        days = [r.as_of_date for r in loaded.select("as_of_date").distinct().collect()]
-        if days:
-            inbound = tables.inbound.read(days).unionByName(loaded)
-            positions = tables.positions.read(days)
-            first = run_upsert(inbound, positions, False, cmap, policy)
-            second = run_upsert(first.inbound, first.positions, True, cmap, policy)
-            tables.positions.write(second.positions, days, tag=version)
-            tables.inbound.write(second.inbound, days, tag=version)
-        batch.unpersist()
+        days = [r.as_of_date for r in rows.select("as_of_date").distinct().collect()]
+        job = tables.log.start("stream_batch", tag)
+        try:
+            if days:
+                first = run_upsert(rows, tables.positions.read(days), False, cmap, policy)
+                second = run_upsert(first.inbound, first.positions, True, cmap)
+                tables.positions.write(second.positions, days, tag)
+                second.inbound.write.mode("overwrite").parquet(f"{tables.base}/inbound/batch={tag}")
+                for out, phase in ((first, "initial"), (second, "intraday")):
+                    for r in out.counts.collect():
+                        tables.log.status(job, "stream_batch", tag, f"{phase} {r.kind}: {r.n}")
+            _drop_released(tables, ended)
+            tables.log.end(job)
+        except Exception as e:
+            tables.log.end(job, 2, f"failed: {str(e).splitlines()[0][:500]}")
+            raise
+        finally:
+            batch.unpersist()
 
     return sink
 
 
 def run_archive_stream(spark: SparkSession, archive_dir: str, archive_schema: T.StructType,
                        root: str, checkpoint: str, cmap: ColumnMap | None = None,
-                       max_files_per_trigger: int = 1):
+                       max_files_per_trigger: int = 1, policy: str | None = None):
     """Replay archive files as a stream (availableNow) into the tables."""
     from .sessions import classify_stream
     tables = StreamTables(spark, root, inbound_schema(spark, cmap))
     src = (spark.readStream.schema(archive_schema)
            .option("maxFilesPerTrigger", max_files_per_trigger).parquet(archive_dir))
-    q = (classify_stream(src).writeStream.foreachBatch(make_sink(tables, cmap))
+    q = (classify_stream(src).writeStream.foreachBatch(make_sink(tables, cmap, policy))
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
     return tables

@@ -38,9 +38,9 @@ def test_diff_tolerance_and_case(spark):
 def test_guards(spark):
     e, a = _frames(spark)
     o = CompareOptions(["k"])
-    assert run_compare(e, a, o, expected_source="bogus").message.startswith("expectedSource")
-    assert "No EXPECTED" in run_compare(e.where(F.lit(False)), a, o).message
-    assert "No ACTUAL" in run_compare(e, a.where(F.lit(False)), o).message
+    assert run_compare(e, a, o, expected_source="bogus").reason == "source"
+    assert run_compare(e.where(F.lit(False)), a, o).reason == "expected_empty"
+    assert run_compare(e, a.where(F.lit(False)), o).reason == "actual_empty"
 
 
 def test_csv_policy(spark, scratch):

@@ -52,7 +52,7 @@ def test_q4_rollup_sums_duplicates(spark):
 
 def test_q5_intraday_never_nets_and_later_row_replaces(spark, sf_dir):
     inbound = fixture(spark, sf_dir, "fx_inbound")
-    first = run_upsert(inbound, spark.createDataFrame([], POSITIONS_SCHEMA), False)
+    first = run_upsert(inbound, spark.createDataFrame([], POSITIONS_SCHEMA), False, policy="last")
     second = run_upsert(first.inbound, first.positions, True)
     staged = second.staged_nonfx
     # Intraday staging is row-by-row: one staged row per intraday row that is
@@ -71,14 +71,14 @@ def test_q6_scan_is_by_phase(spark, sf_dir):
     inbound = fixture(spark, sf_dir, "fx_inbound")
     phases = {r.is_intraday for r in scan_phase(inbound, False).select("is_intraday").collect()}
     assert phases == {"false"}
-    out = run_upsert(inbound, spark.createDataFrame([], POSITIONS_SCHEMA), False)
+    out = run_upsert(inbound, spark.createDataFrame([], POSITIONS_SCHEMA), False, policy="last")
     left = out.inbound.where((F.col("is_intraday") == "true") & (F.col("is_processed") == "true"))
     assert left.count() == 0  # intraday rows are not marked by the initial run
 
 
 def test_q8_counts_per_branch(spark, sf_dir):
     inbound = fixture(spark, sf_dir, "fx_inbound")
-    out = run_upsert(inbound, spark.createDataFrame([], POSITIONS_SCHEMA), False)
+    out = run_upsert(inbound, spark.createDataFrame([], POSITIONS_SCHEMA), False, policy="last")
     counts = {r.kind: r.n for r in out.counts.collect()}
     assert set(counts) == {"nonfx_inserted", "nonfx_updated", "fx_inserted", "fx_updated",
                            "marked_processed"}

@@ -66,7 +66,7 @@ def _batch_positions(spark, log):
     released = msg.initial_batch(phased).select(*cols).unionByName(
         phased.where(F.col("phase") == "intraday").select(*cols))
     inbound = load_inbound(released).rows
-    _first, second = run_day(inbound, spark.createDataFrame([], POSITIONS_SCHEMA))
+    _first, second = run_day(inbound, spark.createDataFrame([], POSITIONS_SCHEMA), policy="last")
     return second.positions
 
 
@@ -79,11 +79,12 @@ def test_upsert_stream_equals_batch_with_restart(spark, sf_dir, scratch):
     # First half arrives, the job stops; the rest arrives, the job resumes.
     for p in paths[:2]:
         spark.read.parquet(p).write.mode("overwrite").parquet(f"{live}/{p.rsplit('/', 1)[1]}")
-    run_archive_stream(spark, f"{live}/*", log.schema, f"{scratch}/tables", f"{scratch}/ck")
+    run_archive_stream(spark, f"{live}/*", log.schema, f"{scratch}/tables", f"{scratch}/ck",
+                       policy="last")
     for p in paths[2:]:
         spark.read.parquet(p).write.mode("overwrite").parquet(f"{live}/{p.rsplit('/', 1)[1]}")
     tables = run_archive_stream(spark, f"{live}/*", log.schema, f"{scratch}/tables",
-                                f"{scratch}/ck")
+                                f"{scratch}/ck", policy="last")
     got = tables.positions.read()
     want = _batch_positions(spark, log)
     assert digest(got.columns, [tuple(r) for r in got.collect()])[0] == \
@@ -97,12 +98,88 @@ def test_retried_micro_batch_applies_once(spark, sf_dir, scratch):
         F.col("load_bb_entity_name").isin("U1", "U2"))
     batch = msg.session_phase(log).drop("released").withColumn("released", F.lit(True))
     tables = StreamTables(spark, f"{scratch}/t", inbound_schema(spark))
-    sink = make_sink(tables)
+    sink = make_sink(tables, policy="last")
     sink(batch, 0)
     first_pos = digest(POSITIONS_SCHEMA.names,
                        [tuple(r) for r in tables.positions.read().collect()])[0]
-    first_in = tables.inbound.read().count()
+    first_in = tables.inbound().count()
     sink(batch, 0)  # the same batch id again (a retry)
     assert digest(POSITIONS_SCHEMA.names,
                   [tuple(r) for r in tables.positions.read().collect()])[0] == first_pos
-    assert tables.inbound.read().count() == first_in > 0
+    assert tables.inbound().count() == first_in > 0
+
+
+def _sessions(spark, sf_dir, *names):
+    log = fixture(spark, sf_dir, "fx_stream").where(F.col("load_bb_entity_name").isin(*names))
+    return msg.session_phase(log)
+
+
+def test_reset_then_next_batch_is_applied_and_foreign_query_refused(spark, sf_dir, scratch):
+    from poslake.streaming.sink import StreamTables, inbound_schema, make_sink
+    tables = StreamTables(spark, f"{scratch}/t", inbound_schema(spark))
+    sink = make_sink(tables, policy="last", query_id="q1")
+    sink(_sessions(spark, sf_dir, "U1"), 0)
+    tables.positions.reset()
+    assert tables.positions.read().count() == 0
+    sink(_sessions(spark, sf_dir, "U2"), 1)
+    assert tables.positions.read().count() > 0
+    with pytest.raises(RuntimeError, match="belongs to streaming query q1"):
+        make_sink(tables, query_id="q2")(_sessions(spark, sf_dir, "U3"), 0)
+
+
+def test_received_is_loaded_or_quarantined(spark, sf_dir, scratch):
+    from poslake.streaming.sink import StreamTables, inbound_schema, make_sink
+    tables = StreamTables(spark, f"{scratch}/t", inbound_schema(spark))
+    phased = _sessions(spark, sf_dir, "U1")
+    intraday = phased.where("phase = 'intraday'").limit(1)
+    bad = intraday.withColumn("json_stream", F.lit("{broken")).withColumn("stream_order", F.lit(10 ** 9).cast("long"))
+    late = intraday.withColumn("phase", F.lit("late"))
+    batch = phased.unionByName(bad).unionByName(late)
+    make_sink(tables, policy="last")(batch, 0)
+    reasons = {r.reason: r["count"] for r in tables.quarantine().groupBy("reason").count().collect()}
+    assert reasons == {"malformed": 1, "late": 1}
+    want = msg.zero_filter(phased).where("phase = 'intraday' OR (phase = 'initial' AND released)").count()
+    assert tables.inbound().count() == want > 0
+    assert tables.inbound().where("is_processed <> 'true'").count() == 0
+    assert tables.log.jobs().where("job_status_description = 'completed'").count() == 1
+
+
+def test_pending_is_emptied_and_batches_cost_their_own_rows(spark, sf_dir, scratch):
+    import os
+
+    from poslake.streaming.sink import StreamTables, inbound_schema, make_sink
+    tables = StreamTables(spark, f"{scratch}/t", inbound_schema(spark))
+    sink = make_sink(tables, policy="last")
+    phased = _sessions(spark, sf_dir, "U1", "U2", "U3", "U8")
+    initial = phased.where("phase = 'initial'").withColumn("released", F.lit(False))
+    sink(initial, 0)
+    assert tables.parked().count() > 0 and tables.inbound().count() == 0
+    sink(phased.where("phase <> 'initial'"), 1)
+    assert tables.parked().count() == 0 and tables.inbound().count() > 0
+    orders = [r.stream_order for r in phased.where("phase = 'intraday'").select("stream_order").collect()]
+    top = max(orders)
+
+    def rows_of(batch_id):
+        folder = f"{scratch}/t/inbound/batch=manual-{batch_id}"
+        return spark.read.parquet(folder).count() if os.path.exists(folder) else 0
+
+    for b in (2, 3):
+        again = phased.where("phase = 'intraday'").limit(2).withColumn("stream_order", (F.lit(top + 10 * b) + F.monotonically_increasing_id()).cast("long"))
+        sink(again, b)
+    assert rows_of(2) == rows_of(3) == 2
+
+
+def test_out_of_order_files_keep_every_initial_row(spark, sf_dir, scratch):
+    log = fixture(spark, sf_dir, "fx_stream").where(F.col("load_bb_entity_name").isin("U1", "U2"))
+    first_hb = msg.first_heartbeats(log).select(*SESSION_KEY, "first_hb")
+    early = log.join(first_hb, SESSION_KEY).where("stream_order <= first_hb").drop("first_hb")
+    half = early.where("stream_order % 2 = 0")
+    live = f"{scratch}/live"
+    # Every even row (some heartbeats among them) comes before the odd ones.
+    half.coalesce(1).write.parquet(f"{live}/part=000")
+    early.where("stream_order % 2 = 1").coalesce(1).write.parquet(f"{live}/part=001")
+    stream = (spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{live}/*"))
+    out = classify_stream(stream).select(*SESSION_KEY, "stream_order", "phase")
+    got = _collect_stream(spark, out, f"{scratch}/ckpt")
+    want = [tuple(r) for r in msg.session_phase(early).select(*SESSION_KEY, "stream_order", "phase").collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))

@@ -2,10 +2,12 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from poslake.schemas import POSITIONS_SCHEMA
-from poslake.sources.tables import RunLog, VersionedTable, copy_tables, read_positions
+from poslake.sources.tables import (DailyVersionedTable, RunLog, VersionedTable, copy_tables,
+                                    keep_history, read_positions)
 
 
 def _one(spark, name="G"):
@@ -19,8 +21,8 @@ def _one(spark, name="G"):
 def test_versions_and_retry(spark, scratch):
     t = VersionedTable(spark, f"{scratch}/current")
     assert t.read().count() == 0
-    assert t.write(_one(spark), version=1) == 1
-    assert t.write(_one(spark).unionByName(_one(spark, "H")), version=1) == 1  # retry: no-op
+    assert t.write(_one(spark), "q-0") == 1
+    assert t.write(_one(spark).unionByName(_one(spark, "H")), "q-0") == 1  # retry: no-op
     assert t.read().count() == 1
     t.write(_one(spark).unionByName(_one(spark, "H")))
     assert t.current_version() == 2 and t.read().count() == 2
@@ -30,8 +32,13 @@ def test_versions_and_retry(spark, scratch):
 
 
 def test_read_positions_source_switch(spark, scratch):
-    VersionedTable(spark, f"{scratch}/history").write(_one(spark))
-    assert read_positions(spark, scratch, "HISTORY", "2024-01-01", "G").count() == 1
+    day = [dt.date(2024, 1, 1)]
+    with pytest.raises(FileNotFoundError):
+        read_positions(spark, scratch, "current", "2024-01-01", "G")
+    DailyVersionedTable(spark, f"{scratch}/positions").write(_one(spark), day)
+    keep_history(spark, scratch, day)
+    for source in ("HISTORY", "current"):
+        assert read_positions(spark, scratch, source, "2024-01-01", "G").count() == 1
     try:
         read_positions(spark, scratch, "other", "2024-01-01", "G")
         raise AssertionError("expected a failure")
@@ -57,15 +64,13 @@ def test_copy_tables(spark, scratch):
 
 
 def test_upsert_job_is_logged_and_closed_on_failure(spark, scratch, sf_dir):
-    import pytest
-
     from poslake.fixtures import fixture
     from poslake.operators.colmap import ColumnMap, ColumnMapError
     from poslake.plans.upsert_job import run_logged
     log = RunLog(spark, f"{scratch}/runlog")
     inbound = fixture(spark, sf_dir, "fx_inbound")
     empty = spark.createDataFrame([], POSITIONS_SCHEMA)
-    out = run_logged(log, inbound, empty, False)
+    out = run_logged(log, inbound, empty, False, policy="last")
     assert out.positions.count() > 0
     with pytest.raises(ColumnMapError):
         run_logged(log, inbound, empty, False, cmap=ColumnMap([]))
@@ -75,14 +80,13 @@ def test_upsert_job_is_logged_and_closed_on_failure(spark, scratch, sf_dir):
 
 
 def test_daily_versions_touch_only_written_days(spark, scratch):
-    from poslake.sources.tables import DailyVersionedTable
     t = DailyVersionedTable(spark, f"{scratch}/daily")
     one = _one(spark)
     other = one.withColumn("as_of_date", F.lit("2024-01-02").cast("date"))
-    t.write(one.unionByName(other), ["2024-01-01", "2024-01-02"], tag=1)
+    t.write(one.unionByName(other), ["2024-01-01", "2024-01-02"], "q-1")
     t.write(one.unionByName(one.withColumn("load_bb_entity_name", F.lit("H"))),
-            ["2024-01-01"], tag=2)
+            ["2024-01-01"], "q-2")
     assert t.days() == ["2024-01-01", "2024-01-02"]
     assert t.read(["2024-01-01"]).count() == 2 and t.read(["2024-01-02"]).count() == 1
-    t.write(one, ["2024-01-01"], tag=2)  # retried batch: day already committed
+    t.write(one, ["2024-01-01"], "q-2")  # retried batch: day already committed
     assert t.read().count() == 3
