@@ -43,6 +43,11 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def with_row_key(docs: DataFrame) -> DataFrame:
+    """Adds ``__row_key``, a hash of all columns: equal rows share it, and rows need no id."""
+    return docs.withColumn("__row_key", F.xxhash64(*[col(c) for c in docs.columns]))
+
+
 def map_texts(df: DataFrame, keep: list[str], text: str, kind: textnp.Words, fields: list[T.StructField],
               measure: Callable[[textnp.Block], list[np.ndarray]]) -> DataFrame:
     """``keep`` columns of every row, and the arrays that ``measure`` returns for each block of texts."""

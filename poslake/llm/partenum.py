@@ -13,10 +13,15 @@ The common order puts signatures of frequent shingles last.  Frequencies are cou
 in a table of ``SLOTS`` hash slots: a fixed size, and the order affects cost only, not what is found.
 Signatures with a frequent shingle are salted before they are grouped.
 
-Copies of one set are one class.  Candidates are verified by exact intersection in rounds: each class
-against the smallest class of a signature; then all such pairs between components so far; then, for
-signatures whose classes still lie in several components, every pair across them.  A pair in one
-component needs no check, so components are those of all links.
+Copies of one set are one class.  A class keeps how many of its shingles fall in each of a row of hash cells
+(about a byte for every two shingles); the sum of the smaller counts bounds an intersection from above, and
+candidates that it rules out go no further.  The others are verified by exact intersection in rounds: each class
+against the smallest class of a signature, that with which it shares most signatures; then the other
+such pairs between components so far; then, for signatures whose classes still lie in several components,
+all that is left across them.  There, classes that share most signatures with one pivot are taken together: few classes on both sides
+are listed as pairs, many are compared block by block (about ``BLOCK_SHINGLES`` a side) as products of
+incidence matrices, and a block gives no more links than it has classes.  A pair in one component needs no
+check, so components are those of all links.
 
 Defined cases: null counts as empty; a text without words has no shingles, links with nothing and is its
 own component; fewer than n words are one shingle; documents that repeat an id keep a row each; a null id
@@ -30,13 +35,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textnp
-from .common import bitmap, map_texts, materialise, require, text_or_empty
+from .common import bitmap, col, map_texts, materialise, require, text_or_empty, with_row_key
 from .components import components
 
 WORDS = 5
@@ -45,6 +51,8 @@ SLOTS = 1 << 17
 #: Bits of the table that tells which classes' sets are needed (a false hit costs a set, no more).
 WANTED_BITS = 1 << 23
 SALTS = 64
+#: Classes of two pivots are listed as pairs up to so many pairs, else compared in blocks of so many shingles.
+LISTED_PAIRS, BLOCK_SHINGLES = 64, 1 << 17
 U64 = np.uint64
 
 
@@ -104,20 +112,35 @@ def signatures(shingles: np.ndarray, join: Join, frequency: np.ndarray) -> tuple
         found.append(sign[first])
         rates.append(rate[first])
         if len(begins) <= k:
-            sign = textnp.mix(shingles + U64(band) * U64(0x9E3779B97F4A7C15))
+            sign = textnp.mix(shingles + U64(band * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
             first = np.lexsort((sign, seen))[:k + 1]
             found.append(sign[first])
             rates.append(seen[first])
     return np.concatenate(found), np.concatenate(rates)
 
 
+def cell_counts(shingles: np.ndarray) -> bytes:
+    """Shingles in each of 16 or more hash cells, two to four a cell on average; 255 means that many or more."""
+    bits = max(4, len(shingles).bit_length() - 2)
+    counts = np.bincount((shingles >> U64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def most_shared(a: bytes, b: bytes) -> float:
+    """An upper bound on the shingles that two sets share, from their cell counts."""
+    x, y = (np.frombuffer(c, np.uint8).astype(np.float64) for c in (a, b))
+    x[x == 255], y[y == 255] = np.inf, np.inf
+    cells = min(len(x), len(y))  # the cells of the larger set are halves, quarters, ... of those of the smaller
+    return float(np.minimum(x.reshape(cells, -1).sum(axis=1), y.reshape(cells, -1).sum(axis=1)).sum())
+
+
 def document_sets(docs: DataFrame, doc_id: str, text: str, join: Join) -> DataFrame:
-    """(id, n_shingles, class): the class is a hash of the whole set, 0 for the empty set."""
-    def measure(block: textnp.Block) -> list[np.ndarray]:
+    """(id, n_shingles, class, cells): the class is a hash of the whole set, 0 for the empty set."""
+    def measure(block: textnp.Block) -> list:
         sets = shingle_sets(block, join.words)
-        return [np.array([len(s) for s in sets], np.int64), np.array([set_hash(s) for s in sets], np.int64)]
+        return [np.array([len(s) for s in sets], np.int64), np.array([set_hash(s) for s in sets], np.int64), [cell_counts(s) for s in sets]]
 
-    fields = [T.StructField("n_shingles", T.LongType()), T.StructField("class", T.LongType())]
+    fields = [T.StructField("n_shingles", T.LongType()), T.StructField("class", T.LongType()), T.StructField("cells", T.BinaryType())]
     return map_texts(docs, [doc_id], text, textnp.Words.SPACED_LOWER, fields, measure)
 
 
@@ -199,11 +222,22 @@ def verify(docs: DataFrame, text: str, pairs: DataFrame, join: Join) -> DataFram
             .filter(100 * both >= join.percent * (F.size("x") + F.size("y") - both)).select("a", "b"))
 
 
-def _sizes_fit(pairs: DataFrame, sizes: DataFrame, join: Join) -> DataFrame:
-    """The pairs (a, b) whose sizes allow the threshold."""
-    met = (pairs.join(sizes.select(F.col("class").alias("a"), F.col("n_shingles").alias("na")), "a")
-           .join(sizes.select(F.col("class").alias("b"), F.col("n_shingles").alias("nb")), "b"))
-    return met.filter(100 * F.least("na", "nb") >= join.percent * F.greatest("na", "nb"))
+def _possible(pairs: DataFrame, classes: DataFrame, join: Join) -> DataFrame:
+    """The pairs (a, b) whose sizes and cell counts allow the threshold; other columns stay."""
+    def side(x: str) -> DataFrame:
+        return classes.select(F.col("class").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("cells").alias(f"c{x}"))
+
+    met = pairs.join(side("a"), "a").join(side("b"), "b").filter(100 * F.least("na", "nb") >= join.percent * F.greatest("na", "nb"))
+    given = pairs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb, ca, cb = (batch.column(len(given) + i).to_pylist() for i in range(4))
+            most = [min(x, y, most_shared(p, q)) for x, y, p, q in zip(na, nb, ca, cb, strict=True)]
+            keep = [100 * m >= join.percent * (x + y - m) for m, x, y in zip(most, na, nb, strict=True)]
+            yield batch.select(given).filter(pa.array(keep, pa.bool_()))
+
+    return met.select(*given, "na", "nb", "ca", "cb").mapInArrow(run, pairs.schema)
 
 
 def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -219,8 +253,9 @@ def _relabel(members: DataFrame, roots: DataFrame) -> DataFrame:
         "root", F.coalesce("root", "class"))
 
 
-def links(docs: DataFrame, text: str, join: Join, sizes: DataFrame, n_docs: int) -> DataFrame:
-    """Verified links (a, b) between classes that connect every component; ``sizes`` has (class, n_shingles)."""
+def links(docs: DataFrame, text: str, join: Join, classes: DataFrame, n_docs: int) -> DataFrame:
+    """Verified links (a, b) between classes that connect every component; ``classes`` has (class, n_shingles,
+    cells)."""
     frequency = shingle_frequency(docs, text, join)
     hot = int(np.median(frequency)) + max(1000, n_docs // 100)
     rows = signature_rows(docs, text, join, frequency, hot)
@@ -231,7 +266,9 @@ def links(docs: DataFrame, text: str, join: Join, sizes: DataFrame, n_docs: int)
     tops = salted.select("sign", "class", F.first("class").over(Window.partitionBy("sign").orderBy("class")).alias("leader"))
     stars = members.select("leader", "class").unionByName(tops.select("leader", "class")).filter("leader <> class")
     stars = stars.groupBy(F.col("leader").alias("a"), F.col("class").alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    stars = materialise(_sizes_fit(stars, sizes, join).select("a", "b", "n"))
+    stars = materialise(stars)
+    pivots = _pivots(stars)
+    stars = materialise(_possible(stars, classes, join))
 
     first = stars.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b")
     found = materialise(verify(docs, text, first, join))
@@ -241,35 +278,144 @@ def links(docs: DataFrame, text: str, join: Join, sizes: DataFrame, n_docs: int)
     found = found.unionByName(materialise(verify(docs, text, materialise(rest), join)))
     roots = materialise(components(found))
 
-    across = unresolved_pairs(members, roots, sizes, join).join(stars.select("a", "b"), ["a", "b"], "left_anti")
-    return found.unionByName(materialise(verify(docs, text, materialise(across), join)))
+    listed, blocks = unresolved(members, pivots, roots, classes)
+    listed = materialise(_possible(listed.join(stars.select("a", "b"), ["a", "b"], "left_anti"), classes, join))
+    found = found.unionByName(materialise(verify(docs, text, listed, join)))
+    return found.unionByName(materialise(compare_blocks(docs, text, blocks, join)))
+
+
+def _pivots(stars: DataFrame) -> DataFrame:
+    """(class, pivot): the leader that a class shares most signatures with, or that leader's own such leader (a
+    salted group has a leader for each salt).  Pivots only decide what is compared together."""
+    best = materialise(stars.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")))
+    above = best.select(F.col("b").alias("a"), F.col("a").alias("top"))
+    return best.join(above, "a", "left").select(F.col("b").alias("class"), F.coalesce("top", "a").alias("pivot"))
+
+
+def _both_ways(contacts: DataFrame, left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    return contacts.join(left, [*on, "p"]).join(right, [*on, "q"])
 
 
-def unresolved_pairs(members: DataFrame, roots: DataFrame, sizes: DataFrame, join: Join) -> DataFrame:
-    """Pairs (a, b), a < b, that share a signature but lie in different components, sizes permitting.
+def unresolved(members: DataFrame, pivots: DataFrame, roots: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What is to be compared among classes that share a signature but lie in different components: pairs (a, b),
+    and rows (p, i, q, j, left, class, root) of the blocks i of pivot p and j of pivot q.
 
     Signatures with the same classes are one group, and groups within one component drop out first."""
     everyone = members.select("sign", "class").unionByName(members.select("sign", F.col("leader").alias("class"))).distinct()
-    placed = materialise(_relabel(everyone, roots))
+    placed = materialise(_relabel(everyone, roots).join(pivots, "class", "left").withColumn("pivot", F.coalesce("pivot", "class")))
     groups = (placed.groupBy("sign").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n"),
                                          F.min("class").alias("c"), F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("h"))
               .filter("lo <> hi").groupBy("n", "c", "h").agg(F.min("sign").alias("sign")).select("sign"))
-    open_rows = materialise(placed.join(groups, "sign", "left_semi").join(sizes.withColumnRenamed("n_shingles", "size"), "class"))
-    x = open_rows.select("sign", F.col("class").alias("a"), F.col("root").alias("ra"), F.col("size").alias("sa"))
-    y = open_rows.select("sign", F.col("class").alias("b"), F.col("root").alias("rb"), F.col("size").alias("sb"))
-    near = (100 * F.least("sa", "sb") >= join.percent * F.greatest("sa", "sb"))
-    return x.join(y, "sign").filter((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & near).select("a", "b").distinct()
+    rows = materialise(placed.join(groups, "sign", "left_semi"))
+    own = materialise(rows.select("class", "root", "pivot").distinct().join(classes.select("class", "n_shingles"), "class"))
+    size = own.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    part = rows.groupBy("sign", "pivot").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).join(size, "pivot")
+    side = lambda x: part.select("sign", *[F.col(c).alias(f"{c}{x}") for c in ("lo", "hi", "n", "blocks")], F.col("pivot").alias(x))
+    contacts = materialise(side("p").join(side("q"), "sign").filter(
+        "p <= q and (lop <> hip or loq <> hiq or lop <> loq)").withColumn("many", F.col("np") * F.col("nq") > LISTED_PAIRS))
+
+    few = contacts.filter(~F.col("many")).select("sign", "p", "q")
+    left = rows.select("sign", F.col("pivot").alias("p"), F.col("class").alias("x"), F.col("root").alias("rx"))
+    right = rows.select("sign", F.col("pivot").alias("q"), F.col("class").alias("y"), F.col("root").alias("ry"))
+    listed = (_both_ways(few, left, right, ["sign"]).filter("rx <> ry")
+              .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+
+    many = contacts.filter("many").select("p", "q", "blocksp", "blocksq").distinct()
+    block = F.pmod(F.xxhash64("class"), F.col("own")).cast("int")
+    sides = []
+    for at, other, is_left in (("p", "q", True), ("q", "p", False)):
+        met = many.withColumn("own", F.col(f"blocks{at}")).join(own.withColumnRenamed("pivot", at), at).withColumn("mine", block)
+        met = met.withColumn("theirs", F.explode(F.sequence(F.lit(0), F.col(f"blocks{other}") - 1)))
+        i, j = ("mine", "theirs") if is_left else ("theirs", "mine")
+        sides.append(met.select("p", F.col(i).alias("i"), "q", F.col(j).alias("j"), F.lit(is_left).alias("left"), "class", "root"))
+    return listed, sides[0].unionByName(sides[1]).filter("p <> q or i <= j")
+
+
+def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each set of ``left`` shares with each of ``right``, by incidence matrices of some
+    shingles at a time."""
+    x, y = (np.concatenate(s) for s in (left, right))
+    row_x, row_y = (np.repeat(np.arange(len(s)), [len(v) for v in s]) for s in (left, right))
+    both = np.intersect1d(x, y)
+    out = np.zeros((len(left), len(right)), np.float32)
+    at_x, at_y = np.searchsorted(both, x), np.searchsorted(both, y)
+    in_x = (at_x < len(both)) & (both[np.minimum(at_x, len(both) - 1)] == x) if len(both) else np.zeros(len(x), bool)
+    in_y = (at_y < len(both)) & (both[np.minimum(at_y, len(both) - 1)] == y) if len(both) else np.zeros(len(y), bool)
+    step = 2048
+    for lo in range(0, len(both), step):
+        mats = []
+        for rows, at, inside, n in ((row_x, at_x, in_x, len(left)), (row_y, at_y, in_y, len(right))):
+            take = inside & (at >= lo) & (at < lo + step)
+            m = np.zeros((n, step), np.float32)
+            m[rows[take], at[take] - lo] = 1
+            mats.append(m)
+        out += mats[0] @ mats[1].T
+    return out
+
+
+def _forest(links: np.ndarray) -> list[int]:
+    """Positions of links (rows of two nodes) that connect what all of them connect."""
+    up: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up[y]
+        return x
+
+    out = []
+    for k, (a, b) in enumerate(links.tolist()):
+        a, b = find(a), find(b)
+        if a != b:
+            up[a] = b
+            out.append(k)
+    return out
+
+
+def compare_blocks(docs: DataFrame, text: str, blocks: DataFrame, join: Join) -> DataFrame:
+    """Links (a, b) between the classes of the two sides of each block pair that connect all that are similar."""
+    sets = class_sets(docs, text, join, blocks.select("class"))
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        side = [pdf[pdf["left"]], pdf[~pdf["left"]]]
+        none = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+        if side[0].empty or side[1].empty:
+            return none
+        sets = [[np.asarray(v) for v in s["shingles"]] for s in side]
+        n = [np.array([len(v) for v in s]) for s in sets]
+        both = _shared(*sets)
+        near = 100 * both >= join.percent * (n[0][:, None] + n[1][None] - both)
+        near &= side[0]["root"].to_numpy()[:, None] != side[1]["root"].to_numpy()[None]
+        x, y = np.nonzero(near)
+        links = np.stack((side[0]["class"].to_numpy()[x], side[1]["class"].to_numpy()[y]), axis=1)
+        links = links[_forest(links)]
+        return pd.DataFrame({"a": links.min(axis=1), "b": links.max(axis=1)}) if len(links) else none
+
+    return blocks.join(sets, "class").groupBy("p", "i", "q", "j").applyInPandas(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", join: Join = Join()) -> DataFrame:
     """(id, n_shingles, class, component_id) for every row."""
     require(docs, [doc_id, text])
     rows = materialise(document_sets(docs, doc_id, text, join).withColumnRenamed(doc_id, "__id"))
-    sizes = rows.filter("class <> 0").select("class", "n_shingles").distinct()
-    roots = components(links(docs, text, join, sizes, rows.count()))
-    placed = rows.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    classes = materialise(rows.filter("class <> 0").select("class", "n_shingles", "cells").dropDuplicates(["class"]))
+    roots = components(links(docs, text, join, classes, rows.count()))
+    placed = rows.drop("cells").join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     least = placed.filter("class <> 0").groupBy("root").agg(F.min("__id").alias("component_id"))
     linked = placed.filter("class <> 0").join(least, "root")
     alone = placed.filter("class = 0").withColumn("component_id", F.col("__id"))
     order = ["__id", "n_shingles", "class", "component_id"]
     return linked.select(order).unionByName(alone.select(order)).withColumnRenamed("__id", doc_id)
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", join: Join = Join()) -> DataFrame:
+    """``docs`` with one row left of each group of near duplicates, that with the smallest id; of equal ids and
+    of rows without one, that with the smallest row hash.  Rows without shingles stay; of rows equal in every
+    column one stays."""
+    keyed = with_row_key(docs)
+    names = keyed.select("__row_key", text, col(doc_id).alias("__doc_id"))
+    found = near_duplicates(names, "__row_key", text, join)
+    ids = names.select("__row_key", "__doc_id").distinct()
+    placed = found.filter("class <> 0").withColumnRenamed("component_id", "__group").select("__row_key", "__group").distinct().join(ids, "__row_key")
+    best = placed.groupBy("__group").agg(F.min_by("__row_key", F.struct(F.col("__doc_id").isNull(), "__doc_id", "__row_key")).alias("__row_key"))
+    gone = materialise(placed.join(best, "__row_key", "left_anti").select("__row_key").distinct())
+    return keyed.join(gone, "__row_key", "left_anti").dropDuplicates(["__row_key"]).drop("__row_key")
