@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from ..session import cut
+
 _SPECIAL = re.compile(r'[{}"\\]')
 
 
@@ -133,6 +135,7 @@ def reassemble(chunks: DataFrame, key=("msg_request_id",), order: str = "chunk_s
 # parallel and only objects that cross a segment border are regrouped.
 
 SEGMENT_WIDTH = 4096  # chunk_seq units per segment: a segment holds ≤ this many chunks
+FRAME_ROWS = 256  # pieces that a task sends on at a time
 
 
 def _summarise(seqs, texts, s0: int):
@@ -315,15 +318,22 @@ def reassemble_parallel(chunks: DataFrame, key=("msg_request_id",), order: str =
             for p in _frame_segment(acc[order], acc[text], int(acc["e_state"][0]),
                                     int(acc["e_depth"][0]), start):
                 out.append([*g[:len(key)], *p])
+            if len(out) >= FRAME_ROWS:  # between segments: a task holds one segment's pieces
+                yield pd.DataFrame(out, columns=piece_schema.names)
+                out = []
         if out:
             yield pd.DataFrame(out, columns=piece_schema.names)
 
-    pieces = (segmented.join(entries, gk, "inner").repartition(*gk)
-              .sortWithinPartitions(*gk, order).mapInPandas(frame, piece_schema))
+    # Written once: both branches below read the pieces, and framing runs once.
+    pieces = cut(segmented.join(entries, gk, "inner").repartition(*gk)
+                 .sortWithinPartitions(*gk, order).mapInPandas(frame, piece_schema))
 
-    # 4. Objects inside one piece pass through; the rest are regrouped by id.
+    # 4. Objects inside one piece pass through; the rest are regrouped by id, but
+    # only those that close: an object left open would gather its whole session.
     whole = pieces.where(F.col("opens") & F.col("closes"))
     parts = pieces.where(~(F.col("opens") & F.col("closes")))
+    ids = [*key, "start_seq", "start_offset"]
+    parts = parts.join(parts.where("closes").select(*ids).distinct(), ids, "left_semi")
     glued = (parts.groupBy(*key, "start_seq", "start_offset")
              .agg(F.sort_array(F.collect_list(F.struct("piece_seq", "piece_off", "text")))
                   .alias("_p"), F.bool_or("closes").alias("_closed"),

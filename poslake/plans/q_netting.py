@@ -13,13 +13,15 @@ from .sqltext import (best_cte, conform, fx_select, netting_ctes, nonfx_best_sel
                       rollup_select, si_columns, staged_ctes, strict_inbound_ctes)
 
 
-def initial_si(spark, sf_dir):
+def initial_si(spark, sf_dir, once=False):
     """strict_inbound over every unprocessed initial row (all scopes).
 
-    Materialised once: the netting branches read it up to five times."""
+    Materialised, for the netting branches read it up to five times, unless the
+    caller reads it ``once``."""
     inbound = load(spark, sf_dir, "fx_inbound")
     scan = inbound.where((F.col("is_processed") == "false") & (F.col("is_intraday") == "false"))
-    return cut(strict_inbound(scan))
+    si = strict_inbound(scan)
+    return si if once else cut(si)
 
 
 _PRE = with_fixtures("fx_inbound") + ", " + strict_inbound_ctes()
@@ -32,7 +34,7 @@ def q_short_groups(spark, sf_dir):
 
 @register("fx_rows", _PRE + "\n" + fx_select())
 def q_fx_rows(spark, sf_dir):
-    return conform_positions(netting.fx_rows(initial_si(spark, sf_dir)))
+    return conform_positions(netting.fx_rows(initial_si(spark, sf_dir, once=True)))
 
 
 @register("nonfx_best", _PRE + ",\n" + netting_ctes() + ",\n" + best_cte() + "\n"
@@ -66,12 +68,12 @@ _W = ("account_id", "as_of_date", "load_bb_entity_name", "load_process", "load_o
 
 @register("weights", _PRE + f"\nSELECT {', '.join(_W)} FROM si")
 def q_weights(spark, sf_dir):
-    return initial_si(spark, sf_dir).select(*_W)
+    return initial_si(spark, sf_dir, once=True).select(*_W)
 
 
 @register("strict_inbound", _PRE + f"\nSELECT {conform('', si_columns())} FROM si")
 def q_strict_inbound(spark, sf_dir):
-    return conform_positions(initial_si(spark, sf_dir))
+    return conform_positions(initial_si(spark, sf_dir, once=True))
 
 
 

@@ -118,3 +118,39 @@ def test_q14_fx_key_clash_is_reported(spark):
              load_order=2)])
     v = {r.constraint_name for r in key_violations(table).collect()}
     assert v == {"fx_upsert_key"}
+
+
+def test_zero_rule_does_not_round(spark):
+    from poslake.operators.messages import zero_position_excluded
+    zero = ["0", "0.000", "-0", "0-", "(0)", "\t0 ", "0,000.00", "0e5", ".0", "", " \t", None]
+    kept = ["0.0000000001", "1e-12", "(5)", "0.01-", "x", "e0", "1,0"]
+    import json
+    rows = [(v, json.dumps({"POSITION_WITHOUT_PENDING": v})) for v in zero + kept]
+    rows += [("empty", ""), ("missing", "{\"A\": 1}"), ("broken", "{x"), ("null payload", None)]
+    got = dict(spark.createDataFrame(rows, "v string, json_stream string").select(
+        "v", zero_position_excluded("json_stream")).collect())
+    assert all(got[v] for v in zero) and not any(got[v] for v in kept)
+    assert got["empty"] and got["missing"] and got["null payload"] and not got["broken"]
+
+
+def test_replay_counts_rows_and_ignores_blank_ids(spark):
+    from poslake.schemas import ARCHIVE_SCHEMA
+    from poslake.sources.archive import session_replay
+    day = dt.date(2024, 1, 1)
+    row = lambda name, req, order, action: (day, "groups", name, req, order, None, action, "{\"A\":1}")
+    rows = [row("null", "r", 1, "initial"), row("null", None, 2, "initial"), row("null", "r", 3, ""),
+            row("blank", " ", 1, "initial"), row("blank", " ", 2, ""), row("none", "r", 1, ""),
+            row("full", "r", 1, "initial"), row("full", "r", 2, None)]
+    got = session_replay(spark.createDataFrame(rows, ARCHIVE_SCHEMA)).groupBy("load_bb_entity_name", "phase").count().collect()
+    assert {(r[0], r[1]): r[2] for r in got} == {("null", 0): 2, ("null", 1): 5, ("blank", 0): 1, ("blank", 1): 5,
+                                                ("none", 1): 1, ("full", 0): 1, ("full", 1): 5, ("full", 2): 1}
+
+
+def test_tolerance_of_large_amounts(spark):
+    from decimal import Decimal
+
+    from poslake.operators.compare import CompareOptions, diff
+    side = lambda v: spark.createDataFrame([("k", Decimal(v))], "k string, amount decimal(30,9)")
+    opts = CompareOptions(keys=["k"])
+    assert diff(side("1e20"), side("1e20"), opts).count() == 0
+    assert diff(side("1e20"), side("100000000000000000000.00002"), opts).count() == 1
