@@ -55,7 +55,8 @@ def dedup_lines(pages: DataFrame, host: str = "source", text: str = "text", rati
         "__salt", F.pmod(F.col("__page"), F.lit(SALTS)).cast("int"))
     drops = (lines.join(bad, ["__line", "__salt"], "left_semi").groupBy("__page")
              .agg(F.collect_set("__line").alias("__drop"))).select("__page", "__drop", salts)
-    row_salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
+    others = [col(c) for c in pages.columns if c != text]  # copies of a page differ in their ids
+    row_salt = F.pmod(F.xxhash64(*others), F.lit(SALTS)).cast("int")
     met = site.withColumn("__salt", row_salt).join(drops, ["__page", "__salt"], "left")
     parts = F.split(col(text), "\n")
     kept = F.filter(parts, lambda x: (F.trim(x) == "") | ~F.array_contains("__drop", _line_key(F.col("__host"), x)))
