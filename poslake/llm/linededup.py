@@ -1,11 +1,12 @@
 """Line dedup by site-relative frequency, in DataFrame functions only.
 
 A line is boilerplate on its host when more than ``ratio`` of the host's pages hold it, and at least
-``min_pages`` of them do; pages lose their boilerplate lines.
+``min_pages`` of them do; pages lose their boilerplate lines.  Pages of equal text count as one, so a
+copied page does not turn its own lines into boilerplate.
 
 Defined cases: blank lines are never dropped; a null host is a host of its own; a null text stays null
-and counts as a page without lines; a page that holds a line twice counts once; every repeated row is a
-page; an empty table gives no rows; other columns pass through.
+and is no page; a page that holds a line twice counts once; repeated rows are one page and all of them
+lose the same lines; an empty table gives no rows; other columns pass through.
 """
 
 from __future__ import annotations
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 
 from .common import col, require
 
-RATIO = 0.05
-MIN_PAGES = 3
+RATIO = 0.08
+MIN_PAGES = 5
 SALTS = 16
 
 
@@ -27,14 +28,17 @@ def _line_key(host: Column, line: Column) -> Column:
 def boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """(host, key): the lines that exceed the ratio.
 
-    Counts are summed per task before the shuffle, so a line on a third of all pages sends one row per
-    task.  Only lines on ``min_pages`` pages or more meet the host totals."""
-    site = pages.select(F.struct(col(host).alias("v")).alias("__host"), col(text).alias("__text"))
+    Distinct pages are counted in two steps, first by (host, line, page), so a line on a third of all pages
+    is spread over all tasks and then comes as partial counts.  Only lines on ``min_pages`` pages or more meet
+    the host totals."""
+    site = pages.filter(col(text).isNotNull()).select(
+        F.struct(col(host).alias("v")).alias("__host"), col(text).alias("__text"))
+    site = site.withColumn("__page", F.xxhash64("__host", "__text"))
     keys = F.array_distinct(F.transform(F.filter(F.split("__text", "\n"), lambda x: F.trim(x) != ""),
                                         lambda x: _line_key(F.col("__host"), x)))
-    counts = (site.select("__host", F.explode(keys).alias("__line")).groupBy("__host", "__line")
-              .agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= min_pages))
-    totals = site.groupBy("__host").agg(F.count(F.lit(1)).alias("__pages"))
+    counts = (site.select("__host", "__page", F.explode(keys).alias("__line")).groupBy("__host", "__line")
+              .agg(F.count_distinct("__page").alias("__n")).filter(F.col("__n") >= min_pages))
+    totals = site.groupBy("__host").agg(F.count_distinct("__page").alias("__pages"))
     return counts.join(totals, "__host").filter(F.col("__n") > ratio * F.col("__pages")).select("__host", "__line")
 
 
@@ -81,8 +85,8 @@ WITH lines AS (
          generate_subscripts(string_split(text, chr(10)), 1) AS pos
   FROM documents),
 counted AS (
-  SELECT source, line, count(DISTINCT doc_id) AS n FROM lines WHERE trim(line, ' ') <> '' GROUP BY ALL),
-totals AS (SELECT source, count(*) AS pages FROM documents GROUP BY ALL),
+  SELECT source, line, count(DISTINCT text) AS n FROM lines WHERE trim(line, ' ') <> '' GROUP BY ALL),
+totals AS (SELECT source, count(DISTINCT text) AS pages FROM documents GROUP BY ALL),
 bad AS (
   SELECT counted.source, line FROM counted JOIN totals ON counted.source IS NOT DISTINCT FROM totals.source
   WHERE n >= {MIN_PAGES} AND n > {RATIO} * pages),

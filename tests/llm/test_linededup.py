@@ -25,9 +25,15 @@ def test_only_lines_over_the_ratio_of_their_host_go(spark):
 
 
 def test_odd_rows(spark):
-    rows = [(1, None, None, None), (1, "", None, None), (None, "x", None, None), (None, "x", None, None), (2, "x", None, None), (3, "x", "h", None)]
-    got = sorted(((r.doc_id or 0, r.text, r["__dropped"]) for r in _run(spark, rows, ratio=0.4).collect()), key=str)
-    assert got == sorted([(1, None, 0), (1, "", 0), (0, "", 1), (0, "", 1), (2, "", 1), (3, "x", 0)], key=str)
+    rows = [(1, None, None, None), (1, "", None, None), (None, "x", None, None), (None, "x", None, None), (2, "x\ny", None, None), (3, "x", "h", None)]
+    got = sorted(((r.doc_id or 0, r.text, r["__dropped"]) for r in _run(spark, rows, ratio=0.4, min_pages=2).collect()), key=str)
+    assert got == sorted([(1, None, 0), (1, "", 0), (0, "", 1), (0, "", 1), (2, "y", 1), (3, "x", 0)], key=str)
+
+
+def test_copies_keep_their_lines(spark):
+    rows = [(i, "copied page\nits only line", "a", None) for i in range(50)] + [(100 + i, f"page {i}\nmenu", "a", None) for i in range(20)]
+    got = {r.doc_id: r.text for r in _run(spark, rows).collect()}
+    assert got[7] == "copied page\nits only line" and got[103] == "page 3"
     out = _run(spark, rows).limit(0)
     assert out.count() == 0 and _run(spark, rows).columns[:4] == ["doc_id", "text", "source", "n_lines"]
 
