@@ -150,7 +150,7 @@ def test_pending_is_emptied_and_batches_cost_their_own_rows(spark, sf_dir, scrat
     from poslake.streaming.sink import StreamTables, inbound_schema, make_sink
     tables = StreamTables(spark, f"{scratch}/t", inbound_schema(spark))
     sink = make_sink(tables, policy="last")
-    phased = _sessions(spark, sf_dir, "U1", "U2", "U3", "U8")
+    phased = _sessions(spark, sf_dir, "U1", "U2", "U3", "U8").where("released")
     initial = phased.where("phase = 'initial'").withColumn("released", F.lit(False))
     sink(initial, 0)
     assert tables.parked().count() > 0 and tables.inbound().count() == 0
