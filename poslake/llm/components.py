@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
+#: Links that one task reads.
+TASK_LINKS = 100_000
+
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -21,11 +24,12 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges = materialise(edges)
     before = None
     while (now := _state(edges)) != before:
-        before = now
+        before, tasks = now, 1 + now[0] // TASK_LINKS
+        edges = edges.coalesce(tasks)  # few links need few files in each shuffle
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = materialise(large)
+        large = materialise(large).coalesce(tasks)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = materialise(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())

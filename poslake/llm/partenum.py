@@ -47,12 +47,13 @@ from .components import components
 
 WORDS = 5
 PERCENT = 75
-SLOTS = 1 << 17
+SLOTS = 1 << 18
 #: Bits of the table that tells which classes' sets are needed (a false hit costs a set, no more).
 WANTED_BITS = 1 << 23
 SALTS = 64
 #: Classes of two pivots are listed as pairs up to so many pairs, else compared in blocks of so many shingles.
 LISTED_PAIRS, BLOCK_SHINGLES = 64, 1 << 17
+PIVOT_SHINGLES = 100
 U64 = np.uint64
 
 
@@ -150,10 +151,8 @@ def shingle_frequency(docs: DataFrame, text: str, join: Join) -> np.ndarray:
         seen = np.zeros(SLOTS, np.int64)
         for batch in batches:
             for block in textnp.blocks(batch.column(0), textnp.Words.SPACED_LOWER):
-                for s in shingle_sets(block, join.words):
-                    seen += np.bincount((s & U64(SLOTS - 1)).astype(np.int64), minlength=SLOTS) if len(s) > 64 else 0
-                    if len(s) <= 64:
-                        np.add.at(seen, (s & U64(SLOTS - 1)).astype(np.int64), 1)
+                every = np.concatenate(shingle_sets(block, join.words))
+                seen += np.bincount((every & U64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["slot", "n"])
 
@@ -267,12 +266,14 @@ def links(docs: DataFrame, text: str, join: Join, classes: DataFrame, n_docs: in
     stars = members.select("leader", "class").unionByName(tops.select("leader", "class")).filter("leader <> class")
     stars = stars.groupBy(F.col("leader").alias("a"), F.col("class").alias("b")).agg(F.count(F.lit(1)).alias("n"))
     stars = materialise(stars)
-    pivots = _pivots(stars)
+    pivots = _pivots(stars, classes)
     stars = materialise(_possible(stars, classes, join))
 
     first = stars.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b")
     found = materialise(verify(docs, text, first, join))
-    roots = materialise(components(found))
+    # A class has one link so far, to a smaller class: two steps up stand in for its component.
+    above = found.select(F.col("b").alias("a"), F.col("a").alias("top"))
+    roots = found.join(above, "a", "left").select(F.col("b").alias("node"), F.coalesce("top", "a").alias("root"))
 
     rest = _across(stars.select("a", "b"), roots).join(first, ["a", "b"], "left_anti")
     found = found.unionByName(materialise(verify(docs, text, materialise(rest), join)))
@@ -281,15 +282,20 @@ def links(docs: DataFrame, text: str, join: Join, classes: DataFrame, n_docs: in
     listed, blocks = unresolved(members, pivots, roots, classes)
     listed = materialise(_possible(listed.join(stars.select("a", "b"), ["a", "b"], "left_anti"), classes, join))
     found = found.unionByName(materialise(verify(docs, text, listed, join)))
-    return found.unionByName(materialise(compare_blocks(docs, text, blocks, join)))
-
-
-def _pivots(stars: DataFrame) -> DataFrame:
-    """(class, pivot): the leader that a class shares most signatures with, or that leader's own such leader (a
-    salted group has a leader for each salt).  Pivots only decide what is compared together."""
-    best = materialise(stars.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")))
-    above = best.select(F.col("b").alias("a"), F.col("a").alias("top"))
-    return best.join(above, "a", "left").select(F.col("b").alias("class"), F.coalesce("top", "a").alias("pivot"))
+    return found.unionByName(materialise(compare_blocks(docs, text, materialise(blocks), join)))
+
+
+def _pivots(stars: DataFrame, classes: DataFrame) -> DataFrame:
+    """(class, pivot): up to eight steps up, each to the leader that a class shares most signatures with, if they
+    share a signature for every ``PIVOT_SHINGLES`` shingles.  Pivots only decide what is compared together."""
+    best = stars.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a"), F.max("n").alias("n"))
+    best = best.join(classes.select(F.col("class").alias("b"), "n_shingles"), "b").filter(
+        F.col("n") * PIVOT_SHINGLES >= F.col("n_shingles"))
+    best = materialise(best.select(F.col("b").alias("class"), F.col("a").alias("pivot")))
+    for _ in range(3):
+        above = best.select(F.col("class").alias("pivot"), F.col("pivot").alias("top"))
+        best = materialise(best.join(above, "pivot", "left").select("class", F.coalesce("top", "pivot").alias("pivot")))
+    return best
 
 
 def _both_ways(contacts: DataFrame, left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
