@@ -1,7 +1,8 @@
 """License scans by a positional index of rare licence words, in DataFrame functions only.
 
 Licence words are the words of short public notices (templates).  Their document frequencies are counted
-over all documents; those in more than ``COMMON`` of them are no use for lookups.  For each text its
+over all documents and order the lookups; a word in most documents weighs little but is never left out, so
+a notice that many documents share is found as a rare one is.  For each text its
 ``LOOKUPS`` rarest licence words are looked up: a word at position p of the text and q of a template votes
 for the template at p - q.  A template whose words meet at one place is accepted if all its mandatory
 phrases stand in the text.
@@ -26,9 +27,9 @@ from .common import ascii_lower, col, materialise, require, text_or_empty
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrases of the base rule and their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-#: Rarest licence words of a text that are looked up; share of documents from which a word is common; words
-#: of a template that must meet at one place (fewer only if the template has fewer).
-LOOKUPS, COMMON, VOTES = 12, 0.2, 3
+#: Rarest licence words of a text that are looked up; least weight of a word; words of a template that must
+#: meet at one place (fewer only if the template has fewer).
+LOOKUPS, FLOOR, VOTES = 12, 0.05, 3
 
 
 @dataclass(frozen=True)
@@ -76,14 +77,14 @@ def with_words(docs: DataFrame, text: str) -> DataFrame:
 
 
 def rarity(docs: DataFrame, text: str, templates: Sequence[Template]) -> dict[str, float]:
-    """Inverse document frequency of each licence word that is not common; rarest first.
+    """Inverse document frequency of each licence word, at least ``FLOOR``; rarest first.
 
     The driver gets one count per word of the templates."""
     vocabulary = sorted({w for t in templates for w in t.text.split()})
     seen = with_words(docs, text).select(F.explode(F.array_append(F.array_intersect(_strings(vocabulary), "__words"), F.lit(""))).alias("w"))
     counts = {r["w"]: r["n"] for r in seen.groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}
     n = counts.get("", 0)  # every text has the empty mark
-    found = {w: math.log((1 + n) / (1 + counts.get(w, 0))) for w in vocabulary if counts.get(w, 0) <= COMMON * n}
+    found = {w: max(FLOOR, math.log((1 + n) / (1 + counts.get(w, 0)))) for w in vocabulary}
     return dict(sorted(found.items(), key=lambda x: (-x[1], x[0])))
 
 

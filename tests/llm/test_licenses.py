@@ -27,6 +27,15 @@ def test_the_method_finds_notices_without_a_base_phrase(spark):
     assert got[101].score > 0.9 and got[101].base_labels == "" and got[102].score == 0
 
 
+def test_a_notice_on_half_of_the_documents_is_found(spark):
+    for label in ("cc-by-nc", "bsd", "cc-by", "unlicense"):
+        notice = next(t.text for t in licenses.TEMPLATES if t.label == label)
+        docs = [(i, f"Page {i} has other words. " + (notice if i % 2 else "And no notice.")) for i in range(40)]
+        got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+        assert all(got[i].labels == (label if i % 2 else "") for i in range(40))
+        assert all((got[i].score > 0.9) == (i % 2 == 1) for i in range(40))
+
+
 def test_empty_and_clashing(spark):
     docs = spark.createDataFrame([(1, "mit license", "z")], "doc_id long, text string, labels string")
     assert licenses.scan(docs).collect()[0].labels == "mit"
