@@ -1,11 +1,11 @@
 """License scans by a positional index of rare licence words, in DataFrame functions only.
 
 Licence words are the words of short public notices (templates).  Their document frequencies are counted
-over all documents and order the lookups; a word in most documents weighs little but is never left out, so
-a notice that many documents share is found as a rare one is.  For each text its
-``LOOKUPS`` rarest licence words are looked up: a word at position p of the text and q of a template votes
-for the template at p - q.  A template whose words meet at one place is accepted if all its mandatory
-phrases stand in the text.
+over all documents and weigh the votes; a word in most documents weighs little but is never left out, so a
+notice that many documents share is found as a rare one is.  Templates whose mandatory phrases all stand in
+a text are its candidates, and every word of a candidate is looked up, whatever other notices the text
+holds: a word at position p of the text and q of a candidate votes for it at p - q.  A candidate whose
+words meet at one place is accepted.
 
 Defined cases: null counts as empty and has no labels; ids may be null or repeat, every row is answered;
 equal texts share one lookup; several templates may be accepted, and the score is the best of theirs; an
@@ -27,9 +27,8 @@ from .common import ascii_lower, col, materialise, require, text_or_empty
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrases of the base rule and their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-#: Rarest licence words of a text that are looked up; least weight of a word; words of a template that must
-#: meet at one place (fewer only if the template has fewer).
-LOOKUPS, FLOOR, VOTES = 12, 0.05, 3
+#: Least weight of a word; words of a template that must meet at one place (fewer only if it has fewer).
+FLOOR, VOTES = 0.05, 3
 
 
 @dataclass(frozen=True)
@@ -77,15 +76,14 @@ def with_words(docs: DataFrame, text: str) -> DataFrame:
 
 
 def rarity(docs: DataFrame, text: str, templates: Sequence[Template]) -> dict[str, float]:
-    """Inverse document frequency of each licence word, at least ``FLOOR``; rarest first.
+    """Inverse document frequency of each licence word, at least ``FLOOR``.
 
     The driver gets one count per word of the templates."""
     vocabulary = sorted({w for t in templates for w in t.text.split()})
     seen = with_words(docs, text).select(F.explode(F.array_append(F.array_intersect(_strings(vocabulary), "__words"), F.lit(""))).alias("w"))
     counts = {r["w"]: r["n"] for r in seen.groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}
     n = counts.get("", 0)  # every text has the empty mark
-    found = {w: max(FLOOR, math.log((1 + n) / (1 + counts.get(w, 0)))) for w in vocabulary}
-    return dict(sorted(found.items(), key=lambda x: (-x[1], x[0])))
+    return {w: max(FLOOR, math.log((1 + n) / (1 + counts.get(w, 0)))) for w in vocabulary}
 
 
 def _phrase_places() -> Column:
@@ -98,37 +96,39 @@ def _phrase_places() -> Column:
     return F.expr(f"filter(transform(filter(sequence(0, size(__words) - 1), i -> get(__words, i) = 'license'), i -> {start}), i -> i IS NOT NULL)")
 
 
-def scan_words(docs: DataFrame, doc_id: str, text: str, rare: dict[str, float], templates: Sequence[Template]) -> DataFrame:
+def scan_words(docs: DataFrame, doc_id: str, text: str, templates: Sequence[Template]) -> DataFrame:
     """One small row per document: id, __key, n_words, places, base_found, verified, hits (word, pos)."""
     words = with_words(docs.select(col(doc_id).alias("__id"), col(text)), text)
     joined = words.select("__id", F.xxhash64(text_or_empty(text)).alias("__key"), "__words",
-                          F.concat(F.lit(" "), F.array_join("__words", " "), F.lit(" ")).alias("__line"),
-                          F.slice(F.array_intersect(_strings(list(rare)), "__words"), 1, LOOKUPS).alias("__rare"))
+                          F.concat(F.lit(" "), F.array_join("__words", " "), F.lit(" ")).alias("__line"))
     none = F.array().cast("array<int>")
     places = F.when(F.contains("__line", F.lit(" license ")), _phrase_places()).otherwise(none)
     has = lambda phrase: F.contains("__line", F.lit(f" {phrase} "))
     base = [F.when(has(phrase), F.lit(label)) for phrase, label in BASE.items()]
-    verified = []
+    verified, asked = [], []
     for t in templates:
         test = F.lit(True)
         for phrase in t.mandatory:
             test = test & has(phrase)
         verified.append(F.when(test, F.lit(t.name)))
-    accepted = F.when(F.size("__rare") > 0, F.array_compact(F.array(*verified))).otherwise(F.array().cast("array<string>"))
-    hits = F.expr("filter(transform(__words, (w, i) -> struct(w AS word, i AS pos)), x -> array_contains(__rare, x.word))")
+        asked.append((t.name, sorted(set(t.text.split()))))
+    of = [F.when(F.array_contains("verified", name), _strings(words)) for name, words in asked]
+    wanted = F.array_distinct(F.flatten(F.array_compact(F.array(*of)))) if of else _strings(())
+    hits = F.expr("filter(transform(__words, (w, i) -> struct(w AS word, i AS pos)), x -> array_contains(__asked, x.word))")
     out = joined.select("__id", "__key", F.size("__words").cast("long").alias("n_words"), places.alias("places"),
-                        F.array_compact(F.array(*base)).alias("base_found"), accepted.alias("verified"), "__words", "__rare")
-    return out.select("__id", "__key", "n_words", "places", "base_found", "verified",
+                        F.array_compact(F.array(*base)).alias("base_found"),
+                        (F.array_compact(F.array(*verified)) if verified else _strings(())).alias("verified"), "__words")
+    return out.withColumn("__asked", wanted).select("__id", "__key", "n_words", "places", "base_found", "verified",
                       F.when(F.size("verified") > 0, hits).alias("hits"))
 
 
-def lookups(rows: DataFrame, rare: dict[str, float], templates: Sequence[Template]) -> DataFrame:
+def lookups(rows: DataFrame, weight: dict[str, float], templates: Sequence[Template]) -> DataFrame:
     """(__key, label, score) of accepted templates.
 
     The template postings are a fixed table, joined by word; equal texts are merged before the votes."""
     spark = rows.sparkSession
-    postings = [(w, rare[w], t.name, t.label, q, min(VOTES, len({x for x in t.text.split() if x in rare})))
-                for t in templates for q, w in enumerate(t.text.split()) if w in rare]
+    postings = [(w, weight[w], t.name, t.label, q, min(VOTES, len(set(t.text.split()))))
+                for t in templates for q, w in enumerate(t.text.split())]
     index = spark.createDataFrame(postings, "word string, idf double, name string, label string, q int, need int")
     words = rows.filter(F.size("hits") > 0).select("__key", "verified", F.explode("hits").alias("hit"))
     votes = (words.select("__key", "verified", "hit.word", "hit.pos").join(index, "word")
@@ -143,9 +143,8 @@ def lookups(rows: DataFrame, rare: dict[str, float], templates: Sequence[Templat
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: Sequence[Template] = TEMPLATES) -> DataFrame:
     """(id, n_words, n_base, first_word, last_word, base_labels, labels, score) for every document."""
     require(docs, [doc_id, text])
-    rare = rarity(docs, text, templates)
-    rows = materialise(scan_words(docs, doc_id, text, rare, templates))
-    found = lookups(rows, rare, templates).groupBy("__key").agg(F.collect_set("label").alias("more"), F.max("score").alias("score"))
+    rows = materialise(scan_words(docs, doc_id, text, templates))
+    found = lookups(rows, rarity(docs, text, templates), templates).groupBy("__key").agg(F.collect_set("label").alias("more"), F.max("score").alias("score"))
     join = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
     none = F.array().cast("array<string>")
     return rows.drop("hits", "verified").join(found, "__key", "left").select(

@@ -36,6 +36,17 @@ def test_a_notice_on_half_of_the_documents_is_found(spark):
         assert all((got[i].score > 0.9) == (i % 2 == 1) for i in range(40))
 
 
+def test_every_notice_of_a_file_with_many_is_found(spark):
+    notices = {t.name: t.text for t in licenses.TEMPLATES}
+    plain = [(i, "Nothing of note stands here, and the rest is quiet.") for i in range(60)]
+    every = [(100, "\n".join(notices.values())), (101, "\n".join(notices[x] for x in ("bsd", "mit", "cc-by", "mpl"))),
+             (102, " filler of the text and the source ".join(notices.values()))]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(plain + every, "doc_id long, text string")).collect()}
+    labels = sorted({t.label for t in licenses.TEMPLATES})
+    assert got[100].labels.split(",") == labels and got[102].labels.split(",") == labels
+    assert got[101].labels == "bsd,cc-by,mit,mpl" and got[101].score > 0.9 and got[5].labels == ""
+
+
 def test_empty_and_clashing(spark):
     docs = spark.createDataFrame([(1, "mit license", "z")], "doc_id long, text string, labels string")
     assert licenses.scan(docs).collect()[0].labels == "mit"
