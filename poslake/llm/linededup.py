@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from .common import col, require
 
-RATIO = 0.08
-MIN_PAGES = 5
+RATIO = 0.05
+MIN_PAGES = 3
 SALTS = 16
 
 

@@ -38,6 +38,14 @@ def test_copies_keep_their_lines(spark):
     assert out.count() == 0 and _run(spark, rows).columns[:4] == ["doc_id", "text", "source", "n_lines"]
 
 
+def test_small_hosts_and_lines_just_over_the_ratio(spark):
+    rows = [(i, f"page {i}\nfooter" if i < 3 else f"page {i}" + "\nrare" * (i < 5), "a", None) for i in range(50)]
+    rows += [(100 + i, f"small {i}\nmenu", "b", None) for i in range(3)] + [(200 + i, f"two {i}\nmenu", "c", None) for i in range(2)]
+    got = {r.doc_id: r.text for r in _run(spark, rows).collect()}
+    assert [got[i] for i in (0, 1, 2)] == ["page 0", "page 1", "page 2"] and got[3] == "page 3\nrare" and got[4] == "page 4\nrare"
+    assert [got[100 + i] for i in range(3)] == ["small 0", "small 1", "small 2"] and got[200] == "two 0\nmenu"
+
+
 def test_no_python_runs(spark, sf_dir):
     plan = queries()["op3_line_dedup"](spark, sf_dir)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
