@@ -47,6 +47,18 @@ def test_coverage_and_verdict():
     assert found["cover_10"].tolist()[:2] == [0, 1] and found["cover_lines"][2] == pytest.approx(8 / 9)
 
 
+def test_texts_that_pass_the_base_rule_and_fail_the_method():
+    fresh = lambda n: " ".join(f"w{i:03}" for i in range(n))
+    gram = lambda n: " ".join(f"r{i:03}" for i in range(n))
+    texts = [f"{gram(10)} {fresh(100)} {gram(10)}", f"{gram(7)} {fresh(76)} {gram(7)}", f"{gram(5)} {fresh(54)} {gram(5)}",
+             "\n".join(f"{gram(4)}\n" + " ".join(f"u{i:02}{j}" for j in range(12)) for i in range(10)), f"{gram(5)} {fresh(80)} {gram(5)}"]
+    block = next(textnp.blocks(pa.array(texts), textnp.Words.SPACED))
+    found = repetition.measure(block)
+    failed, kept = repetition.judge(found)
+    assert not failed.any() and kept.tolist() == [False] * 4 + [True]
+    assert found["cover_10"][0] > 0.1 and found["cover_7"][1] > 0.13 and found["cover_5"][2] > 0.15 and found["cover_lines"][3] > 0.2
+
+
 def test_repetition_query_of_odd_tables(spark):
     schema = "doc_id long, n_words string, text string, kept int"
     docs = spark.createDataFrame([(1, "x", None, 0), (1, "x", "a", 1), (None, None, " ".join(f"w{i}" for i in range(12)), 2)], schema)
