@@ -2,7 +2,8 @@
 
 Two variable-order Markov models are counted over all urls that a rule decides: one for allowed, one for
 blocked.  Symbols are the letters, one for any digit, twelve marks and one for the rest, so a model of
-``ORDER`` symbols has a fixed largest size.  A context counts only if it was seen ``MIN_CONTEXT`` times;
+``ORDER`` symbols has a fixed largest size.  The models read the whole url after ``://`` (A-Z lower-cased),
+query string and fragment included; only host, path and rules stop at ``?`` and ``#``.  A context counts only if it was seen ``MIN_CONTEXT`` times;
 else the next shorter one speaks, and every order is smoothed with the next shorter one (Witten-Bell).  The
 score of a url is the difference of the two log-likelihoods divided by its length, and the threshold is
 where the two kinds part best on rule-decided urls that were not counted.
@@ -159,7 +160,7 @@ def judge(pages: DataFrame, page_id: str = "page_id", url: str = "url", rules: t
     require(pages, [page_id, url])
     raw = F.coalesce(col(url).cast("string"), F.lit(""))
     parts = with_rule(with_parts(pages.select(col(page_id).alias("__id"), col(url)), url), rules)
-    parts = parts.withColumn("__text", ascii_lower(F.when(raw.contains("://"), F.concat("host", "path")).otherwise(raw))).drop(url)
+    parts = parts.withColumn("__text", ascii_lower(F.when(raw.contains("://"), F.regexp_extract(raw, r"(?s)^.*?://(.*)", 1)).otherwise(raw))).drop(url)
     decided = parts.filter("by_rule IS NOT NULL")
     held = F.pmod(F.xxhash64("__text"), F.lit(HOLD)) == 0
     counts = count_grams(decided.filter(~held), "by_rule", "__text")

@@ -44,6 +44,15 @@ def test_the_models_part_urls_that_no_rule_decides(spark):
     assert got[5000] == "allow" and got[5001] == "block"
 
 
+def test_query_and_fragment_are_judged(spark):
+    pages = [(i, f"http://h{i % 9}.com/p{i}?news=report&day#summary") for i in range(200)]
+    pages += [(1000 + i, f"http://h{i % 9}.net/es/p{i}?zqxj=wkvb&qz#xxjq") for i in range(200)]
+    pages += [(5000, "http://h3.org/p7?news=report&day"), (5001, "HTTP://H3.org/p7?ZQXJ=wkvb&qz"), (5002, "http://h3.org/p7#summary"), (5003, "http://h3.org/p7#xxjq")]
+    got = {r.page_id: r for r in urlfilter.judge(spark.createDataFrame(pages, "page_id long, url string")).collect()}
+    assert [got[i].verdict for i in range(5000, 5004)] == ["allow", "block"] * 2
+    assert {(got[i].host.lower(), got[i].path) for i in range(5000, 5004)} == {("h3.org", "/p7")}
+
+
 def test_one_kind_none_and_empty(spark):
     schema = "page_id long, url string, host int, score string"
     one = spark.createDataFrame([(1, "http://a.net/es/x", 1, ""), (2, "http://b.org/", 1, "")], schema)
