@@ -3,7 +3,8 @@
 The index holds postings (term, text, position) of training words.  A benchmark window is looked up by its
 rarest terms: their lists, shifted by each term's place in the item, meet where the whole window may stand
 (text, item, offset).  Such an alignment is then compared word by word, which gives exact phrase matches;
-alignments whose offsets differ by a few words give proximity matches.
+alignments whose offsets differ by a few words give proximity matches, for which every alignment counts,
+those of a single term too.
 
 Term frequencies come from all documents, by hash slot (a table of fixed size that only chooses which terms
 are looked up first).  Only terms that some window asks for are stored; a bitmap of fixed size says which.
@@ -131,15 +132,73 @@ def postings(docs: DataFrame, text: str, terms: np.ndarray) -> DataFrame:
     return docs.select(text_or_empty(text).alias("__text")).mapInArrow(run, "term long, text long, pos long")
 
 
-def alignments(index: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(text, item, offset, n, need, n_terms): where the looked-up terms of an item stand at their places.
+def met_places(index: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(text, item, offset, place, need, n_terms): the looked-up terms of items that stand in texts.
 
     A frequent term's list is salted by text, and the few lookups are repeated for each salt."""
     salts = F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("salt")
     spread = index.withColumn("salt", F.pmod(F.col("text"), F.lit(SALTS)).cast("int"))
-    met = spread.join(wanted.select("*", salts), ["term", "salt"])
-    return (met.groupBy("text", "item", (F.col("pos") - F.col("place")).alias("offset"))
-            .agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need"), F.first("n_terms").alias("n_terms")))
+    return (spread.join(wanted.select("*", salts), ["term", "salt"])
+            .select("text", "item", (F.col("pos") - F.col("place")).alias("offset"), "place", "need", "n_terms"))
+
+
+def alignments(met: DataFrame, slop: int = SLOP, percent: int = NEAR_PERCENT) -> DataFrame:
+    """(text, item, offset, near) of ``met_places``: the offsets at which as many terms meet as an exact window
+    needs, and a row with ``near`` (its offset is null) if ``percent`` of the item's looked-up terms stand at
+    offsets at most ``slop`` apart.
+
+    A term counts once at an offset, however many tasks indexed the text, and once in a group of offsets.  The
+    rows of a text and item are sorted by Spark and judged together, so a task holds one pair and one batch."""
+    def judge(rows: list[np.ndarray]) -> pa.RecordBatch:
+        text, item, place, offset, need, terms = rows
+        new = np.ones(len(text), bool)
+        new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1])
+        fresh = new.copy()  # rows come by (text, item, place, offset); equal ones are copies
+        fresh[1:] |= (place[1:] != place[:-1]) | (offset[1:] != offset[:-1])
+        pair = (np.cumsum(new) - 1)[fresh]
+        text, item, place, offset, need, terms = (x[fresh] for x in (text, item, place, offset, need, terms))
+        by = np.lexsort((offset, pair))
+        first = np.flatnonzero(np.diff(pair[by], prepend=-1) | (np.diff(offset[by], prepend=0) != 0))
+        n = np.diff(first, append=len(by))
+        exact = by[first][n >= need[by[first]]]
+        # A place is in the group that starts at s if s - 1 is at or after its offset before, and s within slop of this.
+        again = np.zeros(len(pair), bool)
+        again[1:] = (pair[1:] == pair[:-1]) & (place[1:] == place[:-1])
+        opens = offset - slop
+        opens[1:] = np.where(again[1:], np.maximum(opens[1:], offset[:-1] + 1), opens[1:])
+        at, step = np.concatenate((opens, offset + 1)), np.repeat([1, -1], len(pair))
+        both = np.concatenate((pair, pair))
+        by = np.lexsort((step, at, both))  # a pair's steps add up to 0; groups close before others open
+        held = np.cumsum(step[by])
+        heads = np.flatnonzero(np.diff(pair, prepend=-1))
+        most = np.maximum.reduceat(held, 2 * heads) if len(heads) else held
+        near = heads[100 * most >= percent * terms[heads]]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate((text[exact], text[near]))), pa.array(np.concatenate((item[exact], item[near]))),
+             pa.array(np.concatenate((offset[exact], np.zeros(len(near), np.int64))), pa.int64(),
+                      mask=np.repeat([False, True], [len(exact), len(near)])),
+             pa.array(np.repeat([False, True], [len(exact), len(near)]))], ["text", "item", "offset", "near"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[list[np.ndarray]] = []  # rows of the pair that is not yet closed
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            last = (rows[0] == rows[0][-1]) & (rows[1] == rows[1][-1])
+            cut = int(np.argmax(last))  # rows are sorted, so the last pair is a tail
+            if kept and cut == 0 and kept[-1][0][-1] == rows[0][0] and kept[-1][1][-1] == rows[1][0]:
+                kept.append(rows)
+                continue
+            closed = kept + [[x[:cut] for x in rows]]
+            yield judge([np.concatenate(x) for x in zip(*closed, strict=True)])
+            kept = [[x[cut:] for x in rows]]
+        if kept:
+            yield judge([np.concatenate(x) for x in zip(*kept, strict=True)])
+
+    rows = (met.repartition("text", "item").sortWithinPartitions("text", "item", "place", "offset")
+            .select("text", "item", "place", "offset", "need", "n_terms"))
+    return rows.mapInArrow(run, "text long, item long, offset long, near boolean")
 
 
 def exact_phrases(found: DataFrame, texts: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -171,17 +230,6 @@ def exact_phrases(found: DataFrame, texts: DataFrame, items: DataFrame, window:
     return rows.mapInArrow(run, "text long, item long, start long, stop long")
 
 
-def near_matches(met: DataFrame, slop: int = SLOP, percent: int = NEAR_PERCENT) -> DataFrame:
-    """(text, item): proximity matches, with ``percent`` of the item's looked-up terms at offsets at most
-    ``slop`` apart.  Two grids of offsets, half a cell apart, let no such group fall between cells."""
-    cell = 2 * (slop + 1)
-    grid = F.explode(F.array(*[F.struct(F.lit(g).alias("g"), F.floor((F.col("offset") + g * (slop + 1)) / cell).alias("cell"))
-                               for g in (0, 1)])).alias("at")
-    return (met.select("text", "item", "n", "n_terms", grid).groupBy("text", "item", "at")
-            .agg(F.sum("n").alias("n"), F.first("n_terms").alias("n_terms"))
-            .filter(100 * F.col("n") >= percent * F.col("n_terms")).select("text", "item").distinct())
-
-
 def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text",
                   item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """(id, n_words, n_hit, n_items, items_sha256, contaminated, n_near) for every document."""
@@ -191,8 +239,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     names = keyed_texts(benchmark, item_id, item_text).filter("key <> 0").select(F.col("key").alias("item"), col(item_id).cast("string").alias("__item_id"))
     wanted = materialise(lookups(items, term_frequencies(docs, text, items), window))
     index = postings(docs, text, bitmap(wanted, "term", TERM_BITS))
-    met = materialise(alignments(index, wanted).filter("n >= 2 or n >= need"))
-    found = met.filter("n >= need")
+    met = materialise(alignments(met_places(index, wanted)))
+    found = met.filter("NOT near")
     texts = word_lists(docs, text, bitmap(found, "text", TEXT_BITS)).join(found.select(F.col("text").alias("key")).distinct(), "key", "left_semi")
     hits = materialise(exact_phrases(found, texts, items, window))
 
@@ -200,7 +248,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     spans = hits.select("text", "start", "stop").distinct().withColumn("reached", F.coalesce(F.max("stop").over(earlier), F.lit(0)))
     n_hit = spans.groupBy("text").agg(F.sum(F.greatest(F.lit(0), F.col("stop") - F.greatest("start", "reached"))).alias("n_hit"))
     listed = hits.select("text", "item").distinct().join(names, "item").groupBy("text").agg(F.array_sort(F.collect_set("__item_id")).alias("ids"))
-    near = near_matches(met).groupBy("text").agg(F.count(F.lit(1)).alias("n_near"))
+    near = met.filter("near").groupBy("text").agg(F.count(F.lit(1)).alias("n_near"))
     by_text = n_hit.join(listed, "text", "left").join(near, "text", "full").withColumnRenamed("text", "key")
     rows = keyed_texts(docs, doc_id, text).join(materialise(by_text), "key", "left")
     n_hit, ids = F.coalesce("n_hit", F.lit(0)).cast("long"), F.coalesce("ids", F.array().cast("array<string>"))

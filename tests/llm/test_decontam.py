@@ -47,3 +47,27 @@ def test_proximity_allows_a_gap(spark):
     far = " ".join(f"w{i} x x x x x x x x x" for i in range(13))
     got = {r.doc_id: r for r in _run(spark, [(1, item), (2, gap), (3, far)], [(1, item)])}
     assert [(got[i].n_hit, got[i].n_near) for i in (1, 2, 3)] == [(13, 1), (0, 1), (0, 0)]
+
+
+def test_every_alignment_counts_for_proximity(spark):
+    rest = " ".join("defghijklm")  # the fillers make a, b and c the rarest
+    docs = [(1, f"a x b c {rest}"), (2, f"a x b x c {rest}"), (3, f"a x x x b x x c {rest}"), (4, "a a a a z z a"), (5, "a y b"),
+            (6, "a y b"), (7, "b a y"), (8, "b c a"), (9, f"a b c {rest}")] + [(10 + i, "a y") for i in range(8)]
+    got = {r.doc_id: r for r in _run(spark, docs + [(20 + i, rest) for i in range(60)], [(1, f"a b c {rest}")])}
+    assert [got[i].n_near for i in range(1, 10)] == [1, 1, 0, 0, 0, 0, 0, 1, 1]
+    assert [got[i].n_hit for i in range(1, 10)] == [0] * 8 + [13] and not any(got[10 + i].n_near for i in range(8))
+
+
+def test_pairs_equal_a_count_of_every_group(spark):
+    pick = random.Random(4)
+    rows = [(pick.randint(1, 4), pick.randint(1, 3), pick.randint(-9, 30), pick.randint(0, 5), 3, 6) for _ in range(320)]
+    rows += rows[:30]
+    met = spark.createDataFrame(rows, "text long, item long, offset long, place long, need long, n_terms long")
+    got = {tuple(r) for r in decontam.alignments(met).collect()}
+    want = set()
+    for text, item in {r[:2] for r in rows}:
+        mine = {r[2:4] for r in rows if r[:2] == (text, item)}
+        want |= {(text, item, o, False) for o, _ in mine if len({p for q, p in mine if q == o}) >= 3}
+        if any(len({p for q, p in mine if o <= q <= o + decontam.SLOP}) * 100 >= decontam.NEAR_PERCENT * 6 for o, _ in mine):
+            want.add((text, item, None, True))
+    assert got == want and 0 < sum(r[3] for r in want) < 12 and any(not r[3] for r in want)
