@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, gam, licenses, linededup, packing, partenum, repetition, shards, urlfilter
+from . import align, chat, decontam, extract, gam, licenses, linededup, merkle, packing, partenum, repetition, shards, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,8 +53,21 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_table(_table(spark, sf_dir, "documents"))
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract_table(_table(spark, sf_dir, "pages"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.alignment_table(_table(spark, sf_dir, "documents"))
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest_table(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_url_filter, op3_line_dedup, op4_repetition, op5_chat, op6_license_scan, op7_quality, op8_decontamination, op9_near_duplicates, op10_sharding)}
+    return {f.__name__: f for f in (op1_packing, op2_url_filter, op3_line_dedup, op4_repetition, op5_chat, op6_license_scan, op7_quality, op8_decontamination, op9_near_duplicates, op10_sharding,
+                                   op11_html_extraction, op12_alignment, op13_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
