@@ -1,27 +1,24 @@
 """foreachBatch sink: messages → inbound → upsert, keyed by query and batch id.
 
-Per micro-batch: (1) initial rows of sessions not yet released are parked in
-``pending``; (2) the initial rows of released sessions (parked earlier, or in
-this batch) and intraday rows are loaded; (3) the initial upsert runs, then the
-intraday one, over the loaded rows and the days they touch; (4) those days of
-positions are written, and the loaded rows are appended to ``inbound`` with
-their processed flags.  Messages that cannot be parsed and updates that came too
-late go to ``quarantine``, so loaded + quarantined + parked = received (zero
-positions, markers and heartbeats aside).  Every run is logged and closed after
-its writes.
-
-Everything a batch writes carries the tag (query id, batch id): positions skip a
-day whose version with that tag is committed, and the batch's own folders of
-``inbound``, ``pending`` and ``quarantine`` are overwritten, so a retried batch
-cannot apply twice.  One streaming query owns the tables; another one (a new
-checkpoint) is refused, because it would replay what has been applied.
+The batch comes from ``release_stream``: initial rows are in it only once their session is released, and waiting
+rows are the state store's business.  Per micro-batch: (1) the initial and intraday rows are loaded; (2) the initial
+upsert runs, then the intraday one, over the loaded rows and the days they touch; (3) those days of positions are
+written, and the loaded rows are appended to ``inbound`` with their processed flags.  Messages that cannot be
+parsed, updates that came too late, and initial rows whose session expired (or was never released) go to
+``quarantine``, so loaded + quarantined + waiting = received (zero positions, markers and heartbeats aside).  Every
+run is logged and closed after its writes.
+
+A batch that is run again brings the same rows.  Everything it writes carries the tag (query id, batch id):
+positions skip a day whose version with that tag is committed, and the batch's own folders of ``inbound`` and
+``quarantine`` are overwritten with the same rows, so a retried batch neither applies twice nor loses any.  One
+streaming query owns the tables; another one (a new checkpoint) is refused, because it would replay what has been
+applied.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,7 +33,8 @@ from ..sources.inbound import load_inbound
 from ..sources.tables import DailyVersionedTable, RunLog, _fs
 
 MESSAGE_COLUMNS = [*SESSION_KEY, "stream_order", "json_stream", "phase"]
-PARKED_BY = ["batch", "as_of_date", "load_bb_entity_name"]
+#: Phases of rows that no job loads, and the reason that quarantine gives.
+UNLOADED = {"late": "late", "expired": "expired"}
 
 
 @dataclass
@@ -49,7 +47,6 @@ class StreamTables:
         self.base = self.root.rstrip("/")
         self.positions = DailyVersionedTable(self.spark, f"{self.base}/positions")
         self.log = RunLog(self.spark, f"{self.base}/runlog")
-        self.pending = f"{self.base}/pending"
 
     def _read(self, name: str, schema: T.StructType) -> DataFrame:
         path = f"{self.base}/{name}"
@@ -66,10 +63,6 @@ class StreamTables:
         """Messages that no job loaded, with the reason."""
         return self._read("quarantine", _message_schema("reason"))
 
-    def parked(self) -> DataFrame:
-        """Initial rows that wait for their session's end marker."""
-        return self._read("pending", _message_schema("batch"))
-
     def claim(self, query_id: str) -> None:
         """Makes ``query_id`` the owner of the tables; raises if another query owns them."""
         fs, p, jvm = _fs(self.spark, f"{self.base}/_owner")
@@ -102,19 +95,6 @@ def _query_id(spark: SparkSession) -> str:
     return spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "manual"
 
 
-def _drop_released(tables: StreamTables, released: DataFrame) -> None:
-    """Deletes parked folders of which every session is released."""
-    places = (tables.parked().select(*SESSION_KEY, "batch").distinct()
-              .join(released.withColumn("_out", F.lit(True)), SESSION_KEY, "left")
-              .groupBy(*PARKED_BY).agg(F.bool_and(F.col("_out").isNotNull()).alias("done"))
-              .where("done").select(*PARKED_BY))
-    for r in places.collect():  # folders, not rows
-        fs, day, _ = _fs(tables.spark, f"{tables.pending}/batch={r.batch}/as_of_date={r.as_of_date}")
-        for st in fs.listStatus(day):  # names are escaped in paths
-            if unquote(st.getPath().getName()) == f"load_bb_entity_name={r.load_bb_entity_name}":
-                fs.delete(st.getPath(), True)
-
-
 def make_sink(tables: StreamTables, cmap: ColumnMap | None = None, policy: str | None = None,
               query_id: str | None = None) -> Callable[[DataFrame, int], None]:
     """The foreachBatch function.  ``policy`` is for keys that repeat among initial rows."""
@@ -126,20 +106,16 @@ def make_sink(tables: StreamTables, cmap: ColumnMap | None = None, policy: str |
         tag = f"{owner}-{batch_id}"
         batch = batch.cache()
         msg = lambda df: df.select(*MESSAGE_COLUMNS)
-        ended = batch.where(F.col("phase") == "initial_end").select(*SESSION_KEY).distinct()
-        initial = zero_filter(batch.where(F.col("phase") == "initial"))
-        # Rows of a session that is released in this batch or was before need no parking.
-        direct, waiting = initial.where("released"), initial.where("NOT released")
-        (msg(waiting).write.mode("overwrite").partitionBy("as_of_date", "load_bb_entity_name")
-         .parquet(f"{tables.pending}/batch={tag}"))
-        released = tables.parked().join(ended, SESSION_KEY, "left_semi")
-        to_load = (msg(released).unionByName(msg(direct))
-                   .unionByName(msg(batch.where(F.col("phase") == "intraday"))))
-        loaded = load_inbound(to_load, cmap)
+        phase = F.col("phase")
+        initial = zero_filter(batch.where((phase == "initial") & F.col("released")))
+        loaded = load_inbound(msg(initial).unionByName(msg(batch.where(phase == "intraday"))), cmap)
         rows = cut(loaded.rows)
-        late = msg(batch.where(F.col("phase") == "late")).withColumn("reason", F.lit("late"))
-        (msg(loaded.quarantine).withColumn("reason", F.lit("malformed")).unionByName(late)
+        reason = F.create_map(*[F.lit(x) for pair in UNLOADED.items() for x in pair])[phase]
+        reason = F.when((phase == "initial") & ~F.col("released"), "unreleased").otherwise(reason)
+        unloaded = batch.withColumn("reason", reason).where("reason IS NOT NULL").select(*MESSAGE_COLUMNS, "reason")
+        (msg(loaded.quarantine).withColumn("reason", F.lit("malformed")).unionByName(unloaded)
          .write.mode("overwrite").parquet(f"{tables.base}/quarantine/batch={tag}"))
+        ended = batch.where(phase == "session_end").count()
         # The days this batch touches (a handful of dates, not data).
         days = [r.as_of_date for r in rows.select("as_of_date").distinct().collect()]
         job = tables.log.start("stream_batch", tag)
@@ -152,7 +128,8 @@ def make_sink(tables: StreamTables, cmap: ColumnMap | None = None, policy: str |
                 for out, phase in ((first, "initial"), (second, "intraday")):
                     for r in out.counts.collect():
                         tables.log.status(job, "stream_batch", tag, f"{phase} {r.kind}: {r.n}")
-            _drop_released(tables, ended)
+            if ended:
+                tables.log.status(job, "stream_batch", tag, f"sessions_expired: {ended}")
             tables.log.end(job)
         except Exception as e:
             tables.log.end(job, 2, f"failed: {str(e).splitlines()[0][:500]}")
@@ -165,13 +142,14 @@ def make_sink(tables: StreamTables, cmap: ColumnMap | None = None, policy: str |
 
 def run_archive_stream(spark: SparkSession, archive_dir: str, archive_schema: T.StructType,
                        root: str, checkpoint: str, cmap: ColumnMap | None = None,
-                       max_files_per_trigger: int = 1, policy: str | None = None):
+                       max_files_per_trigger: int = 1, policy: str | None = None, idle_ms: int | None = None):
     """Replay archive files as a stream (availableNow) into the tables."""
-    from .sessions import classify_stream
+    from .release import DAY_MS, drained, release_stream
     tables = StreamTables(spark, root, inbound_schema(spark, cmap))
     src = (spark.readStream.schema(archive_schema)
            .option("maxFilesPerTrigger", max_files_per_trigger).parquet(archive_dir))
-    q = (classify_stream(src).writeStream.foreachBatch(make_sink(tables, cmap, policy))
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    q.awaitTermination()
+    with drained(spark):
+        q = (release_stream(src, idle_ms=idle_ms or DAY_MS).writeStream.foreachBatch(make_sink(tables, cmap, policy))
+             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+        q.awaitTermination()
     return tables

@@ -144,29 +144,120 @@ def test_received_is_loaded_or_quarantined(spark, sf_dir, scratch):
     assert tables.log.jobs().where("job_status_description = 'completed'").count() == 1
 
 
-def test_pending_is_emptied_and_batches_cost_their_own_rows(spark, sf_dir, scratch):
+def _write(df, folder):
+    df.coalesce(1).write.parquet(folder)
+
+
+def _tables_state(spark, tables):
+    """Sorted rows of everything a stream writes, positions and run log's counts aside from times."""
+    out = []
+    for df in (tables.inbound(), tables.quarantine(), tables.positions.read()):
+        out.append(digest(sorted(df.columns), [tuple(r) for r in df.select(*sorted(df.columns)).collect()])[0])
+    return out
+
+
+def _raw(spark, sf_dir, *names):
+    return fixture(spark, sf_dir, "fx_stream").where(F.col("load_bb_entity_name").isin(*names))
+
+
+def _start(spark, live, schema, scratch, sink, **idle):
+    from poslake.streaming.release import drained, release_stream
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(live)
+    with drained(spark):
+        q = (release_stream(src, **idle).writeStream.foreachBatch(sink).option("checkpointLocation", f"{scratch}/ck")
+             .trigger(availableNow=True).start())
+        q.awaitTermination(300)
+
+
+def test_batches_cost_their_own_rows_and_initial_rows_wait_in_state(spark, sf_dir, scratch):
     import os
+    log = _raw(spark, sf_dir, "U1", "U2", "U3", "U8")
+    phased = msg.session_phase(log).where("released").cache()
+    raw = lambda df: df.select(*log.columns)
+    live, top = f"{scratch}/live", phased.agg(F.max("stream_order")).first()[0]
+    _write(raw(phased.where("phase = 'initial'")), f"{live}/part=0")
+    tables = run_archive_stream(spark, f"{live}/*", log.schema, f"{scratch}/t", f"{scratch}/ck", policy="last")
+    assert tables.inbound().count() == 0 and tables.quarantine().count() == 0
+    _write(raw(phased.where("phase <> 'initial'")), f"{live}/part=1")
+    for b in (2, 3):
+        again = phased.where("phase = 'intraday'").limit(2).withColumn("stream_order", (F.lit(top + 10 * b) + F.monotonically_increasing_id()).cast("long"))
+        _write(raw(again), f"{live}/part={b}")
+    tables = run_archive_stream(spark, f"{live}/*", log.schema, f"{scratch}/t", f"{scratch}/ck", policy="last")
+    folders = sorted(f for f in os.listdir(f"{scratch}/t/inbound") if f.startswith("batch="))
+    counts = [spark.read.parquet(f"{scratch}/t/inbound/{f}").count() for f in folders]
+    want = msg.zero_filter(phased).where("phase IN ('initial', 'intraday')").count()
+    assert counts == [want, 2, 2] and want > 0
 
+
+def test_retry_of_a_releasing_batch_changes_nothing(spark, sf_dir, scratch):
     from poslake.streaming.sink import StreamTables, inbound_schema, make_sink
+    log = _raw(spark, sf_dir, "U4", "U12")
+    phased = msg.session_phase(log).where("released").cache()
+    raw = lambda df: df.select(*log.columns)
+    initial = phased.where("phase = 'initial'")
+    bad = initial.limit(1).withColumn("json_stream", F.lit("{broken")).withColumn("stream_order", F.lit(-1).cast("long"))
+    live = f"{scratch}/live"
+    _write(raw(initial.unionByName(bad)), f"{live}/part=0")
+    _write(raw(phased.where("phase <> 'initial'")), f"{live}/part=1")
     tables = StreamTables(spark, f"{scratch}/t", inbound_schema(spark))
-    sink = make_sink(tables, policy="last")
-    phased = _sessions(spark, sf_dir, "U1", "U2", "U3", "U8").where("released")
-    initial = phased.where("phase = 'initial'").withColumn("released", F.lit(False))
-    sink(initial, 0)
-    assert tables.parked().count() > 0 and tables.inbound().count() == 0
-    sink(phased.where("phase <> 'initial'"), 1)
-    assert tables.parked().count() == 0 and tables.inbound().count() > 0
-    orders = [r.stream_order for r in phased.where("phase = 'intraday'").select("stream_order").collect()]
-    top = max(orders)
-
-    def rows_of(batch_id):
-        folder = f"{scratch}/t/inbound/batch=manual-{batch_id}"
-        return spark.read.parquet(folder).count() if os.path.exists(folder) else 0
+    sink, seen = make_sink(tables, policy="last"), []
 
-    for b in (2, 3):
-        again = phased.where("phase = 'intraday'").limit(2).withColumn("stream_order", (F.lit(top + 10 * b) + F.monotonically_increasing_id()).cast("long"))
-        sink(again, b)
-    assert rows_of(2) == rows_of(3) == 2
+    def failing(batch, batch_id):
+        sink(batch, batch_id)
+        seen.append((batch_id, batch.count()))
+        if len(seen) == 2:
+            raise RuntimeError("lost after its writes")
+
+    with pytest.raises(Exception, match="lost after its writes"):
+        _start(spark, f"{live}/*", log.schema, scratch, failing)
+    before, loaded = _tables_state(spark, tables), tables.inbound().count()
+    assert {r.reason: r["count"] for r in tables.quarantine().groupBy("reason").count().collect()} == {"malformed": 1}
+    assert tables.inbound().where("is_intraday = 'false'").count() == msg.zero_filter(initial).count() > 0
+    _start(spark, f"{live}/*", log.schema, scratch, failing)
+    assert seen[1] == seen[2]  # the same batch with the same rows
+    assert _tables_state(spark, tables) == before and tables.inbound().count() == loaded
+    want = _batch_positions(spark, log)
+    got = tables.positions.read()
+    assert digest(got.columns, [tuple(r) for r in got.collect()])[0] == digest(want.columns, [tuple(r) for r in want.collect()])[0]
+
+
+def test_idle_sessions_expire_and_are_counted(spark, sf_dir, scratch):
+    import time
+    log = _raw(spark, sf_dir, "U4", "U12")
+    phased = msg.session_phase(log).where("released").cache()
+    raw = lambda df: df.select(*log.columns)
+    first = phased.where("load_bb_entity_name = 'U4' AND phase = 'initial'")
+    live = f"{scratch}/live"
+
+    def run():
+        return run_archive_stream(spark, f"{live}/*", log.schema, f"{scratch}/t", f"{scratch}/ck", policy="last", idle_ms=1500)
+
+    _write(raw(first), f"{live}/part=0")
+    run()
+    time.sleep(2)
+    _write(raw(phased.where("load_bb_entity_name = 'U12'")), f"{live}/part=1")
+    tables = run()
+    n = first.count()
+    assert n > 0 and tables.quarantine().groupBy("reason").count().collect() == [("expired", n)]
+    sessions = first.select(*SESSION_KEY).distinct().count()
+    assert tables.log.details().where(f"status_text = 'sessions_expired: {sessions}'").count() == 1
+    _write(raw(first.limit(3)), f"{live}/part=2")
+    tables = run()
+    assert {r.reason: r["count"] for r in tables.quarantine().groupBy("reason").count().collect()} == {"expired": n, "late": 3}
+
+
+def test_waiting_rows_are_kept_in_chunks(spark, sf_dir, scratch, monkeypatch):
+    from poslake.streaming import release
+    monkeypatch.setattr(release, "CHUNK_ROWS", 3)
+    log = _raw(spark, sf_dir, "U3", "U4", "U12")
+    released = msg.session_phase(log).where("released")
+    paths = _split_write(log, "stream_order", 4, f"{scratch}/src")
+    assert len(paths) == 4
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{scratch}/src/*")
+    with release.drained(spark):
+        got = _collect_stream(spark, release.release_stream(stream).select(*SESSION_KEY, "stream_order", "phase"), f"{scratch}/ck")
+    want = [tuple(r) for r in released.select(*SESSION_KEY, "stream_order", "phase").collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
 
 
 def test_out_of_order_files_keep_every_initial_row(spark, sf_dir, scratch):
