@@ -85,9 +85,8 @@ def strict_inbound(inbound: DataFrame, cmap: ColumnMap | None = None,
 def conform_positions(df: DataFrame) -> DataFrame:
     """Project onto the 46 positions columns; missing ones take their default (NULL)."""
     have = set(df.columns)
-    return df.select(*[F.col(c).cast(POSITIONS_TYPES[c]) if c in have
-                       else F.lit(None).cast(POSITIONS_TYPES[c]).alias(c)
-                       for c in POSITIONS_COLUMNS])
+    kind = lambda c: POSITIONS_TYPES[c] if isinstance(POSITIONS_TYPES[c], str) else POSITIONS_TYPES[c].simpleString()
+    return df.selectExpr(*[f"CAST({f'`{c}`' if c in have else 'NULL'} AS {kind(c)}) AS `{c}`" for c in POSITIONS_COLUMNS])
 
 
 def best_rows(rows: DataFrame, keys=BEST_ROW_KEY, order: str = "load_order") -> DataFrame:
