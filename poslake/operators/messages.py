@@ -54,12 +54,15 @@ def zero_position_excluded(payload: Column | str = PAYLOAD) -> Column:
     missing, null, blank or a zero of any shape and size (the text is tested, so
     nothing is rounded).  Non-numeric text and malformed JSON are kept."""
     p = F.col(payload) if isinstance(payload, str) else payload
-    m = parse_message(payload)
-    v = F.try_element_at(m, F.lit(ZERO_FIELD))
+
+    def zero(m: Column) -> Column:
+        v = F.try_element_at(m, F.lit(ZERO_FIELD))
+        return (F.when(m.isNull(), F.lit(False)).when(v.isNull() | ~v.rlike(r"\S"), F.lit(True))
+                .otherwise(v.rlike(ZERO_TEXT) & v.rlike(HAS_ZERO_DIGIT)))
+
+    # A lambda variable: every branch reads the message that was parsed once.
     return (F.when(~F.coalesce(p.rlike(r"\S"), F.lit(False)), F.lit(True))
-            .when(m.isNull(), F.lit(False))
-            .when(v.isNull() | ~v.rlike(r"\S"), F.lit(True))
-            .otherwise(v.rlike(ZERO_TEXT) & v.rlike(HAS_ZERO_DIGIT)))
+            .otherwise(F.get(F.transform(F.array(parse_message(payload)), zero), F.lit(0))))
 
 
 def zero_filter(phased: DataFrame) -> DataFrame:
