@@ -44,8 +44,9 @@ def ascii_lower(c: Column) -> Column:
 
 
 def with_row_key(docs: DataFrame) -> DataFrame:
-    """Adds ``__row_key``, a hash of all columns: equal rows share it, and rows need no id."""
-    return docs.withColumn("__row_key", F.xxhash64(*[col(c) for c in docs.columns]))
+    """Adds ``__row_key``, a hash of all columns: equal rows share it, and rows need no id.  A hash skips nulls,
+    so whether each column is null is hashed too."""
+    return docs.withColumn("__row_key", F.xxhash64(*[x for c in docs.columns for x in (col(c).isNull(), col(c))]))
 
 
 def map_texts(df: DataFrame, keep: list[str], text: str, kind: textnp.Words, fields: list[T.StructField],

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from .common import col, require
 
+#: A line with anything but white space; other lines are blank and stay.
+WORDED = r"[^\x09-\x0D\x20]"
 RATIO = 0.05
 MIN_PAGES = 3
 SALTS = 16
@@ -25,6 +27,10 @@ def _line_key(host: Column, line: Column) -> Column:
     return F.xxhash64(host, line)
 
 
+def _worded(line: Column) -> Column:
+    return line.rlike(WORDED)
+
+
 def boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """(host, key): the lines that exceed the ratio.
 
@@ -34,7 +40,7 @@ def boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATIO, mi
     site = pages.filter(col(text).isNotNull()).select(
         F.struct(col(host).alias("v")).alias("__host"), col(text).alias("__text"))
     site = site.withColumn("__page", F.xxhash64("__host", "__text"))
-    keys = F.array_distinct(F.transform(F.filter(F.split("__text", "\n"), lambda x: F.trim(x) != ""),
+    keys = F.array_distinct(F.transform(F.filter(F.split("__text", "\n"), _worded),
                                         lambda x: _line_key(F.col("__host"), x)))
     counts = (site.select("__host", "__page", F.explode(keys).alias("__line")).groupBy("__host", "__line")
               .agg(F.count_distinct("__page").alias("__n")).filter(F.col("__n") >= min_pages))
@@ -51,7 +57,7 @@ def dedup_lines(pages: DataFrame, host: str = "source", text: str = "text", rati
     require(pages, [host, text])
     site = pages.select("*", F.struct(col(host).alias("v")).alias("__host"))
     site = site.withColumn("__page", F.xxhash64("__host", col(text)))
-    keys = F.array_distinct(F.transform(F.filter(F.split(col(text), "\n"), lambda x: F.trim(x) != ""),
+    keys = F.array_distinct(F.transform(F.filter(F.split(col(text), "\n"), _worded),
                                         lambda x: _line_key(F.col("__host"), x)))
     salts = F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("__salt")
     bad = boilerplate(pages, host, text, ratio, min_pages).select("__line", salts)
@@ -63,7 +69,7 @@ def dedup_lines(pages: DataFrame, host: str = "source", text: str = "text", rati
     row_salt = F.pmod(F.xxhash64(*others), F.lit(SALTS)).cast("int")
     met = site.withColumn("__salt", row_salt).join(drops, ["__page", "__salt"], "left")
     parts = F.split(col(text), "\n")
-    kept = F.filter(parts, lambda x: (F.trim(x) == "") | ~F.array_contains("__drop", _line_key(F.col("__host"), x)))
+    kept = F.filter(parts, lambda x: ~_worded(x) | ~F.array_contains("__drop", _line_key(F.col("__host"), x)))
     total = F.coalesce(F.size(parts), F.lit(0))
     total = F.when(col(text).isNull(), F.lit(0)).otherwise(total).cast("long")
     out = met.withColumn("__kept", F.when(F.col("__drop").isNotNull(), kept))
@@ -85,7 +91,7 @@ WITH lines AS (
          generate_subscripts(string_split(text, chr(10)), 1) AS pos
   FROM documents),
 counted AS (
-  SELECT source, line, count(DISTINCT text) AS n FROM lines WHERE trim(line, ' ') <> '' GROUP BY ALL),
+  SELECT source, line, count(DISTINCT text) AS n FROM lines WHERE regexp_matches(line, '{WORDED}') GROUP BY ALL),
 totals AS (SELECT source, count(DISTINCT text) AS pages FROM documents GROUP BY ALL),
 bad AS (
   SELECT counted.source, line FROM counted JOIN totals ON counted.source IS NOT DISTINCT FROM totals.source

@@ -46,6 +46,12 @@ def test_small_hosts_and_lines_just_over_the_ratio(spark):
     assert [got[100 + i] for i in range(3)] == ["small 0", "small 1", "small 2"] and got[200] == "two 0\nmenu"
 
 
+def test_lines_of_white_space_stay(spark):
+    rows = [(i, f"page {i}\n\t\t\n \x0b\x0c \nmenu", "a", None) for i in range(30)]
+    got = {r.doc_id: (r.text, r["__dropped"]) for r in _run(spark, rows).collect()}
+    assert got[4] == ("page 4\n\t\t\n \x0b\x0c ", 1)
+
+
 def test_no_python_runs(spark, sf_dir):
     plan = queries()["op3_line_dedup"](spark, sf_dir)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan

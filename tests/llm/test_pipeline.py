@@ -58,3 +58,12 @@ def test_stages_take_odd_and_empty_tables(spark, sf_dir, docs):
             assert out.count() <= 3 * table.count()
             if stage is not corpus_pipeline.best_fit_packing:
                 assert out.columns == odd.columns
+
+
+def test_rows_that_differ_in_their_nulls_have_keys_of_their_own(spark):
+    from poslake.llm import partenum
+    from poslake.llm.common import with_row_key
+    rows = [(1, None, "en", None, 0), (1, None, None, "en", 0), (1, None, "en", None, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert len({r["__row_key"] for r in with_row_key(docs).collect()}) == 2
+    assert {tuple(r) for r in partenum.keep_one(docs).collect()} == set(rows)
