@@ -20,7 +20,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut
@@ -238,24 +239,15 @@ def _runs(batches, cols):
         yield cur, acc
 
 
-def reassemble_parallel(chunks: DataFrame, key=("msg_request_id",), order: str = "chunk_seq",
-                        text: str = "chunk", width: int = SEGMENT_WIDTH) -> DataFrame:
-    """Batch M1 as a parallel prefix scan (same output as ``reassemble``).
+def _segments(chunks: DataFrame, key: list[str], order: str, text: str, width: int) -> DataFrame:
+    seg = F.floor(F.col(order) / F.lit(width)).cast("long").alias("seg")
+    return chunks.select(*key, seg, F.col(order).cast("long").alias(order), F.col(text).alias(text))
 
-    Every Python step runs in ``mapInPandas`` over partitions hashed by
-    (session, segment) and sorted within, so one call handles many segments
-    and no group is larger than one segment (or one session's summaries)."""
-    from pyspark.sql import functions as F
 
-    key = list(key)
-    seg = F.floor(F.col(order) / F.lit(width)).cast("long").alias("seg")
-    segmented = chunks.select(*key, seg, F.col(order).cast("long").alias(order),
-                              F.col(text).alias(text))
-    key_fields = [chunks.schema[k] for k in key]
+def _summaries(segmented: DataFrame, key: list[str], order: str, text: str) -> DataFrame:
+    """Step 1: per-segment summaries for each possible entry lexer state."""
     gk = [*key, "seg"]
-
-    # 1. Per-segment summaries for each possible entry lexer state.
-    sum_schema = T.StructType(key_fields + list(SUMMARY_SCHEMA.fields))
+    schema = T.StructType([segmented.schema[k] for k in key] + list(SUMMARY_SCHEMA.fields))
 
     def summarise(batches):
         out = []
@@ -266,31 +258,38 @@ def reassemble_parallel(chunks: DataFrame, key=("msg_request_id",), order: str =
                 row += [x, b, a, [list(t) for t in fr]]
             out.append(row)
             if len(out) >= 4096:
-                yield pd.DataFrame(out, columns=sum_schema.names)
+                yield pd.DataFrame(out, columns=schema.names)
                 out = []
         if out:
-            yield pd.DataFrame(out, columns=sum_schema.names)
+            yield pd.DataFrame(out, columns=schema.names)
 
-    by_segment = segmented.repartition(*gk).sortWithinPartitions(*gk, order)
-    summaries = by_segment.mapInPandas(summarise, sum_schema)
+    return segmented.repartition(*gk).sortWithinPartitions(*gk, order).mapInPandas(summarise, schema)
 
-    # 2. Compose summaries per session, in segment order (one row per segment).
-    entry_schema = T.StructType(key_fields + ENTRY_FIELDS)
+
+def _entries(summaries: DataFrame, key: list[str], ends: bool = False) -> DataFrame:
+    """Step 2: compose summaries per session, in segment order (one row per segment).
+
+    ``ends`` adds a row of segment ``END`` for each session: the state after its last segment."""
+    schema = T.StructType([summaries.schema[k] for k in key] + ENTRY_FIELDS)
 
     def compose(batches):
         # Streams through the sorted summaries, carrying the running entry
         # across rows and batches: a session's summaries are never held at once.
         cur, state, depth, start = None, 0, 0, None
+
+        def row(seg):
+            return [*cur, seg, state, depth, *(start or (None, None))]
+
         for pdf in batches:
             cols = {c: pdf[c].tolist() for c in pdf.columns}
             out = []
             for i in range(len(pdf)):
                 k = tuple(cols[c][i] for c in key)
                 if k != cur:
+                    if ends and cur is not None:
+                        out.append(row(END))
                     cur, state, depth, start = k, 0, 0, None
-                out.append([*k, int(cols["seg"][i]), state, depth,
-                            None if start is None else start[0],
-                            None if start is None else start[1]])
+                out.append(row(int(cols["seg"][i])))
                 x, b, a = cols[f"x{state}"][i], cols[f"b{state}"][i], cols[f"a{state}"][i]
                 fr = cols[f"f{state}"][i]
                 local = None
@@ -302,13 +301,17 @@ def reassemble_parallel(chunks: DataFrame, key=("msg_request_id",), order: str =
                 start = (local or start) if new_depth > 0 else None
                 state, depth = int(x), new_depth
             if out:
-                yield pd.DataFrame(out, columns=entry_schema.names)
+                yield pd.DataFrame(out, columns=schema.names)
+        if ends and cur is not None:
+            yield pd.DataFrame([row(END)], columns=schema.names)
 
-    entries = (summaries.repartition(*key).sortWithinPartitions(*key, "seg")
-               .mapInPandas(compose, entry_schema))
+    return summaries.repartition(*key).sortWithinPartitions(*key, "seg").mapInPandas(compose, schema)
 
-    # 3. Frame every segment from its exact entry, in parallel.
-    piece_schema = T.StructType(key_fields + PIECE_FIELDS)
+
+def _pieces(segmented: DataFrame, entries: DataFrame, key: list[str], order: str, text: str) -> DataFrame:
+    """Step 3: frame every segment from its exact entry, in parallel."""
+    gk = [*key, "seg"]
+    schema = T.StructType([segmented.schema[k] for k in key] + PIECE_FIELDS)
 
     def frame(batches):
         out = []
@@ -319,27 +322,110 @@ def reassemble_parallel(chunks: DataFrame, key=("msg_request_id",), order: str =
                                     int(acc["e_depth"][0]), start):
                 out.append([*g[:len(key)], *p])
             if len(out) >= FRAME_ROWS:  # between segments: a task holds one segment's pieces
-                yield pd.DataFrame(out, columns=piece_schema.names)
+                yield pd.DataFrame(out, columns=schema.names)
                 out = []
         if out:
-            yield pd.DataFrame(out, columns=piece_schema.names)
+            yield pd.DataFrame(out, columns=schema.names)
+
+    return (segmented.join(entries, gk, "inner").repartition(*gk)
+            .sortWithinPartitions(*gk, order).mapInPandas(frame, schema))
 
-    # Written once: both branches below read the pieces, and framing runs once.
-    pieces = cut(segmented.join(entries, gk, "inner").repartition(*gk)
-                 .sortWithinPartitions(*gk, order).mapInPandas(frame, piece_schema))
 
-    # 4. Objects inside one piece pass through; the rest are regrouped by id, but
-    # only those that close: an object left open would gather its whole session.
-    whole = pieces.where(F.col("opens") & F.col("closes"))
-    parts = pieces.where(~(F.col("opens") & F.col("closes")))
+def _objects(whole: DataFrame, parts: DataFrame, key: list[str]) -> DataFrame:
+    """Step 4: objects inside one piece pass through; the rest are regrouped by id, but
+    only those that close: an object left open would gather its whole session."""
     ids = [*key, "start_seq", "start_offset"]
     parts = parts.join(parts.where("closes").select(*ids).distinct(), ids, "left_semi")
-    glued = (parts.groupBy(*key, "start_seq", "start_offset")
+    glued = (parts.groupBy(*ids)
              .agg(F.sort_array(F.collect_list(F.struct("piece_seq", "piece_off", "text")))
                   .alias("_p"), F.bool_or("closes").alias("_closed"),
                   F.bool_or("opens").alias("_opened"))
              .where(F.col("_closed") & F.col("_opened"))
-             .select(*key, "start_seq", "start_offset",
-                     F.array_join(F.transform("_p", lambda p: p["text"]), "").alias("json")))
-    return whole.select(*key, "start_seq", "start_offset", F.col("text").alias("json")) \
-        .unionByName(glued)
+             .select(*ids, F.array_join(F.transform("_p", lambda p: p["text"]), "").alias("json")))
+    return whole.select(*ids, F.col("text").alias("json")).unionByName(glued)
+
+
+def _in_one_piece() -> Column:
+    return F.col("opens") & F.col("closes")
+
+
+def reassemble_parallel(chunks: DataFrame, key=("msg_request_id",), order: str = "chunk_seq",
+                        text: str = "chunk", width: int = SEGMENT_WIDTH) -> DataFrame:
+    """Batch M1 as a parallel prefix scan (same output as ``reassemble``).
+
+    Every Python step runs in ``mapInPandas`` over partitions hashed by
+    (session, segment) and sorted within, so one call handles many segments
+    and no group is larger than one segment (or one session's summaries)."""
+    key = list(key)
+    segmented = _segments(chunks, key, order, text, width)
+    entries = _entries(_summaries(segmented, key, order, text), key)
+    # Written once: both branches below read the pieces, and framing runs once.
+    pieces = cut(_pieces(segmented, entries, key, order, text))
+    return _objects(pieces.where(_in_one_piece()), pieces.where(~_in_one_piece()), key)
+
+
+# ---------------------------------------------------------------------------
+# The scan across micro-batches.
+
+END = (1 << 63) - 1  # stands after every segment of a session
+BORDER_FIELDS = ENTRY_FIELDS[1:]
+
+
+@dataclass
+class Carried:
+    """What is open between two batches.
+
+    ``border``: one row per session that stands inside an object or a string: key, lexer state, depth and where
+    its open object starts.  ``open``: the pieces of the open objects, a row for each chunk, so neither grows into one
+    long value."""
+
+    border: DataFrame
+    open: DataFrame
+
+    @classmethod
+    def schemas(cls, chunks: DataFrame, key) -> tuple[T.StructType, T.StructType]:
+        ks = [chunks.schema[k] for k in key]
+        return T.StructType(ks + BORDER_FIELDS), T.StructType(ks + PIECE_FIELDS)
+
+    @classmethod
+    def nothing(cls, chunks: DataFrame, key=("msg_request_id",)) -> "Carried":
+        spark = chunks.sparkSession
+        return cls(*[spark.createDataFrame([], s) for s in cls.schemas(chunks, key)])
+
+
+def _border_summaries(border: DataFrame, key: list[str]) -> DataFrame:
+    """A session's state as the summary of a segment before all others: from the empty start it leads there."""
+    start = F.when(F.col("e_start_seq").isNull(), F.array().cast("array<array<bigint>>")).otherwise(
+        F.array(F.array(F.lit(0).cast("bigint"), "e_start_seq", "e_start_off")))
+    return border.select(*key, F.lit(-1).cast("bigint").alias("seg"), *[
+        c for s in range(3) for c in (F.col("e_state").alias(f"x{s}"), F.col("e_depth").alias(f"b{s}"),
+                                      F.col("e_depth").alias(f"a{s}"), start.alias(f"f{s}"))])
+
+
+@dataclass
+class FramedBatch:
+    objects: DataFrame   # as of ``reassemble``: those that close in this batch
+    carried: Carried
+    active: DataFrame    # sessions that had chunks in this batch
+
+
+def frame_batch(chunks: DataFrame, carried: Carried, key=("msg_request_id",), order: str = "chunk_seq",
+                text: str = "chunk", width: int = SEGMENT_WIDTH) -> FramedBatch:
+    """M1 for one micro-batch after others of the same sessions.
+
+    The batch's segments are summarised and framed in parallel as in ``reassemble_parallel``; only the small summaries of
+    a session meet, behind its border state.  Chunks of a session come in order from batch to batch (within a batch
+    in any order), sequence numbers are not negative; null text is empty.  Batches framed one after the other give
+    together what ``reassemble`` gives for all chunks."""
+    key = list(key)
+    segmented = _segments(chunks, key, order, text, width)
+    summaries = _summaries(segmented, key, order, text).unionByName(_border_summaries(carried.border, key))
+    entries = cut(_entries(summaries, key, ends=True))
+    border = entries.where((F.col("seg") == END) & ((F.col("e_depth") > 0) | (F.col("e_state") > 0))).drop("seg")
+    inside = entries.where((F.col("seg") >= 0) & (F.col("seg") < END))
+    pieces = cut(_pieces(segmented, inside, key, order, text))
+    parts = carried.open.unionByName(pieces.where(~_in_one_piece()))
+    still = border.where("e_depth > 0").select(*key, F.col("e_start_seq").alias("start_seq"), F.col("e_start_off").alias("start_offset"))
+    left_open = parts.join(still, [*key, "start_seq", "start_offset"], "left_semi").select(*carried.open.columns)
+    return FramedBatch(_objects(pieces.where(_in_one_piece()), parts, key), Carried(border, left_open),
+                       inside.select(*key).distinct())

@@ -190,9 +190,26 @@ def q_inbound_load(spark, sf_dir):
 
 
 # ---- framing (M1) -------------------------------------------------------------
-@register("reassemble", with_fixtures("fx_stream") + """
+_FRAMED = with_fixtures("fx_stream") + """
 SELECT msg_request_id, CAST(stream_order * 2 AS BIGINT) AS start_seq,
-  CAST(0 AS BIGINT) AS start_offset, json_stream AS json FROM fx_stream""")
+  CAST(0 AS BIGINT) AS start_offset, json_stream AS json FROM fx_stream"""
+
+
+@register("reassemble", _FRAMED)
 def q_reassemble(spark, sf_dir):
     from ..operators.framing import reassemble_parallel
     return reassemble_parallel(load(spark, sf_dir, "fx_chunks"))
+
+
+@register("reassemble_batches", _FRAMED)
+def q_reassemble_batches(spark, sf_dir):
+    """All chunks in two batches: what is open at the border of a session is carried over."""
+    from ..operators.framing import Carried, frame_batch
+    chunks = load(spark, sf_dir, "fx_chunks")
+    # chunks of a message have an even and an odd number, so every session's last message in the first batch stays open
+    middle = F.floor(F.expr("percentile_approx(chunk_seq, 0.5)") / 2) * 2
+    cut_at = chunks.groupBy("msg_request_id").agg(middle.alias("_cut"))
+    placed = chunks.join(cut_at, "msg_request_id")
+    first = frame_batch(placed.where("chunk_seq <= _cut").drop("_cut"), Carried.nothing(chunks))
+    second = frame_batch(placed.where("chunk_seq > _cut").drop("_cut"), first.carried)
+    return first.objects.unionByName(second.objects)
