@@ -16,7 +16,10 @@ from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schemas import COLMAP_SCHEMA, SOURCE_KINDS
+from ..schemas import COLMAP_SCHEMA, POSITIONS_COLUMNS, SOURCE_KINDS
+
+#: A map row with this target ranks the rows of a security; its windows see all scopes of a run, so they name the scope.
+RANK_COLUMN = "row_number"
 
 
 class ColumnMapError(ValueError):
@@ -178,6 +181,21 @@ class ColumnMap:
         self._check_nonempty(out)
         return out
 
+    def insert_list(self, produced=(), columns=POSITIONS_COLUMNS) -> list[str]:
+        """The columns of the positions table that a new row gets from the map, in table order; all others are NULL.
+
+        ``produced`` are columns made by an operator (the weights): they are inserted unless a row of the
+        map names them, which then decides.  A listed target that nothing makes, or that is no column, is an error."""
+        named = {m.target_column for m in self.rows}
+        made = {m.target_column for m in self._active(exclude_kind="computed_upd")} | set(produced)
+        listed = set(self.target_list())
+        for c in sorted(listed):
+            if c not in made:
+                raise ColumnMapError(f"target {c!r} is required but no active row makes it")
+            if c not in columns:
+                raise ColumnMapError(f"target {c!r} is required but is no column of the table")
+        return [c for c in columns if c in listed or (c in produced and c not in named)]
+
     # N6 -------------------------------------------------------------------
     def update_list(self) -> dict[str, str]:
         """target → right-hand side of its SET clause (token replaced)."""

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import netting
-from ..operators.normalise import best_rows, conform_positions, strict_inbound
+from ..operators.colmap import RANK_COLUMN, ColumnMap, MapRow
+from ..operators.normalise import WEIGHT_COLUMNS, best_rows, conform_positions, strict_inbound
 from ..schemas import BEST_ROW_KEY
 from ..session import cut
 from .catalog import load, register, with_fixtures
@@ -76,4 +77,30 @@ def q_strict_inbound(spark, sf_dir):
     return conform_positions(initial_si(spark, sf_dir, once=True))
 
 
-
+_OWN_RANK = "row_number() OVER (PARTITION BY as_of_date, load_bb_entity_name, load_process, trim(account), id_bb_unique ORDER BY load_order)"
+_INSERTED = ("account_id", "as_of_date", "load_bb_entity_name", "load_process", "id_bb_unique", "load_order", "currency", "cusip",
+             "figi", "isin", "market_value_current", "nav_poller_calculated")
+
+
+def own_map() -> ColumnMap:
+    """The default map but: no ISIN, FIGI only as a helper, and a rank of its own (the first row of a security)."""
+    off = {"isin": {"is_active": False}, "figi": {"is_required": False}}
+    rows = [MapRow(**(vars(m) | off.get(m.target_column, {}))) for m in ColumnMap.default().rows]
+    return ColumnMap([*rows, MapRow(900, "load_order", RANK_COLUMN, "computed", True, False, _OWN_RANK)])
+
+
+@register("map_inserts", _PRE + ",\n" + netting_ctes() + """,
+ranked AS (SELECT *, row_number() OVER (PARTITION BY as_of_date, load_bb_entity_name, load_process, account_id, id_bb_unique
+                                        ORDER BY load_order) AS own_rank FROM si)
+SELECT account_id, as_of_date, load_bb_entity_name, load_process, id_bb_unique, CAST(load_order AS BIGINT) AS load_order, currency, cusip,
+  CAST(NULL AS STRING) AS figi, CAST(NULL AS STRING) AS isin, market_value_current, nav_poller_calculated
+FROM ranked b WHERE own_rank = 1 AND fx_flag = false AND NOT EXISTS (
+  SELECT 1 FROM psi p WHERE p.as_of_date = b.as_of_date AND p.load_bb_entity_name = b.load_bb_entity_name
+    AND p.load_process = b.load_process AND (b.id_bb_unique IS NULL OR p.id_bb_unique = b.id_bb_unique))""")
+def q_map_inserts(spark, sf_dir):
+    """N5, U3 from a map: its insert list and its own rank."""
+    from .upsert_job import inserted
+    cmap = own_map()
+    inbound = load(spark, sf_dir, "fx_inbound").where("is_processed = 'false' AND is_intraday = 'false'")
+    si = cut(strict_inbound(inbound, cmap))
+    return inserted(netting.nonfx_best(si), cmap.insert_list(WEIGHT_COLUMNS)).select(*_INSERTED)
