@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut
+from ..session import cut, ensure_checkpoint_dir
 from . import textnp
 
 
@@ -22,6 +24,25 @@ def materialise(df: DataFrame) -> DataFrame:
     return cut(df)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this process wrote, on whatever file system it lies."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+@contextmanager
+def stored(df: DataFrame) -> Iterator[DataFrame]:
+    """``df`` as a Parquet table in the shared checkpoint folder, for columns that several steps read; the table is
+    deleted at the end, so what is kept beyond must be materialised before."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    try:
+        yield spark.read.parquet(path)
+    finally:
+        remove(spark, path)
+
+
 def require(df: DataFrame, columns: Iterable[str]) -> None:
     """Raise a clear error if ``df`` lacks one of ``columns``."""
     missing = [c for c in columns if c not in df.columns]
