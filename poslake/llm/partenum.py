@@ -13,8 +13,8 @@ The common order puts signatures of frequent shingles last.  Frequencies are cou
 in a table of ``SLOTS`` hash slots: a fixed size, and the order affects cost only, not what is found.
 Signatures with a frequent shingle are salted before they are grouped.
 
-Texts are cut into shingles once; the sets are written, and every later step reads them from there.  Copies of one
-set are one class.  A class keeps how many of its shingles fall in each of a row of hash cells
+Copies of one set are one class.  Sets of classes with candidates are written before the rounds that compare
+them, once for the first two and once for the rest.  A class keeps how many of its shingles fall in each of a row of hash cells
 (about a byte for every two shingles); the sum of the smaller counts bounds an intersection from above, and
 candidates that it rules out go no further.  The others are verified by exact intersection in rounds: each class
 against the smallest class of a signature, that with which it shares most signatures; then the other
@@ -32,6 +32,7 @@ columns are not kept.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -43,14 +44,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textnp
-from .common import bitmap, col, in_bitmap, materialise, require, stored, text_or_empty, with_row_key
+from .common import bitmap, col, materialise, require, stored, text_or_empty, with_row_key
 from .components import components
 
 WORDS = 5
 PERCENT = 75
 SLOTS = 1 << 18
-#: Bits for each wanted class in the table that tells which classes' sets are needed, and the most bits that
-#: such a table has, 16 MB (a false hit costs a set, no more).
+#: Bits for each wanted class in the table that tells which sets are needed, and the most bits that it has, 16 MB
+#: (a false hit costs a set, no more).
 WANTED_BITS, MOST_WANTED_BITS = 16, 1 << 27
 SALTS = 64
 #: Classes of two pivots are listed as pairs up to so many pairs, else compared in blocks of so many shingles.
@@ -138,88 +139,100 @@ def most_shared(a: bytes, b: bytes) -> float:
 
 
 def document_sets(docs: DataFrame, doc_id: str, text: str, join: Join) -> DataFrame:
-    """(id, n_shingles, class, cells, shingles): the class is a hash of the whole set, 0 for the empty set.  A task
-    gives the shingles of a class once; they are null in its other rows."""
-    schema = T.StructType([docs.schema[doc_id], T.StructField("n_shingles", T.LongType()), T.StructField("class", T.LongType()),
-                           T.StructField("cells", T.BinaryType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
+    """(id, n_shingles, class, cells, seen): the class is a hash of the whole set, 0 for the empty set.  Each task
+    adds one row with nothing but ``seen``, its shingles counted by hash slot."""
+    schema = T.StructType([T.StructField(doc_id, docs.schema[doc_id].dataType), T.StructField("n_shingles", T.LongType()),
+                           T.StructField("class", T.LongType()), T.StructField("cells", T.BinaryType()), T.StructField("seen", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: set[int] = {0}
+        seen, ids = np.zeros(SLOTS, np.int64), None
         for batch in batches:
+            ids = batch.column(0).type
             for block in textnp.blocks(batch.column(1), textnp.Words.SPACED_LOWER):
                 sets = shingle_sets(block, join.words)
-                classes = [set_hash(s) for s in sets]
-                new = np.zeros(len(sets), bool)
-                for i, cls in enumerate(classes):
-                    if cls not in done:
-                        done.add(cls)
-                        new[i] = True
-                at = np.concatenate(([0], np.cumsum([len(s) if k else 0 for s, k in zip(sets, new, strict=True)]))).astype(np.int32)
-                values = np.concatenate([s for s, k in zip(sets, new, strict=True) if k] or [np.zeros(0, U64)])
-                shingles = pa.ListArray.from_arrays(pa.array(at), pa.array(values.view(np.int64)), mask=pa.array(~new))
+                seen += np.bincount((np.concatenate(sets) & U64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, block.n), pa.array([len(s) for s in sets], pa.int64()),
-                                                  pa.array(classes, pa.int64()), pa.array([cell_counts(s) for s in sets], pa.binary()), shingles], schema.names)
+                                                  pa.array([set_hash(s) for s in sets], pa.int64()),
+                                                  pa.array([cell_counts(s) for s in sets], pa.binary()), pa.nulls(block.n, pa.binary())], schema.names)
+        if ids is not None:
+            nothing = [pa.nulls(1, t) for t in (ids, pa.int64(), pa.int64(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([*nothing, pa.array([zlib.compress(seen.tobytes(), 1)], pa.binary())], schema.names)
 
     return docs.select(col(doc_id), text_or_empty(text).alias("__text")).mapInArrow(run, schema)
 
 
-def _each_set(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
-    """(class, shingles) of each row."""
-    at, values = batch.column(1).offsets.to_numpy(), batch.column(1).values.to_numpy().view(U64)
-    for cls, lo, hi in zip(batch.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
-        yield cls, values[lo:hi]
-
-
-def shingle_frequency(sets: DataFrame) -> np.ndarray:
-    """Shingles by hash slot over all sets; a task sends one row for each slot that it saw."""
+def shingle_frequency(counted: DataFrame) -> np.ndarray:
+    """Shingles by hash slot over all documents, from the ``seen`` of all tasks."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(SLOTS, np.int64)
+        total = np.zeros(SLOTS, np.int64)
         for batch in batches:
-            seen += np.bincount(batch.column(0).flatten().to_numpy() & (SLOTS - 1), minlength=SLOTS)
-        at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["slot", "n"])
+            for packed in batch.column(0).to_pylist():
+                total += np.frombuffer(zlib.decompress(packed), np.int64)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["slot", "n"])
 
-    counts = sets.select("shingles").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()
+    counts = counted.select("seen").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(SLOTS, np.int64)
     for row in counts:  # at most SLOTS rows
         out[row["slot"]] = row["n"]
     return out
 
 
-def signature_rows(sets: DataFrame, join: Join, frequency: np.ndarray, hot: int) -> DataFrame:
-    """(sign, salt, class); the salt is 0 unless even the rarest shingle is seen more than ``hot`` times."""
-    names = ["sign", "salt", "class"]
+def _per_class(docs: DataFrame, text: str, join: Join, schema: str, emit) -> DataFrame:
+    """``emit(class, shingles)`` (a list of arrays) for each class that a task meets, once a task."""
+    names = T._parse_datatype_string(schema).names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
         for batch in batches:
-            for lo in range(0, len(batch), 256):  # few sets at a time, for a set has hundreds of signatures
+            for block in textnp.blocks(batch.column(0), textnp.Words.SPACED_LOWER):
                 rows = []
-                for cls, shingles in _each_set(batch.slice(lo, 256)):
-                    sign, rate = signatures(shingles, join, frequency)
-                    rows.append((sign.view(np.int64), np.where(rate > hot, 1 + cls % SALTS, 0).astype(np.int32), np.full(len(sign), cls, np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*rows, strict=True)], names)
+                for s in shingle_sets(block, join.words):
+                    cls = set_hash(s)
+                    if cls and cls not in done:
+                        done.add(cls)
+                        rows.append(emit(cls, s))
+                rows = [r for r in rows if r is not None]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in zip(*rows, strict=True)], names)
+
+    return docs.select(text_or_empty(text).alias("__text")).mapInArrow(run, schema)
 
-    return sets.select("class", "shingles").mapInArrow(run, "sign long, salt int, class long")
 
+def signature_rows(docs: DataFrame, text: str, join: Join, frequency: np.ndarray, hot: int) -> DataFrame:
+    """(sign, salt, class); the salt is 0 unless even the rarest shingle is seen more than ``hot`` times."""
+    def emit(cls: int, shingles: np.ndarray) -> list[pa.Array]:
+        sign, rate = signatures(shingles, join, frequency)
+        salt = np.where(rate > hot, 1 + cls % SALTS, 0)
+        return [pa.array(sign.view(np.int64)), pa.array(salt.astype(np.int32)), pa.array(np.full(len(sign), cls, np.int64))]
+
+    return _per_class(docs, text, join, "sign long, salt int, class long", emit)
 
-def class_sets(sets: DataFrame, wanted: DataFrame) -> DataFrame:
+
+def class_sets(docs: DataFrame, text: str, join: Join, wanted: DataFrame) -> DataFrame:
     """(class, shingles) of the ``wanted`` classes, once each: a table of bounded size, made for their number, says
-    which sets to look at, and a join which of these to take."""
+    which texts to look at, and a join which of their sets to take."""
     wanted = materialise(wanted.select("class").distinct())
     bits = min(MOST_WANTED_BITS, 1 << max(15, (WANTED_BITS * wanted.count()).bit_length()))
     packed = bitmap(wanted, "class", bits)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(in_bitmap(packed, batch.column(0).to_numpy().view(U64))))
+    def emit(cls: int, shingles: np.ndarray) -> list[pa.Array] | None:
+        at = cls & (bits - 1)
+        if not (packed[at >> 3] >> (at & 7)) & 1:
+            return None
+        values = pa.array(shingles.view(np.int64))
+        return [pa.array([cls], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(shingles)], pa.int32()), values)]
 
-    found = sets.select("class", "shingles").mapInArrow(run, "class long, shingles array<bigint>")
+    found = _per_class(docs, text, join, "class long, shingles array<bigint>", emit)
     return found.join(wanted, "class", "left_semi").dropDuplicates(["class"])
 
 
+def _classes(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class")))
+
+
 def verify(sets: DataFrame, pairs: DataFrame, join: Join) -> DataFrame:
-    """The pairs (a, b) of classes whose sets reach the threshold; a round moves the sets of its own classes only."""
-    sets = class_sets(sets, pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))))
+    """The pairs (a, b) of classes whose ``sets`` reach the threshold."""
     left = sets.select(F.col("class").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("class").alias("b"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
@@ -258,12 +271,11 @@ def _relabel(members: DataFrame, roots: DataFrame) -> DataFrame:
         "root", F.coalesce("root", "class"))
 
 
-def links(sets: DataFrame, join: Join, classes: DataFrame, n_docs: int) -> DataFrame:
-    """Verified links (a, b) between classes that connect every component; ``sets`` has (class, shingles), a class
-    once or more, and ``classes`` (class, n_shingles, cells)."""
-    frequency = shingle_frequency(sets)
+def links(docs: DataFrame, text: str, join: Join, frequency: np.ndarray, classes: DataFrame, n_docs: int) -> DataFrame:
+    """Verified links (a, b) between classes that connect every component; ``classes`` has (class, n_shingles,
+    cells)."""
     hot = int(np.median(frequency)) + max(1000, n_docs // 100)
-    rows = signature_rows(sets, join, frequency, hot)
+    rows = signature_rows(docs, text, join, frequency, hot)
     by = Window.partitionBy("sign", "salt").orderBy("class")
     rows = rows.select("sign", "salt", "class", F.first("class").over(by).alias("leader"), F.lag("class").over(by).alias("prev"))
     members = materialise(rows.filter("(class <> leader and class <> prev) or (salt > 0 and prev is null)"))
@@ -276,19 +288,22 @@ def links(sets: DataFrame, join: Join, classes: DataFrame, n_docs: int) -> DataF
     stars = materialise(_possible(stars, classes, join))
 
     first = stars.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b")
-    found = materialise(verify(sets, first, join))
-    # A class has one link so far, to a smaller class: two steps up stand in for its component.
-    above = found.select(F.col("b").alias("a"), F.col("a").alias("top"))
-    roots = found.join(above, "a", "left").select(F.col("b").alias("node"), F.coalesce("top", "a").alias("root"))
-
-    rest = _across(stars.select("a", "b"), roots).join(first, ["a", "b"], "left_anti")
-    found = found.unionByName(materialise(verify(sets, materialise(rest), join)))
+    with stored(class_sets(docs, text, join, _classes(stars))) as sets:
+        found = materialise(verify(sets, first, join))
+        # A class has one link so far, to a smaller class: two steps up stand in for its component.
+        above = found.select(F.col("b").alias("a"), F.col("a").alias("top"))
+        roots = found.join(above, "a", "left").select(F.col("b").alias("node"), F.coalesce("top", "a").alias("root"))
+
+        rest = _across(stars.select("a", "b"), roots).join(first, ["a", "b"], "left_anti")
+        found = found.unionByName(materialise(verify(sets, rest, join)))
     roots = materialise(components(found))
 
     listed, blocks = unresolved(members, pivots, roots, classes)
     listed = materialise(_possible(listed.join(stars.select("a", "b"), ["a", "b"], "left_anti"), classes, join))
-    found = found.unionByName(materialise(verify(sets, listed, join)))
-    return found.unionByName(materialise(compare_blocks(sets, materialise(blocks), join)))
+    blocks = materialise(blocks)
+    with stored(class_sets(docs, text, join, _classes(listed).unionByName(blocks.select("class")))) as sets:
+        return (found.unionByName(materialise(verify(sets, listed, join)))
+                .unionByName(materialise(compare_blocks(sets, blocks, join))))
 
 
 def _pivots(stars: DataFrame, classes: DataFrame) -> DataFrame:
@@ -385,8 +400,6 @@ def _forest(links: np.ndarray) -> list[int]:
 
 def compare_blocks(sets: DataFrame, blocks: DataFrame, join: Join) -> DataFrame:
     """Links (a, b) between the classes of the two sides of each block pair that connect all that are similar."""
-    sets = class_sets(sets, blocks)
-
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         side = [pdf[pdf["left"]], pdf[~pdf["left"]]]
         none = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
@@ -408,11 +421,11 @@ def compare_blocks(sets: DataFrame, blocks: DataFrame, join: Join) -> DataFrame:
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", join: Join = Join()) -> DataFrame:
     """(id, n_shingles, class, component_id) for every row."""
     require(docs, [doc_id, text])
-    with stored(document_sets(docs, doc_id, text, join).withColumnRenamed(doc_id, "__id")) as whole:
-        rows = materialise(whole.drop("shingles"))
-        classes = materialise(rows.filter("class <> 0").select("class", "n_shingles", "cells").dropDuplicates(["class"]))
-        found = links(whole.filter("shingles IS NOT NULL").select("class", "shingles"), join, classes, rows.count())
-    roots = components(found)
+    whole = materialise(document_sets(docs, doc_id, text, join).withColumnRenamed(doc_id, "__id"))
+    rows = whole.filter("seen IS NULL").drop("seen")
+    frequency = shingle_frequency(whole.filter("seen IS NOT NULL"))
+    classes = materialise(rows.filter("class <> 0").select("class", "n_shingles", "cells").dropDuplicates(["class"]))
+    roots = components(links(docs, text, join, frequency, classes, rows.count()))
     placed = rows.drop("cells").join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     least = placed.filter("class <> 0").groupBy("root").agg(F.min("__id").alias("component_id"))
     linked = placed.filter("class <> 0").join(least, "root")
