@@ -1,14 +1,15 @@
 """License scans by a positional index of rare licence words, in DataFrame functions only.
 
 Licence words are the words of short public notices (templates).  Their document frequencies are counted
-over all documents and weigh the votes; a word in most documents weighs little but is never left out, so a
-notice that many documents share is found as a rare one is.  Templates whose mandatory phrases all stand in
-a text are its candidates, and every word of a candidate is looked up, whatever other notices the text
-holds: a word at position p of the text and q of a candidate votes for it at p - q.  A candidate whose
-words meet at one place is accepted.
+over all documents and weigh them.  Each template is looked up by its ``RARE`` rarest words; the order is by
+weight, and no word is too frequent to be looked up, so a notice that many documents share is found as a rare one
+is.  The index holds their places in the templates.  Such a word at position p of a text and q of a template
+votes for the place p - q and for those up to ``SLACK`` words away, since words may be put in or left out.  A
+template is met where enough of its looked-up words (``SHARE``) vote for one place; then its mandatory phrases
+must stand in the text.  Its score is the share of the looked-up weight that votes for its best place.
 
 Defined cases: null counts as empty and has no labels; ids may be null or repeat, every row is answered;
-equal texts share one lookup; several templates may be accepted, and the score is the best of theirs; an
+equal texts share their votes; several templates may be accepted, and the score is the best of theirs; an
 empty table gives no rows; other columns are not kept.
 """
 
@@ -27,8 +28,10 @@ from .common import ascii_lower, col, materialise, require, text_or_empty
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrases of the base rule and their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-#: Least weight of a word; words of a template that must meet at one place (fewer only if it has fewer).
-FLOOR, VOTES = 0.05, 3
+#: Least weight of a word; words by which a template is looked up.
+FLOOR, RARE = 0.05, 12
+#: Percent of these words that must meet at one place, and by how many words they may be off.
+SHARE, SLACK = 75, 2
 
 
 @dataclass(frozen=True)
@@ -86,6 +89,11 @@ def rarity(docs: DataFrame, text: str, templates: Sequence[Template]) -> dict[st
     return {w: max(FLOOR, math.log((1 + n) / (1 + counts.get(w, 0)))) for w in vocabulary}
 
 
+def looked_up(weight: dict[str, float], templates: Sequence[Template]) -> dict[str, list[str]]:
+    """The rarest words of each template; of equal weights, the first in the alphabet."""
+    return {t.name: sorted(set(t.text.split()), key=lambda w: (-weight[w], w))[:RARE] for t in templates}
+
+
 def _phrase_places() -> Column:
     """Starts (words from 0) of every place of a base phrase; each phrase ends with the word "license"."""
     tests = []
@@ -96,8 +104,9 @@ def _phrase_places() -> Column:
     return F.expr(f"filter(transform(filter(sequence(0, size(__words) - 1), i -> get(__words, i) = 'license'), i -> {start}), i -> i IS NOT NULL)")
 
 
-def scan_words(docs: DataFrame, doc_id: str, text: str, templates: Sequence[Template]) -> DataFrame:
-    """One small row per document: id, __key, n_words, places, base_found, verified, hits (word, pos)."""
+def scan_words(docs: DataFrame, doc_id: str, text: str, templates: Sequence[Template], sought: Sequence[str]) -> DataFrame:
+    """One small row per document: id, __key, n_words, places, base_found, verified (templates whose mandatory phrases
+    stand in the text), hits (word, pos) of the ``sought`` words."""
     words = with_words(docs.select(col(doc_id).alias("__id"), col(text)), text)
     joined = words.select("__id", F.xxhash64(text_or_empty(text)).alias("__key"), "__words",
                           F.concat(F.lit(" "), F.array_join("__words", " "), F.lit(" ")).alias("__line"))
@@ -105,50 +114,49 @@ def scan_words(docs: DataFrame, doc_id: str, text: str, templates: Sequence[Temp
     places = F.when(F.contains("__line", F.lit(" license ")), _phrase_places()).otherwise(none)
     has = lambda phrase: F.contains("__line", F.lit(f" {phrase} "))
     base = [F.when(has(phrase), F.lit(label)) for phrase, label in BASE.items()]
-    verified, asked = [], []
+    verified = []
     for t in templates:
         test = F.lit(True)
         for phrase in t.mandatory:
             test = test & has(phrase)
         verified.append(F.when(test, F.lit(t.name)))
-        asked.append((t.name, sorted(set(t.text.split()))))
-    of = [F.when(F.array_contains("verified", name), _strings(words)) for name, words in asked]
-    wanted = F.array_distinct(F.flatten(F.array_compact(F.array(*of)))) if of else _strings(())
-    hits = F.expr("filter(transform(__words, (w, i) -> struct(w AS word, i AS pos)), x -> array_contains(__asked, x.word))")
-    out = joined.select("__id", "__key", F.size("__words").cast("long").alias("n_words"), places.alias("places"),
-                        F.array_compact(F.array(*base)).alias("base_found"),
-                        (F.array_compact(F.array(*verified)) if verified else _strings(())).alias("verified"), "__words")
-    return out.withColumn("__asked", wanted).select("__id", "__key", "n_words", "places", "base_found", "verified",
-                      F.when(F.size("verified") > 0, hits).alias("hits"))
+    numbered = F.transform("__words", lambda w, i: F.struct(w.alias("word"), i.alias("pos")))
+    return joined.select("__id", "__key", F.size("__words").cast("long").alias("n_words"), places.alias("places"),
+                         F.array_compact(F.array(*base)).alias("base_found"),
+                         (F.array_compact(F.array(*verified)) if verified else _strings(())).alias("verified"),
+                         F.filter(numbered, lambda x: x["word"].isin(*sought)).alias("hits"))
 
 
-def lookups(rows: DataFrame, weight: dict[str, float], templates: Sequence[Template]) -> DataFrame:
-    """(__key, label, score) of accepted templates.
+def met(rows: DataFrame, weight: dict[str, float], templates: Sequence[Template]) -> DataFrame:
+    """(__key, name, label, score) of the templates that are met somewhere in a text.
 
-    The template postings are a fixed table, joined by word; equal texts are merged before the votes."""
+    The index is a fixed table (``RARE`` words a template), so it may go to every task.  Votes for a place are the bits
+    of one number; those of a text come from one task and meet before the shuffle."""
     spark = rows.sparkSession
-    postings = [(w, weight[w], t.name, t.label, q, min(VOTES, len(set(t.text.split()))))
-                for t in templates for q, w in enumerate(t.text.split())]
-    index = spark.createDataFrame(postings, "word string, idf double, name string, label string, q int, need int")
-    words = rows.filter(F.size("hits") > 0).select("__key", "verified", F.explode("hits").alias("hit"))
-    votes = (words.select("__key", "verified", "hit.word", "hit.pos").join(index, "word")
-             .filter(F.array_contains("verified", F.col("name")))
-             .groupBy("__key", "name", "label", "need", "word", "idf", (F.col("pos") - F.col("q")).alias("at")).agg(F.count(F.lit(1)).alias("n")))
-    places = votes.groupBy("__key", "name", "label", "need", "at").agg(F.count(F.lit(1)).alias("n"), F.sum("idf").alias("met"))
-    sought = votes.select("__key", "name", "word", "idf").distinct().groupBy("__key", "name").agg(F.sum("idf").alias("all"))
-    best = places.filter("n >= need").groupBy("__key", "name", "label").agg(F.max("met").alias("met"))
-    return best.join(sought, ["__key", "name"]).select("__key", "label", F.least(F.lit(1.0), F.col("met") / F.col("all")).alias("score"))
+    rare = looked_up(weight, templates)
+    index = spark.createDataFrame([(w, t.name, rare[t.name].index(w), q) for t in templates for q, w in enumerate(t.text.split()) if w in rare[t.name]],
+                                  "word string, name string, bit int, q int")
+    table = spark.createDataFrame([(t.name, t.label, [weight[w] for w in rare[t.name]], -(-SHARE * len(rare[t.name]) // 100)) for t in templates],
+                                  "name string, label string, weights array<double>, need int")
+    votes = (rows.select("__key", F.explode("hits").alias("hit")).select("__key", "hit.word", "hit.pos").join(F.broadcast(index), "word")
+             .select("__key", "name", F.expr("shiftleft(1, bit)").alias("vote"),
+                     F.explode(F.expr(f"sequence(pos - q - {SLACK}, pos - q + {SLACK})")).alias("at")))
+    places = votes.groupBy("__key", "name", "at").agg(F.bit_or("vote").alias("votes")).join(F.broadcast(table), "name")
+    share = F.expr("aggregate(transform(weights, (w, k) -> w * (shiftright(votes, k) % 2)), 0D, (a, x) -> a + x) / aggregate(weights, 0D, (a, x) -> a + x)")
+    return (places.filter(F.bit_count("votes") >= F.col("need"))
+            .groupBy("__key", "name", "label").agg(F.max(F.least(F.lit(1.0), share)).alias("score")))
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: Sequence[Template] = TEMPLATES) -> DataFrame:
     """(id, n_words, n_base, first_word, last_word, base_labels, labels, score) for every document."""
     require(docs, [doc_id, text])
-    rows = materialise(scan_words(docs, doc_id, text, templates))
-    found = lookups(rows, rarity(docs, text, templates), templates).groupBy("__key").agg(F.collect_set("label").alias("more"), F.max("score").alias("score"))
+    weight = rarity(docs, text, templates)
+    rows = materialise(scan_words(docs, doc_id, text, templates, sorted({w for ws in looked_up(weight, templates).values() for w in ws})))
+    found = met(rows, weight, templates).groupBy("__key").agg(F.collect_list(F.struct("name", "label", "score")).alias("met"))
     join = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
-    none = F.array().cast("array<string>")
-    return rows.drop("hits", "verified").join(found, "__key", "left").select(
+    accepted = F.filter(F.coalesce("met", F.array()), lambda m: F.array_contains("verified", m["name"]))
+    return rows.drop("hits").join(found, "__key", "left").withColumn("accepted", accepted).select(
         F.col("__id").alias(doc_id), "n_words", F.size("places").cast("long").alias("n_base"),
         F.array_min("places").cast("long").alias("first_word"), F.array_max("places").cast("long").alias("last_word"),
-        join("base_found").alias("base_labels"), join(F.concat("base_found", F.coalesce("more", none))).alias("labels"),
-        F.coalesce("score", F.lit(0.0)).alias("score"))
+        join("base_found").alias("base_labels"), join(F.concat("base_found", F.col("accepted.label"))).alias("labels"),
+        F.coalesce(F.array_max("accepted.score"), F.lit(0.0)).alias("score"))
