@@ -5,8 +5,8 @@ pass 2 draws a Fisher-Yates permutation of each bucket.  Buckets in order, then
 a uniform random order of the whole table, which is cut into shards of equal row counts.
 
 Defined cases: a null text counts as empty; null ids are spread by their text; copies with ids of
-their own spread like any rows; rows that repeat in id and text share a bucket and both stay; an
-empty table gives no rows; other columns travel with their record.
+their own spread like any rows; rows that repeat in id and text all stay, and are told apart by their other
+columns and a number, so they spread too; an empty table gives no rows; other columns travel with their record.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from .common import col, materialise, require, text_or_empty
 
 BUCKET_BYTES = 64 << 20
 SEED = 20240611
+#: Copies of one row that one task numbers.
+COPIES = 4096
 
 
 def with_size(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -37,6 +39,22 @@ def bucket_count(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> tuple[int
     return rows, max(1, -(-size // bucket_bytes))
 
 
+def spread_copies(keyed: DataFrame) -> DataFrame:
+    """``keyed`` with a ``__key`` of its own for each row of keys that occur more than once.
+
+    Equal rows are counted, and each count is laid out again as so many numbered rows, by several tasks if it is
+    large: the keys do not depend on how the rows were dealt to tasks."""
+    names = keyed.columns
+    repeated = materialise(keyed.groupBy("__key").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select("__key"))
+    if repeated.isEmpty():
+        return keyed
+    several = keyed.join(repeated, "__key", "left_semi").groupBy(*[col(c) for c in names]).agg(F.count(F.lit(1)).alias("__n"))
+    chunks = several.withColumn("__chunk", F.explode(F.expr(f"sequence(0, (__n - 1) div {COPIES})"))).repartition("__key", "__chunk")
+    numbered = chunks.withColumn("__copy", F.explode(F.expr(f"sequence(__chunk * {COPIES}, least(__n, (__chunk + 1) * {COPIES}) - 1)")))
+    own = F.xxhash64("__copy", *[x for c in names for x in (col(c).isNull(), col(c))])
+    return keyed.join(repeated, "__key", "left_anti").unionByName(numbered.withColumn("__key", own).select(*[col(c) for c in names]))
+
+
 def external_shuffle(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", seed: int = SEED,
                      bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, int]:
     """All records with ``__size``, ``__crc``, ``__bucket`` and ``__rank`` (place in the bucket, from 0),
@@ -47,7 +65,7 @@ def external_shuffle(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     require(docs, [doc_id, text])
     sized = with_size(docs, text)
     rows, n = bucket_count(sized, bucket_bytes)
-    scattered = (sized.withColumn("__key", F.xxhash64(F.lit(seed), col(doc_id), F.col("__crc"), F.col("__size")))
+    scattered = (spread_copies(sized.withColumn("__key", F.xxhash64(F.lit(seed), col(doc_id), F.col("__crc"), F.col("__size"))))
                  .repartition(n, "__key").withColumn("__bucket", F.spark_partition_id().cast("long")))
     schema = T.StructType([*scattered.schema.fields, T.StructField("__rank", T.LongType())])
 

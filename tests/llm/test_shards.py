@@ -40,6 +40,17 @@ def test_order_is_mixed(spark):
     assert [r.doc_id for r in other.collect()] != [r.doc_id for r in shuffled.collect()]
 
 
+def test_repeated_rows_spread_over_buckets(spark, monkeypatch):
+    monkeypatch.setattr(shards, "COPIES", 100)
+    docs = [(i, f"text {i}", None) for i in range(2000)] + [(5, "the same", "a")] * 900 + [(None, None, None)] * 300 + [(6, "x", str(i)) for i in range(300)]
+    table = spark.createDataFrame(docs, "doc_id long, text string, n string").repartition(5)
+    shuffled, rows = shards.external_shuffle(table, bucket_bytes=4000)
+    out = shuffled.collect()
+    assert collections.Counter((r.doc_id, r.text, r.n) for r in out) == collections.Counter(docs) and rows == len(docs)
+    size = collections.Counter(r["__bucket"] for r in out)
+    assert max(size.values()) < 3 * len(docs) / len(size)
+
+
 def test_files_hold_the_records(spark, tmp_path):
     docs = spark.createDataFrame([(i, f"text {i}", "s") for i in range(100)], "doc_id long, text string, slot string")
     shards.write_shards(docs, str(tmp_path / "out"), n_shards=4, bucket_bytes=500)
