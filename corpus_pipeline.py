@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from poslake.llm import decontam, gam, linededup, packing, partenum
-from poslake.llm.common import col, with_row_key
+from poslake.llm.common import col, remove, with_row_key
 from poslake.session import ensure_checkpoint_dir
 
 
@@ -63,11 +63,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; what each stage returns is written under the shared checkpoint folder."""
+    """The last stage's rows; what each stage returns is written under the shared checkpoint folder, and deleted
+    when the next stage is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         path = os.path.join(folder, f"stage{k}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if k:
+            remove(spark, os.path.join(folder, f"stage{k - 1}"))
     return docs
