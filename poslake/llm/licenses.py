@@ -94,6 +94,11 @@ def looked_up(weight: dict[str, float], templates: Sequence[Template]) -> dict[s
     return {t.name: sorted(set(t.text.split()), key=lambda w: (-weight[w], w))[:RARE] for t in templates}
 
 
+def _need(words: Sequence[str]) -> int:
+    """How many of the words by which a template is looked up must meet."""
+    return -(-SHARE * len(words) // 100)
+
+
 def _phrase_places() -> Column:
     """Starts (words from 0) of every place of a base phrase; each phrase ends with the word "license"."""
     tests = []
@@ -104,9 +109,11 @@ def _phrase_places() -> Column:
     return F.expr(f"filter(transform(filter(sequence(0, size(__words) - 1), i -> get(__words, i) = 'license'), i -> {start}), i -> i IS NOT NULL)")
 
 
-def scan_words(docs: DataFrame, doc_id: str, text: str, templates: Sequence[Template], sought: Sequence[str]) -> DataFrame:
+def scan_words(docs: DataFrame, doc_id: str, text: str, templates: Sequence[Template], rare: dict[str, list[str]]) -> DataFrame:
     """One small row per document: id, __key, n_words, places, base_found, verified (templates whose mandatory phrases
-    stand in the text), hits (word, pos) of the ``sought`` words."""
+    stand in the text), asked (templates of whose ``rare`` words the text holds enough, wherever), hits (word, pos) of
+    all rare words of texts for which a template is asked."""
+    sought = sorted({w for words in rare.values() for w in words})
     words = with_words(docs.select(col(doc_id).alias("__id"), col(text)), text)
     joined = words.select("__id", F.xxhash64(text_or_empty(text)).alias("__key"), "__words",
                           F.concat(F.lit(" "), F.array_join("__words", " "), F.lit(" ")).alias("__line"))
@@ -120,11 +127,14 @@ def scan_words(docs: DataFrame, doc_id: str, text: str, templates: Sequence[Temp
         for phrase in t.mandatory:
             test = test & has(phrase)
         verified.append(F.when(test, F.lit(t.name)))
-    numbered = F.transform("__words", lambda w, i: F.struct(w.alias("word"), i.alias("pos")))
-    return joined.select("__id", "__key", F.size("__words").cast("long").alias("n_words"), places.alias("places"),
-                         F.array_compact(F.array(*base)).alias("base_found"),
-                         (F.array_compact(F.array(*verified)) if verified else _strings(())).alias("verified"),
-                         F.filter(numbered, lambda x: x["word"].isin(*sought)).alias("hits"))
+    out = joined.select("__id", "__key", F.size("__words").cast("long").alias("n_words"), places.alias("places"),
+                        F.array_compact(F.array(*base)).alias("base_found"),
+                        (F.array_compact(F.array(*verified)) if verified else _strings(())).alias("verified"), "__words",
+                        F.array_intersect("__words", _strings(sought)).alias("__has"))
+    asked = [F.when(F.size(F.array_intersect("__has", _strings(words))) >= _need(words), F.lit(name)) for name, words in rare.items()]
+    out = out.withColumn("asked", F.array_compact(F.array(*asked)) if asked else _strings(()))
+    hits = F.filter(F.transform("__words", lambda w, i: F.struct(w.alias("word"), i.alias("pos"))), lambda x: x["word"].isin(*sought))
+    return out.withColumn("hits", F.when(F.size("asked") > 0, hits)).drop("__words", "__has")
 
 
 def met(rows: DataFrame, weight: dict[str, float], templates: Sequence[Template]) -> DataFrame:
@@ -136,9 +146,10 @@ def met(rows: DataFrame, weight: dict[str, float], templates: Sequence[Template]
     rare = looked_up(weight, templates)
     index = spark.createDataFrame([(w, t.name, rare[t.name].index(w), q) for t in templates for q, w in enumerate(t.text.split()) if w in rare[t.name]],
                                   "word string, name string, bit int, q int")
-    table = spark.createDataFrame([(t.name, t.label, [weight[w] for w in rare[t.name]], -(-SHARE * len(rare[t.name]) // 100)) for t in templates],
+    table = spark.createDataFrame([(t.name, t.label, [weight[w] for w in rare[t.name]], _need(rare[t.name])) for t in templates],
                                   "name string, label string, weights array<double>, need int")
-    votes = (rows.select("__key", F.explode("hits").alias("hit")).select("__key", "hit.word", "hit.pos").join(F.broadcast(index), "word")
+    votes = (rows.select("__key", "asked", F.explode("hits").alias("hit")).select("__key", "asked", "hit.word", "hit.pos")
+             .join(F.broadcast(index), "word").filter(F.array_contains("asked", F.col("name")))
              .select("__key", "name", F.expr("shiftleft(1, bit)").alias("vote"),
                      F.explode(F.expr(f"sequence(pos - q - {SLACK}, pos - q + {SLACK})")).alias("at")))
     places = votes.groupBy("__key", "name", "at").agg(F.bit_or("vote").alias("votes")).join(F.broadcast(table), "name")
@@ -151,11 +162,11 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates:
     """(id, n_words, n_base, first_word, last_word, base_labels, labels, score) for every document."""
     require(docs, [doc_id, text])
     weight = rarity(docs, text, templates)
-    rows = materialise(scan_words(docs, doc_id, text, templates, sorted({w for ws in looked_up(weight, templates).values() for w in ws})))
+    rows = materialise(scan_words(docs, doc_id, text, templates, looked_up(weight, templates)))
     found = met(rows, weight, templates).groupBy("__key").agg(F.collect_list(F.struct("name", "label", "score")).alias("met"))
     join = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
     accepted = F.filter(F.coalesce("met", F.array()), lambda m: F.array_contains("verified", m["name"]))
-    return rows.drop("hits").join(found, "__key", "left").withColumn("accepted", accepted).select(
+    return rows.drop("asked", "hits").join(found, "__key", "left").withColumn("accepted", accepted).select(
         F.col("__id").alias(doc_id), "n_words", F.size("places").cast("long").alias("n_base"),
         F.array_min("places").cast("long").alias("first_word"), F.array_max("places").cast("long").alias("last_word"),
         join("base_found").alias("base_labels"), join(F.concat("base_found", F.col("accepted.label"))).alias("labels"),
