@@ -121,8 +121,8 @@ def make_sink(tables: StreamTables, cmap: ColumnMap | None = None, policy: str |
         job = tables.log.start("stream_batch", tag)
         try:
             if days:
-                first = run_upsert(rows, tables.positions.read(days), False, cmap, policy)
-                second = run_upsert(first.inbound, first.positions, True, cmap)
+                first = run_upsert(rows, tables.positions.read(days), False, cmap, policy, keep=cut)
+                second = run_upsert(first.inbound, first.positions, True, cmap, keep=cut)
                 tables.positions.write(second.positions, days, tag)
                 second.inbound.write.mode("overwrite").parquet(f"{tables.base}/inbound/batch={tag}")
                 for out, phase in ((first, "initial"), (second, "intraday")):
