@@ -62,8 +62,11 @@ def positions_in_key(df: DataFrame, keys: list[str], fields: list[str]) -> DataF
     small table gives each partition's offset, joined back on (key, partition)."""
     from ..session import cut
     src = df  # a table scan in practice: re-reading it is cheaper than copying it
-    repeated = (src.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-                .where(F.col("_n") > 1).select(*keys))
+    # Written once: whether any key repeats, and both joins, read it.
+    repeated = cut(src.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+                   .where(F.col("_n") > 1).select(*keys))
+    if repeated.isEmpty():
+        return src.withColumn("_pos", F.lit(1).cast("bigint"))
     ren = repeated.select(*[F.col(k).alias(f"_r_{k}") for k in keys])
     on = None
     for k in keys:
@@ -71,8 +74,6 @@ def positions_in_key(df: DataFrame, keys: list[str], fields: list[str]) -> DataF
         on = c if on is None else on & c
     single = src.join(ren, on, "left_anti").withColumn("_pos", F.lit(1).cast("bigint"))
     multi = src.join(ren, on, "left_semi")
-    if multi.isEmpty():
-        return single
     order = [F.col(c).asc_nulls_first() for c in keys + fields]
     ided = cut(multi.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()))
     ided = ided.withColumn("_pid", F.shiftrightunsigned("_id", 33))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from ..fixtures import FIXTURE_SQL
 from ..operators import compare as cmp
+from ..session import store
 from .catalog import load, register, with_fixtures
 
 KEYS = ["account_id", "as_of_date", "load_order"]
@@ -14,9 +16,10 @@ STRINGS = set(FIELDS) - NUMERIC - {"short_flag"}
 
 
 def _inputs(spark, sf_dir):
-    """Both sides materialised once, as the two stored tables they stand for."""
-    from ..session import cut
-    return cut(load(spark, sf_dir, "fx_target")), cut(load(spark, sf_dir, "fx_positions"))
+    """Both sides written once, as the two stored tables they stand for: the target is built from the stored positions."""
+    actual = store(load(spark, sf_dir, "fx_positions"))
+    actual.createOrReplaceTempView("fx_positions")
+    return store(spark.sql(FIXTURE_SQL["fx_target"])), actual
 
 
 # ---- oracle -----------------------------------------------------------------

@@ -66,3 +66,14 @@ def test_positions_in_a_hot_key_span_partitions(spark):
     for k, lst in by.items():
         lst.sort()
         assert [p for _, p in lst] == list(range(1, len(lst) + 1)), k
+
+
+def test_align_of_unique_keys_is_one_join(spark):
+    """Where no key repeats, rows are not joined with the set of repeated keys."""
+    from poslake.operators.compare import align
+    e = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "k int, v string")
+    a = spark.createDataFrame([(1, "a"), (3, "b"), (None, "c")], "k int, v string")
+    out = align(e, a, ["k"])
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    assert sorted((r.k or 0, r.pos, r.status) for r in out.collect()) == [(0, 1, "both"), (1, 1, "both"), (2, 1, "expected_only"),
+                                                                          (3, 1, "actual_only")]
