@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
-
-#: Links that one task reads.
-TASK_LINKS = 100_000
+from .common import fitted, materialise, tasks_for
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -21,17 +18,18 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Each step joins edges with one minimum per node.  A hub's edges may be split between tasks, for both
     sides of the join are plain shuffles; the edges never leave the executors."""
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
-    edges = materialise(edges)
+    edges = fitted(edges)
     before = None
     while (now := _state(edges)) != before:
-        before, tasks = now, 1 + now[0] // TASK_LINKS
-        edges = edges.coalesce(tasks)  # few links need few files in each shuffle
+        before, tasks = now, tasks_for(now[0])
+        edges = edges.coalesce(tasks)  # few links need few tasks and files in each shuffle
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = materialise(large).coalesce(tasks)
+        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = materialise(large.coalesce(tasks).distinct().coalesce(tasks))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = materialise(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        next_edges = small.unionByName(low.select("u", F.col("m").alias("v"))).coalesce(tasks)
+        edges = materialise(next_edges.distinct().coalesce(tasks))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

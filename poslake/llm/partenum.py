@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textnp
-from .common import bitmap, col, materialise, require, stored, text_or_empty, with_row_key
+from .common import bitmap, col, fitted, materialise, require, stored, text_or_empty, with_row_key
 from .components import components
 
 WORDS = 5
@@ -54,6 +54,8 @@ SLOTS = 1 << 18
 #: (a false hit costs a set, no more).
 WANTED_BITS, MOST_WANTED_BITS = 16, 1 << 27
 SALTS = 64
+#: Tasks that add up shingle counts, if there are not more cores.
+MOST_COUNTS = 8
 #: Classes of two pivots are listed as pairs up to so many pairs, else compared in blocks of so many shingles.
 LISTED_PAIRS, BLOCK_SHINGLES = 64, 1 << 17
 PIVOT_SHINGLES = 100
@@ -171,7 +173,9 @@ def shingle_frequency(counted: DataFrame) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["slot", "n"])
 
-    counts = counted.select("seen").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()
+    # As many tasks as there are cores: each gives a row for every slot, and tasks grow with the documents.
+    counted = counted.select("seen").coalesce(max(MOST_COUNTS, counted.sparkSession.sparkContext.defaultParallelism))
+    counts = counted.mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(SLOTS, np.int64)
     for row in counts:  # at most SLOTS rows
         out[row["slot"]] = row["n"]
@@ -212,7 +216,7 @@ def signature_rows(docs: DataFrame, text: str, join: Join, frequency: np.ndarray
 def class_sets(docs: DataFrame, text: str, join: Join, wanted: DataFrame) -> DataFrame:
     """(class, shingles) of the ``wanted`` classes, once each: a table of bounded size, made for their number, says
     which texts to look at, and a join which of their sets to take."""
-    wanted = materialise(wanted.select("class").distinct())
+    wanted = fitted(wanted.select("class").distinct())
     bits = min(MOST_WANTED_BITS, 1 << max(15, (WANTED_BITS * wanted.count()).bit_length()))
     packed = bitmap(wanted, "class", bits)
 
@@ -278,32 +282,32 @@ def links(docs: DataFrame, text: str, join: Join, frequency: np.ndarray, classes
     rows = signature_rows(docs, text, join, frequency, hot)
     by = Window.partitionBy("sign", "salt").orderBy("class")
     rows = rows.select("sign", "salt", "class", F.first("class").over(by).alias("leader"), F.lag("class").over(by).alias("prev"))
-    members = materialise(rows.filter("(class <> leader and class <> prev) or (salt > 0 and prev is null)"))
+    members = fitted(rows.filter("(class <> leader and class <> prev) or (salt > 0 and prev is null)"))
     salted = members.filter("salt > 0 and class = leader")
     tops = salted.select("sign", "class", F.first("class").over(Window.partitionBy("sign").orderBy("class")).alias("leader"))
     stars = members.select("leader", "class").unionByName(tops.select("leader", "class")).filter("leader <> class")
     stars = stars.groupBy(F.col("leader").alias("a"), F.col("class").alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    stars = materialise(stars)
+    stars = fitted(stars)
     pivots = _pivots(stars, classes)
-    stars = materialise(_possible(stars, classes, join))
+    stars = fitted(_possible(stars, classes, join))
 
     first = stars.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b")
     with stored(class_sets(docs, text, join, _classes(stars))) as sets:
-        found = materialise(verify(sets, first, join))
+        found = fitted(verify(sets, first, join))
         # A class has one link so far, to a smaller class: two steps up stand in for its component.
         above = found.select(F.col("b").alias("a"), F.col("a").alias("top"))
         roots = found.join(above, "a", "left").select(F.col("b").alias("node"), F.coalesce("top", "a").alias("root"))
 
-        rest = _across(stars.select("a", "b"), roots).join(first, ["a", "b"], "left_anti")
-        found = found.unionByName(materialise(verify(sets, rest, join)))
-    roots = materialise(components(found))
+        rest = fitted(_across(stars.select("a", "b"), roots).join(first, ["a", "b"], "left_anti"))
+        found = found.unionByName(fitted(verify(sets, rest, join)))
+    roots = fitted(components(found))
 
     listed, blocks = unresolved(members, pivots, roots, classes)
-    listed = materialise(_possible(listed.join(stars.select("a", "b"), ["a", "b"], "left_anti"), classes, join))
-    blocks = materialise(blocks)
+    listed = fitted(_possible(listed.join(stars.select("a", "b"), ["a", "b"], "left_anti"), classes, join))
+    blocks = fitted(blocks)
     with stored(class_sets(docs, text, join, _classes(listed).unionByName(blocks.select("class")))) as sets:
-        return (found.unionByName(materialise(verify(sets, listed, join)))
-                .unionByName(materialise(compare_blocks(sets, blocks, join))))
+        return (found.unionByName(fitted(verify(sets, listed, join)))
+                .unionByName(fitted(compare_blocks(sets, blocks, join))))
 
 
 def _pivots(stars: DataFrame, classes: DataFrame) -> DataFrame:
@@ -312,10 +316,10 @@ def _pivots(stars: DataFrame, classes: DataFrame) -> DataFrame:
     best = stars.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a"), F.max("n").alias("n"))
     best = best.join(classes.select(F.col("class").alias("b"), "n_shingles"), "b").filter(
         F.col("n") * PIVOT_SHINGLES >= F.col("n_shingles"))
-    best = materialise(best.select(F.col("b").alias("class"), F.col("a").alias("pivot")))
+    best = fitted(best.select(F.col("b").alias("class"), F.col("a").alias("pivot")))
     for _ in range(3):
         above = best.select(F.col("class").alias("pivot"), F.col("pivot").alias("top"))
-        best = materialise(best.join(above, "pivot", "left").select("class", F.coalesce("top", "pivot").alias("pivot")))
+        best = fitted(best.join(above, "pivot", "left").select("class", F.coalesce("top", "pivot").alias("pivot")))
     return best
 
 
@@ -329,16 +333,16 @@ def unresolved(members: DataFrame, pivots: DataFrame, roots: DataFrame, classes:
 
     Signatures with the same classes are one group, and groups within one component drop out first."""
     everyone = members.select("sign", "class").unionByName(members.select("sign", F.col("leader").alias("class"))).distinct()
-    placed = materialise(_relabel(everyone, roots).join(pivots, "class", "left").withColumn("pivot", F.coalesce("pivot", "class")))
+    placed = fitted(_relabel(everyone, roots).join(pivots, "class", "left").withColumn("pivot", F.coalesce("pivot", "class")))
     groups = (placed.groupBy("sign").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n"),
                                          F.min("class").alias("c"), F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("h"))
               .filter("lo <> hi").groupBy("n", "c", "h").agg(F.min("sign").alias("sign")).select("sign"))
-    rows = materialise(placed.join(groups, "sign", "left_semi"))
-    own = materialise(rows.select("class", "root", "pivot").distinct().join(classes.select("class", "n_shingles"), "class"))
+    rows = fitted(placed.join(groups, "sign", "left_semi"))
+    own = fitted(rows.select("class", "root", "pivot").distinct().join(classes.select("class", "n_shingles"), "class"))
     size = own.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).cast("int").alias("blocks"))
     part = rows.groupBy("sign", "pivot").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).join(size, "pivot")
     side = lambda x: part.select("sign", *[F.col(c).alias(f"{c}{x}") for c in ("lo", "hi", "n", "blocks")], F.col("pivot").alias(x))
-    contacts = materialise(side("p").join(side("q"), "sign").filter(
+    contacts = fitted(side("p").join(side("q"), "sign").filter(
         "p <= q and (lop <> hip or loq <> hiq or lop <> loq)").withColumn("many", F.col("np") * F.col("nq") > LISTED_PAIRS))
 
     few = contacts.filter(~F.col("many")).select("sign", "p", "q")
@@ -442,7 +446,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", join:
     names = keyed.select("__row_key", text, col(doc_id).alias("__doc_id"))
     found = near_duplicates(names, "__row_key", text, join)
     ids = names.select("__row_key", "__doc_id").distinct()
-    placed = found.filter("class <> 0").withColumnRenamed("component_id", "__group").select("__row_key", "__group").distinct().join(ids, "__row_key")
+    placed = fitted(found.filter("class <> 0").withColumnRenamed("component_id", "__group").select("__row_key", "__group").distinct().join(ids, "__row_key"))
     best = placed.groupBy("__group").agg(F.min_by("__row_key", F.struct(F.col("__doc_id").isNull(), "__doc_id", "__row_key")).alias("__row_key"))
-    gone = materialise(placed.join(best, "__row_key", "left_anti").select("__row_key").distinct())
+    gone = fitted(placed.join(best, "__row_key", "left_anti").select("__row_key").distinct())
     return keyed.join(gone, "__row_key", "left_anti").dropDuplicates(["__row_key"]).drop("__row_key")

@@ -4,7 +4,7 @@ import brute
 import numpy as np
 import pytest
 
-from poslake.llm import components, partenum
+from poslake.llm import common, components, partenum
 
 DOCS = "doc_id long, text string, class string, sign int"
 
@@ -122,3 +122,30 @@ def test_components_of_chains_and_stars(spark):
     got = {r.node: r.root for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {x: find(x) for x in root}
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_few_links_take_few_tasks(spark):
+    """Steps over few rows take few tasks, however many partitions a shuffle has: each task writes files of its own."""
+    pick, sc = random.Random(4), spark.sparkContext
+    links = spark.createDataFrame([(pick.randint(0, 300), pick.randint(0, 300)) for _ in range(200)], "a long, b long")
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        sc.setJobGroup("few links", "")
+        components.components(links)
+        jobs = [sc.statusTracker().getJobInfo(j) for j in sc.statusTracker().getJobIdsForGroup("few links")]
+        tasks = sum(sc.statusTracker().getStageInfo(s).numTasks for s in {s for j in jobs for s in j.stageIds})
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < tasks < 2000
+
+
+def test_fitted_counts_rows(spark, monkeypatch):
+    monkeypatch.setattr(common, "TASK_ROWS", 10)
+    rows = common.fitted(spark.range(0, 35, 1, 8))
+    assert rows.rdd.getNumPartitions() == 4 and {r.id for r in rows.collect()} == set(range(35))
+    assert common.fitted(spark.range(0)).count() == 0
