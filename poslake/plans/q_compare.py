@@ -16,10 +16,10 @@ STRINGS = set(FIELDS) - NUMERIC - {"short_flag"}
 
 
 def _inputs(spark, sf_dir):
-    """Both sides written once, as the two stored tables they stand for: the target is built from the stored positions."""
+    """The positions written once; the target is a projection of the stored rows, cheaper to read again than to write."""
     actual = store(load(spark, sf_dir, "fx_positions"))
     actual.createOrReplaceTempView("fx_positions")
-    return store(spark.sql(FIXTURE_SQL["fx_target"])), actual
+    return spark.sql(FIXTURE_SQL["fx_target"]), actual
 
 
 # ---- oracle -----------------------------------------------------------------

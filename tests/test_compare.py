@@ -4,7 +4,9 @@ from decimal import Decimal as D
 
 from pyspark.sql import functions as F
 
+from poslake.fixtures import fixture
 from poslake.operators.compare import CompareOptions, diff, field_sets, summary
+from poslake.plans import q_compare
 from poslake.plans.compare_job import run_compare
 
 
@@ -77,3 +79,13 @@ def test_align_of_unique_keys_is_one_join(spark):
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
     assert sorted((r.k or 0, r.pos, r.status) for r in out.collect()) == [(0, 1, "both"), (1, 1, "both"), (2, 1, "expected_only"),
                                                                           (3, 1, "actual_only")]
+
+
+def test_only_the_positions_are_written(spark, sf_dir, monkeypatch):
+    """The target is read from the stored positions, not written beside them, and has all its rows."""
+    written, store = [], q_compare.store
+    monkeypatch.setattr(q_compare, "store", lambda df: written.append(df) or store(df))
+    target, actual = q_compare._inputs(spark, sf_dir)
+    assert len(written) == 1
+    rows, want = target.collect(), fixture(spark, sf_dir, "fx_target").collect()
+    assert sorted(map(str, rows)) == sorted(map(str, want)) and actual.count() > 0
