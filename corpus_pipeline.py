@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from poslake.llm import decontam, gam, linededup, packing, partenum
 from poslake.llm.common import col, remove, with_row_key
-from poslake.session import ensure_checkpoint_dir
+from poslake.session import ensure_checkpoint_dir, store
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +47,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     keyed = with_row_key(docs)
     judged = decontam.decontaminate(keyed, benchmark, doc_id="__row_key").filter("contaminated").select("__row_key").distinct()
-    return keyed.join(judged, "__row_key", "left_anti").select(*[col(c) for c in docs.columns])
+    # Stored first, so that Spark knows how few they are and need not shuffle and sort whole documents to meet them.
+    return keyed.join(store(judged), "__row_key", "left_anti").select(*[col(c) for c in docs.columns])
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

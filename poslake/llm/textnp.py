@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
@@ -141,7 +141,9 @@ def _words(first: int, data: np.ndarray, offsets: np.ndarray, kind: Words) -> Bl
     starts = np.flatnonzero(inside & (~before | edge[:-1]))
     ends = np.flatnonzero(inside & (~after | edge[1:])) + 1
     sums = np.zeros(len(data) + 1, U64)
-    np.cumsum(_byte_values()[data] * _powers(_BASE, len(data)), out=sums[1:])
+    sums[1:] = _byte_values()[data]
+    sums[1:] *= _powers(_BASE, len(data))
+    np.cumsum(sums[1:], out=sums[1:])
     return Block(first, len(offsets) - 1, data, offsets, starts, ends, np.searchsorted(starts, offsets),
                  _span_hashes(sums, starts, ends), sums)
 

@@ -43,6 +43,11 @@ def test_decontamination_drops_contaminated_documents(spark, sf_dir, docs):
     assert out.columns == docs.columns and {r.doc_id for r in out.collect()} == want and len(want) < docs.count()
 
 
+def test_decontamination_does_not_shuffle_documents_to_meet_few_contaminated(spark, sf_dir, docs):
+    plan = corpus_pipeline.decontamination(spark, docs, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "LeftAnti" in plan and "hashpartitioning" not in plan and "SortMergeJoin" not in plan
+
+
 def test_run_packs_what_is_left(spark, sf_dir, docs):
     out = corpus_pipeline.run(spark, sf_dir)
     left = {r.doc_id for r in out.select("doc_id").distinct().collect()}

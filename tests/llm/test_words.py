@@ -1,6 +1,7 @@
 """The numpy words of a column against regular expressions."""
 
 import random
+import tracemalloc
 
 import brute
 import numpy as np
@@ -83,3 +84,13 @@ def test_token_cache_is_bounded(monkeypatch):
     text = " ".join(f"w{i % 170}" for i in range(2000))
     assert encoder.encode(text) == tokens.Encoder(tokens.default_path()).encode(text)
     assert len(encoder._parts) <= 50
+
+
+def test_working_memory_is_a_small_multiple_of_a_block(monkeypatch):
+    monkeypatch.setattr(textnp, "_POWERS", {})
+    column = pa.array(["some words of a text, and more of them " * 50] * 4000)
+    tracemalloc.start()
+    n = sum(int(block.bounds[-1]) for block in textnp.blocks(column, textnp.Words.ALNUM))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 9 * 50 * 4000 and peak < 24 << 20
