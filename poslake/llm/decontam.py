@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textnp
-from .common import bitmap, col, in_bitmap, map_texts, materialise, require, text_or_empty
+from .common import TASK_LISTS, bitmap, col, fitted, in_bitmap, map_texts, require, text_or_empty
 
 WINDOW = 13
 #: Terms looked up for each window.
@@ -235,14 +235,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     """(id, n_words, n_hit, n_items, items_sha256, contaminated, n_near) for every document."""
     require(docs, [doc_id, text])
     require(benchmark, [item_id, item_text])
-    items = materialise(word_lists(benchmark, item_text))
+    items = fitted(word_lists(benchmark, item_text), TASK_LISTS)
     names = keyed_texts(benchmark, item_id, item_text).filter("key <> 0").select(F.col("key").alias("item"), col(item_id).cast("string").alias("__item_id"))
-    wanted = materialise(lookups(items, term_frequencies(docs, text, items), window))
+    wanted = fitted(lookups(items, term_frequencies(docs, text, items), window))
     index = postings(docs, text, bitmap(wanted, "term", TERM_BITS))
-    met = materialise(alignments(met_places(index, wanted)))
+    met = fitted(alignments(met_places(index, wanted)))
     found = met.filter("NOT near")
     texts = word_lists(docs, text, bitmap(found, "text", TEXT_BITS)).join(found.select(F.col("text").alias("key")).distinct(), "key", "left_semi")
-    hits = materialise(exact_phrases(found, texts, items, window))
+    hits = fitted(exact_phrases(found, texts, items, window))
 
     earlier = Window.partitionBy("text").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)
     spans = hits.select("text", "start", "stop").distinct().withColumn("reached", F.coalesce(F.max("stop").over(earlier), F.lit(0)))
@@ -250,7 +250,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     listed = hits.select("text", "item").distinct().join(names, "item").groupBy("text").agg(F.array_sort(F.collect_set("__item_id")).alias("ids"))
     near = met.filter("near").groupBy("text").agg(F.count(F.lit(1)).alias("n_near"))
     by_text = n_hit.join(listed, "text", "left").join(near, "text", "full").withColumnRenamed("text", "key")
-    rows = keyed_texts(docs, doc_id, text).join(materialise(by_text), "key", "left")
+    rows = keyed_texts(docs, doc_id, text).join(fitted(by_text, TASK_LISTS), "key", "left")
     n_hit, ids = F.coalesce("n_hit", F.lit(0)).cast("long"), F.coalesce("ids", F.array().cast("array<string>"))
     return rows.select(col(doc_id), "n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"),
                        F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"),

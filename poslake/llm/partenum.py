@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textnp
-from .common import bitmap, col, fitted, materialise, require, stored, text_or_empty, with_row_key
+from .common import TASK_LISTS, bitmap, col, fitted, require, stored, tasks_for, text_or_empty, with_row_key
 from .components import components
 
 WORDS = 5
@@ -59,6 +59,8 @@ MOST_COUNTS = 8
 #: Classes of two pivots are listed as pairs up to so many pairs, else compared in blocks of so many shingles.
 LISTED_PAIRS, BLOCK_SHINGLES = 64, 1 << 17
 PIVOT_SHINGLES = 100
+#: Sets that one task writes.
+CLASS_SETS = 5_000
 U64 = np.uint64
 
 
@@ -217,7 +219,8 @@ def class_sets(docs: DataFrame, text: str, join: Join, wanted: DataFrame) -> Dat
     """(class, shingles) of the ``wanted`` classes, once each: a table of bounded size, made for their number, says
     which texts to look at, and a join which of their sets to take."""
     wanted = fitted(wanted.select("class").distinct())
-    bits = min(MOST_WANTED_BITS, 1 << max(15, (WANTED_BITS * wanted.count()).bit_length()))
+    n = wanted.count()
+    bits = min(MOST_WANTED_BITS, 1 << max(15, (WANTED_BITS * n).bit_length()))
     packed = bitmap(wanted, "class", bits)
 
     def emit(cls: int, shingles: np.ndarray) -> list[pa.Array] | None:
@@ -228,7 +231,7 @@ def class_sets(docs: DataFrame, text: str, join: Join, wanted: DataFrame) -> Dat
         return [pa.array([cls], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(shingles)], pa.int32()), values)]
 
     found = _per_class(docs, text, join, "class long, shingles array<bigint>", emit)
-    return found.join(wanted, "class", "left_semi").dropDuplicates(["class"])
+    return found.join(wanted, "class", "left_semi").dropDuplicates(["class"]).coalesce(tasks_for(n, CLASS_SETS))
 
 
 def _classes(pairs: DataFrame) -> DataFrame:
@@ -425,10 +428,10 @@ def compare_blocks(sets: DataFrame, blocks: DataFrame, join: Join) -> DataFrame:
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", join: Join = Join()) -> DataFrame:
     """(id, n_shingles, class, component_id) for every row."""
     require(docs, [doc_id, text])
-    whole = materialise(document_sets(docs, doc_id, text, join).withColumnRenamed(doc_id, "__id"))
+    whole = fitted(document_sets(docs, doc_id, text, join).withColumnRenamed(doc_id, "__id"), TASK_LISTS)
     rows = whole.filter("seen IS NULL").drop("seen")
     frequency = shingle_frequency(whole.filter("seen IS NOT NULL"))
-    classes = materialise(rows.filter("class <> 0").select("class", "n_shingles", "cells").dropDuplicates(["class"]))
+    classes = fitted(rows.filter("class <> 0").select("class", "n_shingles", "cells").dropDuplicates(["class"]), TASK_LISTS)
     roots = components(links(docs, text, join, frequency, classes, rows.count()))
     placed = rows.drop("cells").join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     least = placed.filter("class <> 0").groupBy("root").agg(F.min("__id").alias("component_id"))

@@ -1,4 +1,5 @@
 import random
+from pathlib import Path
 
 import brute
 import numpy as np
@@ -149,3 +150,12 @@ def test_fitted_counts_rows(spark, monkeypatch):
     rows = common.fitted(spark.range(0, 35, 1, 8))
     assert rows.rdd.getNumPartitions() == 4 and {r.id for r in rows.collect()} == set(range(35))
     assert common.fitted(spark.range(0)).count() == 0
+
+
+def test_fitted_writes_as_many_files_as_rows_ask_for(spark):
+    folder = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    before = set(folder.rglob("part-*"))
+    rows = common.fitted(spark.range(0, 640, 1, 64))
+    assert rows.count() == 640 and len(set(folder.rglob("part-*")) - before) == 1
+    assert common.fitted(spark.range(0, 640, 1, 64), 100).rdd.getNumPartitions() == 7
+    assert spark.sparkContext._jsc.getPersistentRDDs().isEmpty()

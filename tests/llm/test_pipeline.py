@@ -72,3 +72,28 @@ def test_rows_that_differ_in_their_nulls_have_keys_of_their_own(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert len({r["__row_key"] for r in with_row_key(docs).collect()}) == 2
     assert {tuple(r) for r in partenum.keep_one(docs).collect()} == set(rows)
+
+
+@pytest.mark.parametrize("stage", [corpus_pipeline.jaccard_join, corpus_pipeline.decontamination])
+def test_few_rows_in_many_partitions_are_few_files(spark, sf_dir, docs, monkeypatch, stage):
+    """Each file that an executor writes to a local file system starts processes of its own."""
+    from poslake.llm import common
+    files, cut = [], common.cut
+
+    def counted(df):
+        out = cut(df)
+        files.append(out.rdd.getNumPartitions())
+        return out
+
+    monkeypatch.setattr(common, "cut", counted)
+    held = {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        out = stage(spark, docs.repartition(32), sf_dir)
+        assert out.count() > 50
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert files and max(files) <= 8
