@@ -4,11 +4,11 @@ import os
 
 from pyspark.sql import functions as F
 
-from poslake.operators import prefilter
-from poslake.operators.normalise import best_keys, best_rows, portfolio_nav, strict_inbound
+from poslake.operators import netting, prefilter
+from poslake.operators.normalise import add_weights, best_keys, best_rows, few_keys, look_up, portfolio_nav, strict_inbound
 from poslake.operators.upsert import FX, collapse, merged_rows
 from poslake.plans.q_netting import initial_scan, initial_stored
-from poslake.schemas import BEST_ROW_KEY, POSITIONS_COLUMNS, POSITIONS_SCHEMA
+from poslake.schemas import BEST_ROW_KEY, PORTFOLIO_KEY, POSITIONS_COLUMNS, POSITIONS_SCHEMA
 from poslake.session import store
 
 
@@ -69,3 +69,53 @@ def test_weights_of_kept_rows_equal_weights_of_all(spark, sf_dir):
     assert best_keys(si).count() == best_keys(si).select(*BEST_ROW_KEY).distinct().count() == early.count()
     assert portfolio_nav(si).exceptAll(nav).isEmpty()
     assert collapse(late, FX, ["load_status"]).count() <= late.count()
+
+
+def _nodes(plan):
+    """The physical nodes that ran, inside adaptive plans and their stages too."""
+    kind = plan.getClass().getSimpleName()
+    inner = plan.executedPlan() if kind == "AdaptiveSparkPlanExec" else plan.plan() if kind.endswith("QueryStageExec") else None
+    below = [inner] if inner is not None else [plan.children().apply(i) for i in range(plan.children().size())]
+    return [plan] + [n for b in below for n in _nodes(b)]
+
+
+def _shuffled(df):
+    """How many rows the plan of ``df`` shuffled (after it ran)."""
+    of = lambda n: n.metrics().get("shuffleRecordsWritten")
+    return sum(of(n).get().value() for n in _nodes(df._jdf.queryExecution().executedPlan())
+               if n.getClass().getSimpleName() == "ShuffleExchangeExec" and of(n).isDefined())
+
+
+def test_best_rows_shuffle_only_repeated_keys(spark):
+    key = dict(load_bb_entity_name="G", load_process="p", id_bb_unique="X", cusip="c")
+    rows = _rows(spark, [key | dict(account_id=f"A{i}", load_order=i, fx_flag=False) for i in range(1000)]
+                 + [key | dict(account_id=f"A{i}", load_order=5000 + i % 2, fx_flag=i > 6) for i in (5, 6, 7)]
+                 + [key | dict(account_id="A6", load_order=5000, cusip=None, ticker=t, fx_flag=False) for t in "ab"]  # a tie: both are best
+                 + [key | dict(account_id="N", load_order=None, fx_flag=False)])  # no order: never the best
+    best = best_rows(rows)
+    got = best.collect()
+    assert sorted(r.load_order for r in got) == sorted([i for i in range(1000) if i not in (5, 6, 7)] + [5001, 5000, 5001] + [5000, 5000])
+    assert _shuffled(best) < 100
+    nonfx = netting.nonfx_best(rows)  # a row that ranks first is left out if it is FX, the next is not taken for it
+    assert {r.account_id for r in nonfx.collect()} == {f"A{i}" for i in range(1000) if i != 7} and _shuffled(nonfx) < 100
+
+
+def test_weights_of_few_portfolios_shuffle_no_rows(spark, sf_dir):
+    si, nav = initial_stored(spark, sf_dir)
+    out = add_weights(si, nav=nav)
+    assert len(out.collect()) == si.count() and _shuffled(out) == 0
+    normal = add_weights(si)
+    assert out.exceptAll(normal).isEmpty() and normal.exceptAll(out).isEmpty()
+    assert few_keys(nav, PORTFOLIO_KEY) and not few_keys(nav.unionByName(nav), PORTFOLIO_KEY)  # equal hashes: no lookup
+    late = look_up(si, nav, PORTFOLIO_KEY, few=False)
+    early = look_up(si, nav, PORTFOLIO_KEY, few=True)
+    assert late.exceptAll(early).isEmpty() and early.exceptAll(late).isEmpty()
+
+
+def test_short_groups_count_only_pairs_of_short_securities(spark):
+    rows = [dict(load_bb_entity_name="G", load_process="p", account_id=a, id_bb_unique=i, short_flag=s)
+            for a, i, s in [("A", "X", None), ("A", "X", False), ("B", "X", True), ("C", None, True), ("C", None, True)]
+            + [("A", f"Y{i}", False) for i in range(500)] * 2]
+    day = spark.sql("SELECT DATE'2024-01-01' AS as_of_date").first()[0]
+    out = netting.short_groups(_rows(spark, [r | dict(as_of_date=day) for r in rows]))
+    assert [(r.account_id, r.id_bb_unique) for r in out.collect()] == [("A", "X")] and _shuffled(out) < 50
