@@ -111,5 +111,5 @@ def q_map_inserts(spark, sf_dir):
     from .upsert_job import inserted
     cmap = own_map()
     si = store(strict_inbound(initial_scan(spark, sf_dir), cmap, weights=False))
-    best = netting.nonfx_best(si, cut(netting.short_groups(si)), portfolio_nav(si))
+    best = netting.nonfx_best(si, cut(netting.short_groups(si)), cut(portfolio_nav(si)))
     return inserted(best, cmap.insert_list(WEIGHT_COLUMNS)).select(*_INSERTED)

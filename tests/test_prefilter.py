@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from poslake.operators import netting, prefilter
 from poslake.operators.normalise import add_weights, best_keys, best_rows, few_keys, look_up, portfolio_nav, strict_inbound
 from poslake.operators.upsert import FX, collapse, merged_rows
-from poslake.plans.q_netting import initial_scan, initial_stored
+from poslake.plans.q_netting import initial_scan, initial_stored, own_map
 from poslake.schemas import BEST_ROW_KEY, PORTFOLIO_KEY, POSITIONS_COLUMNS, POSITIONS_SCHEMA
 from poslake.session import store
 
@@ -119,3 +119,13 @@ def test_short_groups_count_only_pairs_of_short_securities(spark):
     day = spark.sql("SELECT DATE'2024-01-01' AS as_of_date").first()[0]
     out = netting.short_groups(_rows(spark, [r | dict(as_of_date=day) for r in rows]))
     assert [(r.account_id, r.id_bb_unique) for r in out.collect()] == [("A", "X")] and _shuffled(out) < 50
+
+
+def test_windows_of_a_map_run_before_the_typed_columns(spark, sf_dir):
+    si = strict_inbound(initial_scan(spark, sf_dir), own_map(), weights=False)
+    plan = si._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    at = next(i for i, line in enumerate(plan) if "Window [row_number()" in line and "trim" in line or "_window_" in line and "Window [" in line)
+    assert any("market_value_raw" in line for line in plan[:at]) and not any("market_value_raw" in line for line in plan[at:])
+    plain = strict_inbound(initial_scan(spark, sf_dir), weights=False)
+    same = [c for c in si.columns if c in plain.columns]
+    assert si.select(*same).exceptAll(plain.select(*same)).isEmpty() and si.where("row_number = 1").count() > 0
